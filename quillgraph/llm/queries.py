@@ -1,9 +1,15 @@
 """Registered queries of this subpackage and the SQL that checks them, where SQL can express them."""
 
 from .packing import op6_best_fit_packing
+from .secrets import op10_secret_scans
+from .urlrules import OP4_SQL, op4_url_rules
 
 QUERIES = {
+    "op4_url_rules": op4_url_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op10_secret_scans": op10_secret_scans,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_rules": OP4_SQL,
+}
