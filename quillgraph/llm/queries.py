@@ -1,12 +1,18 @@
 """Registered queries of this subpackage and the SQL that checks them, where SQL can express them."""
 
+from .language import op9_language_id
 from .packing import op6_best_fit_packing
+from .quality import op5_quality_ranking
 from .secrets import op10_secret_scans
+from .toxicity import op7_toxicity
 from .urlrules import OP4_SQL, op4_url_rules
 
 QUERIES = {
     "op4_url_rules": op4_url_rules,
+    "op5_quality_ranking": op5_quality_ranking,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_toxicity": op7_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_secret_scans": op10_secret_scans,
 }
 
