@@ -1,5 +1,6 @@
 """Registered queries of this subpackage and the SQL that checks them, where SQL can express them."""
 
+from .decontaminate import op1_decontamination
 from .language import op9_language_id
 from .packing import op6_best_fit_packing
 from .quality import op5_quality_ranking
@@ -8,6 +9,7 @@ from .toxicity import op7_toxicity
 from .urlrules import OP4_SQL, op4_url_rules
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op4_url_rules": op4_url_rules,
     "op5_quality_ranking": op5_quality_ranking,
     "op6_best_fit_packing": op6_best_fit_packing,
