@@ -75,7 +75,8 @@ def token_counts(pages: DataFrame, tokens: list[str]) -> dict[str, int]:
         return {}
     of = F.explode(F.array_distinct(F.split(F.concat_ws("", F.lit(""), "url"), "[^A-Za-z0-9]+")))
     wanted = pages.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
-    counts = pages.select(of.alias("token")).join(wanted, "token", "left_semi").groupBy("token").count()
+    # the rules are on the driver and go to every task anyway, so their tokens may
+    counts = pages.select(of.alias("token")).join(F.broadcast(wanted), "token", "left_semi").groupBy("token").count()
     return {r["token"]: r["count"] for r in counts.collect()}
 
 
