@@ -1,6 +1,7 @@
 """Registered queries of this subpackage and the SQL that checks them, where SQL can express them."""
 
 from .decontaminate import op1_decontamination
+from .jaccard import op3_jaccard_join
 from .language import op9_language_id
 from .packing import op6_best_fit_packing
 from .quality import op5_quality_ranking
@@ -10,6 +11,7 @@ from .urlrules import OP4_SQL, op4_url_rules
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_url_rules": op4_url_rules,
     "op5_quality_ranking": op5_quality_ranking,
     "op6_best_fit_packing": op6_best_fit_packing,
