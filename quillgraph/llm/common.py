@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that are worked on together; it bounds memory, not results.
-CHUNK = 512
+CHUNK = 256
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

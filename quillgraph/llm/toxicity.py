@@ -25,7 +25,7 @@ CATEGORY_WORDS = {
 }
 
 #: Bounds of the fit: labelled rows of each class, words and beginnings that become features, folds.
-SAMPLE, WORDS, FOLDS = 6_000, 256, 3
+SAMPLE, WORDS, FOLDS = 3_000, 256, 3
 
 WORD = re.compile(r"[^\W\d_]{2,}")
 BEGIN = (4, 5, 6)
@@ -83,29 +83,40 @@ def fit_chain(docs: DataFrame, labels: DataFrame, label: str = "toxic", categori
     a category when it holds one of its words. Without labelled rows of both classes, the chain finds nothing.
     """
     categories = CATEGORY_WORDS if categories is None else categories
-    chosen = F.broadcast(sample_labels(labels, label, sample))  # at most 2 * sample rows of two numbers
-    text = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id")
+    drawn = sample_labels(labels, label, sample)
+    sizes = {r["y"]: r["n"] for r in drawn.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    if not n0 or not n1:
+        return Chain([], [(label, np.array([-35.0]))], 0.5)
+    # at most 2 * sample rows of two numbers
+    text = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y")
 
-    def tokens():
+    def tally():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [sorted(words_of(t)) for t in batch[1].to_pylist()]
-            return pa.RecordBatch.from_arrays([batch[0], batch[2], pa.array(found, pa.list_(pa.string()))], ["doc_id", "y", "words"])
+            found: dict[str, list[int]] = {}
+            for at in range(0, batch.num_rows, 32):
+                for t, y in zip(batch[1].slice(at, 32).to_pylist(), batch[2].slice(at, 32).to_pylist(), strict=True):
+                    for w in words_of(t):
+                        c = found.setdefault(w, [0, 0])
+                        c[0] += y
+                        c[1] += 1
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), *(pa.array([c[i] for c in found.values()], pa.int64()) for i in (0, 1))], ["w", "p", "n"])
 
         return work
 
-    tokened = arrow_pass(text.select("doc_id", "text", "y"), tokens, "doc_id long, y int, words array<string>").cache()
-    sizes = {r["y"]: r["n"] for r in tokened.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    if not n0 or not n1:
-        tokened.unpersist()
-        return Chain([], [(label, np.array([-35.0]))], 0.5)
-    by_word = tokened.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
+    by_word = arrow_pass(text, tally, "w string, p long, n long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     gain = F.abs(F.log((F.col("p") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("p") + 0.5) / (n0 + 1))) * F.sqrt("n")
     words = [r["w"] for r in by_word.where("n >= 3").orderBy(gain.desc(), "w").limit(WORDS).collect()]
-    keep = F.array([F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    marks = F.array([F.lit(w) for ws in categories.values() for w in ws]) if categories else F.array().cast("array<string>")
-    rows = tokened.select("doc_id", "y", F.array_intersect("words", F.array_union(keep, marks)).alias("words")).orderBy("doc_id").collect()
-    tokened.unpersist()
+    wanted = {*words, *(w for ws in categories.values() for w in ws)}
+
+    def hold():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            held = [sorted(words_of(t) & wanted) for t in batch[1].to_pylist()]
+            return pa.RecordBatch.from_arrays([batch[0], batch[2], pa.array(held, pa.list_(pa.string()))], ["doc_id", "y", "words"])
+
+        return work
+
+    rows = arrow_pass(text, hold, "doc_id long, y int, words array<string>").orderBy("doc_id").collect()
 
     at = {w: i for i, w in enumerate(words)}
     x, y = np.zeros((len(rows), len(words))), np.array([r["y"] for r in rows], float)
