@@ -6,6 +6,7 @@ from .language import op9_language_id
 from .packing import op6_best_fit_packing
 from .quality import op5_quality_ranking
 from .secrets import op10_secret_scans
+from .substring import op8_substring_dedup
 from .toxicity import op7_toxicity
 from .urlrules import OP4_SQL, op4_url_rules
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_quality_ranking": op5_quality_ranking,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_secret_scans": op10_secret_scans,
 }
