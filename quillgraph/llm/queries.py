@@ -3,6 +3,7 @@
 from .decontaminate import op1_decontamination
 from .jaccard import op3_jaccard_join
 from .language import op9_language_id
+from .neighbours import op2_nearest_neighbours
 from .packing import op6_best_fit_packing
 from .quality import op5_quality_ranking
 from .secrets import op10_secret_scans
@@ -12,6 +13,7 @@ from .urlrules import OP4_SQL, op4_url_rules
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_url_rules": op4_url_rules,
     "op5_quality_ranking": op5_quality_ranking,
