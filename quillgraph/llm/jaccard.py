@@ -30,6 +30,9 @@ from .graph import components
 #: Counters of the sketch (a power of two) and the pieces in which it travels.
 SKETCH, SLICES = 1 << 20, 64
 
+#: Bits of a set's parity map: two sets differ in at least as many n-grams as their maps in bits.
+BITS = 512
+
 #: Sketches of so many tasks are added up in one group; above it, in levels.
 FAN_IN = 64
 
@@ -91,34 +94,36 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """For each document: set size, key of the set, key of the group (prefix and size) and prefix, rarest n-gram first."""
+    """For each document: set size, key of the set, key of the group (prefix and size), prefix, rarest n-gram first, and parity map."""
     told = docs.sparkSession.sparkContext.broadcast(counts)
 
     def make():
         hashes, often = WordHash(), told.value
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, keys, groups, lists = [], [], [], []
+            sizes, keys, groups, lists, maps = [], [], [], [], []
             for text in batch[1].to_pylist():
                 own = shingle_set(text, words, hashes)
                 n = len(own)
                 sizes.append(n)
                 if not n:
-                    keys.append(None), groups.append(None), lists.append(None)
+                    keys.append(None), groups.append(None), lists.append(None), maps.append(None)
                     continue
+                odd = np.bincount((own >> np.uint64(44) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                maps.append(np.packbits(odd.astype(bool)).tobytes())
                 order = np.lexsort((own, often[(own >> np.uint64(20) & np.uint64(SKETCH - 1)).astype(np.int64)]))
                 first = own[order[: n - -(-percent * n // 100) + 1]]
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
                 groups.append(xxhash.xxh3_128_digest(first.tobytes() + n.to_bytes(8, "little")))
                 lists.append(first.view(np.int64))
             return pa.RecordBatch.from_arrays(
-                [batch[0], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                ["doc_id", "n", "set_key", "group_key", "prefix"],
+                [batch[0], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
+                ["doc_id", "n", "set_key", "group_key", "prefix", "bits"],
             )
 
         return work
 
-    return arrow_pass(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, n long, set_key binary, group_key binary, prefix array<long>")
+    return arrow_pass(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, n long, set_key binary, group_key binary, prefix array<long>, bits binary")
 
 
 def listed(groups: DataFrame) -> DataFrame:
@@ -161,39 +166,74 @@ def neighbours(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups of one list that may hold a link not yet in a component. Rows: token, n, gid, place, low, high.
+    """Pairs of groups of one list that may hold a link not yet in a component. Rows: token, n, gid, place, low, high, bits.
 
-    low and high are the least and the largest component of a group's members. The bounds on size and place are those
-    of the first shared n-gram; a pair with a link passes them there.
+    low and high are the least and the largest component of a group's members; bits is the parity map of a group with one
+    set, else null. The bounds on size and place are those of the first shared n-gram; a pair with a link passes them there.
+    Its maps differ in no more bits than its sets may differ in n-grams.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_now, held = None, [np.zeros(0, np.int64) for _ in range(5)]  # n, gid, place, low, high of the list so far
+        rest: pa.RecordBatch | None = None  # the last list so far: it may go on, so it is worked on in parts
+        tail = None
         for batch in batches:
-            token, *cols = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
-            cuts = [0, *(np.flatnonzero(np.diff(token)) + 1).tolist(), len(token)]
+            if rest is not None:
+                batch = pa.concat_batches([rest, batch])
+            token = batch[0].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1])
+            low, high = batch[4].to_numpy(), batch[5].to_numpy()
+            mixed = np.minimum.reduceat(low, cuts) != np.maximum.reduceat(high, cuts)
+            ends = np.concatenate([cuts[1:], [len(token)]])
             out = []
-            for start, end in zip(cuts, cuts[1:], strict=False):
-                if start == end:
-                    continue
-                if token[start] != token_now:
-                    token_now, held = token[start], [x[:0] for x in cols]
-                own = [np.concatenate([h, x[start:end]]) for h, x in zip(held, cols, strict=True)]
-                n, gid, place, low, high = own
-                for i in range(len(held[0]), len(n)):
-                    first = np.searchsorted(n[:i], -(-percent * n[i] // 100))
-                    m, p = n[first:i], place[first:i]
-                    need = -(-percent * (m + n[i]) // (100 + percent))
-                    fits = (1 + np.minimum(m - p, n[i] - place[i]) - 1 >= need) & (gid[first:i] != gid[i])
-                    fits &= ~((low[first:i] == high[first:i]) & (low[first:i] == low[i]) & (low[i] == high[i]))
-                    if fits.any():
-                        out.append((gid[first:i][fits], gid[i]))
-                small = np.searchsorted(n, -(-percent * n[-1] // 100))
-                held = [x[small:] for x in own]
+            for start, end in zip(cuts[:-1][mixed[:-1]].tolist(), ends[:-1][mixed[:-1]].tolist(), strict=True):
+                pairs_of(columns(batch.slice(start, end - start)), tail if start == 0 else 0, out)
+            start = int(cuts[-1])
+            if start:
+                tail = None
+            # of a list that goes on, rows too small for any later one are done with
+            last = batch.slice(start)
+            pairs_of(columns(last), tail or 0, out) if len(last) > 4096 else None
+            if len(last) > 4096:
+                n = last[1].to_numpy()
+                first = int(np.searchsorted(n, -(-percent * n[-1] // 100)))
+                last = last.slice(first)
+                tail = len(last)
+            rest = last
             if out:
-                a = np.concatenate([x for x, _ in out])
-                b = np.concatenate([np.full(len(x), y) for x, y in out])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                yield given(out)
+        out = []
+        if rest is not None:
+            pairs_of(columns(rest), tail or 0, out)
+        if out:
+            yield given(out)
+
+    def columns(part: pa.RecordBatch) -> tuple:
+        maps = part[6].to_pylist()
+        known = np.array([m is not None for m in maps])
+        bits = np.frombuffer(b"".join(m or bytes(BITS // 8) for m in maps), np.uint64).reshape(len(maps), -1)
+        return (*(part[i].to_numpy().astype(np.int64) for i in range(1, 6)), bits, known)
+
+    def pairs_of(cols: tuple, done: int | None, out: list) -> None:
+        """Pairs of each row from `done` on with the rows before it."""
+        n, gid, place, low, high, bits, known = cols
+        for i in range(max(1, done or 0), len(n)):
+            first = int(np.searchsorted(n[:i], -(-percent * n[i] // 100)))
+            m, p = n[first:i], place[first:i]
+            need = -(-percent * (m + n[i]) // (100 + percent))
+            fits = (np.minimum(m - p, n[i] - place[i]) >= need) & (gid[first:i] != gid[i])
+            fits &= ~((low[first:i] == high[first:i]) & (low[first:i] == low[i]) & (low[i] == high[i]))
+            at = np.flatnonzero(fits) + first
+            if len(at) and known[i]:
+                apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
+                at = at[~known[at] | (n[at] + n[i] - apart >= 2 * need[at - first])]
+            if len(at):
+                out.append((gid[at], gid[i]))
+
+    def given(out: list) -> pa.RecordBatch:
+        a = np.concatenate([x for x, _ in out])
+        b = np.concatenate([np.full(len(x), y) for x, y in out])
+        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return lists.mapInArrow(run, "a long, b long")
 
@@ -203,7 +243,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     spark = pairs.sparkSession
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct().persist(StorageLevel.DISK_ONLY)
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    chosen = texts.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    chosen = texts.join(some, "doc_id", "left_semi")
 
     def make():
         hashes, kept = WordHash(), {}
@@ -248,6 +288,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sets = checkpoint(own.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("group_key").alias("group_key"), F.min("n").alias("n"), F.count("*").alias("copies")))
     # one row per group; its rows all have the same prefix
     groups = own.groupBy("group_key").agg(F.min("doc_id").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    maps = own.groupBy("group_key").agg(F.min("doc_id").alias("gid"), F.min("bits").alias("bits"), F.max("bits").alias("other")).where("bits = other").select("gid", "bits")
     lists = stored(neighbours(listed(groups), percent), "lists")
 
     many = sets.groupBy("group_key").agg(F.min("rep").alias("gid"), F.count("*").alias("members")).where("members > 1").select("group_key", "gid")
@@ -265,8 +306,9 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     parts = members.join(label, members["rep"] == label["node"], "left").select("gid", "rep", F.coalesce("label", "rep").alias("part"))
     parts = checkpoint(parts)
     wide = parts.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    rows = lists.select("token", "n", "gid", "place").join(wide, "gid", "left").join(label.withColumnRenamed("node", "gid"), "gid", "left")
-    rows = rows.select("token", "n", "gid", "place", F.coalesce("low", "label", "gid").alias("low"), F.coalesce("high", "label", "gid").alias("high"))
+    parted = maps.join(wide, "gid", "full").join(label.withColumnRenamed("node", "gid"), "gid", "left")
+    parted = parted.select("gid", F.coalesce("low", "label", "gid").alias("low"), F.coalesce("high", "label", "gid").alias("high"), F.when(F.col("low").isNull(), F.col("bits")).alias("bits"))
+    rows = lists.select("token", "n", "gid", "place").join(parted, "gid").select("token", "n", "gid", "place", "low", "high", "bits")
     pairs = open_pairs(rows.repartition("token").sortWithinPartitions("token", "n", "gid"), percent).distinct()
     pairs = pairs.unionAll(wide.where("low != high").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
 
