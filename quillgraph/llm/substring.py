@@ -45,8 +45,10 @@ def hashed(text: str | None, hashes: WordHash) -> np.ndarray:
     return hashes.of(text.encode("utf-8", "surrogatepass").split()) if text else np.zeros(0, np.uint64)
 
 
-def _bucket_bits(docs: DataFrame) -> int:
-    return max(6, (docs.rdd.getNumPartitions() - 1).bit_length() + 1)
+def _bits(docs: DataFrame) -> tuple[int, int]:
+    """Bits of the blocks' numbers (several blocks for each scan task, so that they deal out evenly) and of the map."""
+    tasks = (docs.rdd.getNumPartitions() - 1).bit_length()
+    return max(8, tasks + 3), min(MOST_BITS, BITS_A_TASK << tasks).bit_length() - 1
 
 
 def recurring(texts: DataFrame, least: int, bucket_bits: int, map_bits: int) -> np.ndarray:
@@ -134,8 +136,7 @@ def factors(docs: DataFrame, least: int = 20) -> DataFrame:
     Each row has some of a document's factors of at least `least` words and the earlier place each copies.
     """
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text", F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"))
-    bucket_bits = _bucket_bits(texts)
-    map_bits = max(bucket_bits + 3, min(MOST_BITS, BITS_A_TASK << bucket_bits).bit_length() - 1)
+    bucket_bits, map_bits = _bits(texts)
     told = docs.sparkSession.sparkContext.broadcast(recurring(texts, least, bucket_bits, map_bits))
     schema = "bucket int, doc_id long, text_key long, blob binary"
 
