@@ -3,12 +3,13 @@
 A document is its set of word n-grams. Sets are ordered by how often their n-grams occur (a count sketch over
 all documents; any order is right, this one is quick), rarest first. Two sets that are similar enough share an
 n-gram in their prefixes. Documents with equal sets become one node; sets of one size with the same prefix
-become one group, and only groups stand in the prefix lists. Candidates come in two rounds, so that a group of
+become one group, and only groups stand in the prefix lists. Candidates come in three rounds, so that a group of
 near copies costs links in proportion to its size, not to its square:
 
-1. neighbours in each prefix list, ordered by size, and each group's members with its first;
-2. after components of these, all pairs of a list that the bounds on size and place leave, unless both
-   groups lie wholly in one component already. Groups that are left expand to their members.
+1. neighbours in prefix lists, ordered by size, and each group's members with its first;
+2. after components of these, of each group in each list the nearest one by parity maps that lies in another
+   component, if bounds on size, place and maps leave it;
+3. after components again, all such pairs. Groups expand to their members unless they lie wholly in one component.
 
 Every candidate is verified on the whole texts, so the components are exact.
 """
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, arrow_pass, checkpoint, grams, read, stored
@@ -33,6 +34,9 @@ SKETCH, SLICES = 1 << 20, 64
 #: Bits of a set's parity map: two sets differ in at least as many n-grams as their maps in bits.
 BITS = 512
 
+#: Candidates of each group in the first round.
+FIRST = 2
+
 #: Sketches of so many tasks are added up in one group; above it, in levels.
 FAN_IN = 64
 
@@ -132,45 +136,72 @@ def listed(groups: DataFrame) -> DataFrame:
     return rows.select("token", "n", "gid", "place").repartition("token").sortWithinPartitions("token", "n", "gid")
 
 
+def _near(n1, p1, n2, p2, percent: int):
+    """Whether two sets, the first not the larger, may be similar enough if their first shared n-gram is at these places."""
+    return (100 * n1 >= percent * n2) & (np.minimum(n1 - p1, n2 - p2) >= -(-percent * (n1 + n2) // (100 + percent)))
+
+
 def neighbours(lists: DataFrame, percent: int) -> DataFrame:
-    """Of lists with more than one group: their rows, and with each (as `before`) the group in front of it if sizes allow a link."""
+    """The lists without groups that no other can match there, and with each row (as `before`) the row in front if these two can.
+
+    Lists of up to three rows are judged pair by pair; of longer ones all rows stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row in front, whether it has been given out, and its `before`
+        rest = np.zeros((4, 0), np.int64)  # the last list so far, or of a long one its last row
+        long = False  # whether rows of that list have been given out
         for batch in batches:
-            token, n, gid, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if last is not None:
-                token, n, gid, place = (np.concatenate([[x], y]) for x, y in zip(last[0], (token, n, gid, place), strict=True))
-            same = np.concatenate([[False], token[1:] == token[:-1]])
-            near = np.concatenate([[False], 100 * n[:-1] >= percent * n[1:]]) & same
+            cols = np.column_stack([rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])])
+            last = int(np.flatnonzero(cols[0] != cols[0, -1])[-1]) + 1 if cols[0, 0] != cols[0, -1] else 0
+            if last:
+                yield from judged(cols[:, :last], long)
+                long = False
+            rest = cols[:, last:]
+            if rest.shape[1] > 4096:
+                yield from judged(rest, long, True)
+                rest, long = rest[:, -1:], True
+        if rest.shape[1]:
+            yield from judged(rest, long)
+
+    def judged(cols: np.ndarray, long: bool, goes_on: bool = False) -> Iterator[pa.RecordBatch]:
+        """`long`: the first row is of a list whose rows before are given out, as is this one itself."""
+        token, n, gid, place = cols
+        size = len(token)
+
+        def pair(k: int) -> np.ndarray:
+            ok = np.zeros(size, bool)
+            if size > k:
+                ok[k:] = (token[k:] == token[:-k]) & _near(n[:-k], place[:-k], n[k:], place[k:], percent)
+            return ok
+
+        one, two = pair(1), pair(2)
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        length = np.repeat(np.diff(np.concatenate([start, [size]])), np.diff(np.concatenate([start, [size]])))
+        keep = (length > 3) | one | two
+        keep[:-1] |= one[1:]
+        keep[:-2] |= two[2:]
+        if goes_on:
+            keep[:] = True
+        if long:
+            keep |= token == token[0]
+            keep[0] = False
+        if keep.any():
             before = np.concatenate([gid[:1], gid[:-1]])
-            if last is not None:
-                near[0], before[0] = last[1] is not None, last[1] if last[1] is not None else 0
-                same[0] = last[2]
-            shared = same | np.concatenate([same[1:], [False]])
-            keep = shared[:-1]
-            if keep.any():
-                yield rows(token[:-1][keep], n[:-1][keep], gid[:-1][keep], place[:-1][keep], before[:-1][keep], near[:-1][keep])
-            last = ((token[-1], n[-1], gid[-1], place[-1]), int(before[-1]) if near[-1] else None, bool(same[-1]))
-        if last is not None and last[2]:
-            one = [np.array([x]) for x in last[0]]
-            yield rows(*one, np.array([last[1] or 0]), np.array([last[1] is not None]))
-
-    def rows(token, n, gid, place, before, near) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(token, pa.int64()), pa.array(n, pa.int64()), pa.array(gid, pa.int64()), pa.array(place, pa.int32()), pa.array(before, pa.int64(), mask=~near)],
-            ["token", "n", "gid", "place", "before"],
-        )
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x[keep]) for x in (token, n, gid)), pa.array(place[keep].astype(np.int32)), pa.array(before[keep], mask=~one[keep])],
+                ["token", "n", "gid", "place", "before"],
+            )
 
     return lists.mapInArrow(run, "token long, n long, gid long, place int, before long")
 
 
-def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
+def open_pairs(lists: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Pairs of groups of one list that may hold a link not yet in a component. Rows: token, n, gid, place, low, high, bits.
 
     low and high are the least and the largest component of a group's members; bits is the parity map of a group with one
     set, else null. The bounds on size and place are those of the first shared n-gram; a pair with a link passes them there.
-    Its maps differ in no more bits than its sets may differ in n-grams.
+    Its maps differ in no more bits than its sets may differ in n-grams. nearest: of each row's pairs in a list, only one
+    with the fewest such bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,9 +254,13 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
             fits = (np.minimum(m - p, n[i] - place[i]) >= need) & (gid[first:i] != gid[i])
             fits &= ~((low[first:i] == high[first:i]) & (low[first:i] == low[i]) & (low[i] == high[i]))
             at = np.flatnonzero(fits) + first
-            if len(at) and known[i]:
-                apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
-                at = at[~known[at] | (n[at] + n[i] - apart >= 2 * need[at - first])]
+            if not len(at):
+                continue
+            apart = np.where(known[at] & known[i], np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64), 0)
+            ok = n[at] + n[i] - apart >= 2 * need[at - first]
+            at = at[ok]
+            if nearest and len(at):
+                at = at[[np.argmin(apart[ok])]]
             if len(at):
                 out.append((gid[at], gid[i]))
 
@@ -293,23 +328,47 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     many = sets.groupBy("group_key").agg(F.min("rep").alias("gid"), F.count("*").alias("members")).where("members > 1").select("group_key", "gid")
     members = checkpoint(sets.join(many, "group_key").select("gid", "rep"))
-    chain = lists.where("before IS NOT NULL").select(F.least("before", "gid").alias("a"), F.greatest("before", "gid").alias("b"))
+    chain = lists.where("before IS NOT NULL").select(F.col("n"), F.least("before", "gid").alias("a"), F.greatest("before", "gid").alias("b"))
+    chain = chain.groupBy("a", "b").agg(F.count("*").alias("lists"), F.min("n").alias("n"))
+    # neighbours in few of their lists share little; they are left to the later rounds
+    often = F.col("lists") >= 0.2 * (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    most = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("lists"), "a"))
+    chain = chain.where(often).withColumn("k", most).where(f"k <= {FIRST}").select("a", "b")
     star = members.where("gid != rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-    first = checkpoint(chain.unionAll(star).where("a != b").distinct())
+    tried = checkpoint(chain.unionAll(star).where("a != b").distinct())
     # rows that share a doc_id are one document, whatever their sets
     twice = own.select("doc_id", "set_key").distinct().groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     joined = own.join(F.broadcast(twice) if twice.count() <= BROADCAST_IDS else twice, "doc_id").select("doc_id", "set_key").distinct()
     joined = joined.join(sets.select("set_key", "rep"), "set_key").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = verified(first, texts, words, percent).unionAll(checkpoint(joined))
+    links = verified(tried, texts, words, percent).unionAll(checkpoint(joined))
     label = components(links)
+    for nearest in (True, False):
+        pairs = _open(lists, maps, members, label, percent, nearest).join(tried, ["a", "b"], "left_anti")
+        pairs = checkpoint(pairs)
+        if pairs.isEmpty():
+            continue
+        more = verified(pairs, texts, words, percent)
+        tried = tried.unionAll(pairs)
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            label = components(links)
 
+    whole = sets.join(label, sets["rep"] == label["node"], "left").select("set_key", "copies", "rep", F.coalesce("label", "rep").alias("component"))
+    moved = whole.where("copies > 1 OR component != rep").select("set_key", "component").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = base.select("doc_id", "n", "set_key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    out = out.join(moved, ["set_key", "salt"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def _open(lists: DataFrame, maps: DataFrame, members: DataFrame, label: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of sets in different components that a list, or a group, has together and the bounds leave."""
     parts = members.join(label, members["rep"] == label["node"], "left").select("gid", "rep", F.coalesce("label", "rep").alias("part"))
     parts = checkpoint(parts)
     wide = parts.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     parted = maps.join(wide, "gid", "full").join(label.withColumnRenamed("node", "gid"), "gid", "left")
     parted = parted.select("gid", F.coalesce("low", "label", "gid").alias("low"), F.coalesce("high", "label", "gid").alias("high"), F.when(F.col("low").isNull(), F.col("bits")).alias("bits"))
     rows = lists.select("token", "n", "gid", "place").join(parted, "gid").select("token", "n", "gid", "place", "low", "high", "bits")
-    pairs = open_pairs(rows.repartition("token").sortWithinPartitions("token", "n", "gid"), percent).distinct()
+    pairs = open_pairs(rows.repartition("token").sortWithinPartitions("token", "n", "gid"), percent, nearest).distinct()
     pairs = pairs.unionAll(wide.where("low != high").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
 
     def side(x: str) -> DataFrame:
@@ -317,16 +376,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     opened = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     opened = opened.select(F.coalesce("rep_a", "a").alias("a"), F.coalesce("rep_b", "b").alias("b"), "part_a", "part_b").where("part_a IS NULL OR part_b IS NULL OR part_a != part_b")
-    second = opened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct().join(first, ["a", "b"], "left_anti")
-    more = verified(checkpoint(second), texts, words, percent)
-    if not more.isEmpty():
-        label = components(links.unionAll(more))
-
-    whole = sets.join(label, sets["rep"] == label["node"], "left").select("set_key", "copies", "rep", F.coalesce("label", "rep").alias("component"))
-    moved = whole.where("copies > 1 OR component != rep").select("set_key", "component").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = base.select("doc_id", "n", "set_key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = out.join(moved, ["set_key", "salt"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return opened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
 def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
