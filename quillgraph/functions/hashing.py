@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col
@@ -39,19 +39,21 @@ def fnv1a(c: Column | str) -> Column:
 def signature(hashes: Column | str) -> Column:
     """The least of (a * h + b) mod 2^32 over the hashes, for each pair of constants; all ones without hashes."""
     hashes = col(hashes)
+    # multipliers in halves of 16 bits, so that no product passes 63 bits
+    halves = F.array(*[F.struct(F.lit(a >> 16).cast("long").alias("high"), F.lit(a & 0xFFFF).cast("long").alias("low"), F.lit(b).cast("long").alias("b")) for a, b in CONSTANTS])
 
-    def slot(a: int, b: int) -> Column:
-        # in halves of 16 bits, so that no product passes 63 bits
-        value = F.transform(hashes, lambda h: ((F.lit(a >> 16) * h % (1 << 16)) * (1 << 16) + F.lit(a & 0xFFFF) * h + b) % (1 << 32))
+    def slot(c: Column) -> Column:
+        value = F.transform(hashes, lambda h: (c["high"] * h % (1 << 16) * (1 << 16) + c["low"] * h + c["b"]) % (1 << 32))
         return F.coalesce(F.array_min(value), F.lit(MASK).cast("long"))
 
-    return F.array(*[slot(a, b) for a, b in CONSTANTS])
+    return F.transform(halves, slot)
 
 
-def band_keys(sig: Column | str) -> Column:
-    """One text per band."""
-    sig = col(sig)
-    return F.array(*[F.concat_ws(":", F.lit(str(b)), *[sig[b * ROWS + r].cast("string") for r in range(ROWS)]) for b in range(BANDS)])
+def band_rows(sets: DataFrame, hashes: Column, *keys: str) -> DataFrame:
+    """keys, key: one row per band of each set's signature."""
+    rows = sets.select(*keys, signature(hashes).alias("sig")).select(*keys, "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    parts = [F.get("sig", F.col("band") * ROWS + r).cast("string") for r in range(ROWS)]
+    return rows.select(*keys, F.concat_ws(":", F.col("band").cast("string"), *parts).alias("key"))
 
 
 def estimate(a: Column | str, b: Column | str) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import band_keys, fnv1a, signature
+from ..functions.hashing import band_rows, fnv1a
 from ..functions.text import BLANK
 
 #: Documents with more notes than this get candidates from MinHash bands; fewer are compared in full.
@@ -27,7 +27,7 @@ def phrase_words(topics: Column | str) -> Column:
 
 def band_pairs(sets: DataFrame, tokens: str = "tokens") -> DataFrame:
     """doc_id, a, b: sets (doc_id, seq, tokens) that share a MinHash band, each pair once."""
-    keys = sets.select("doc_id", "seq", F.explode(band_keys(signature(F.transform(F.col(tokens), fnv1a)))).alias("key"))
+    keys = band_rows(sets, F.transform(F.col(tokens), fnv1a), "doc_id", "seq")
     first = keys.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("seq"))).where(F.col("n") <= BUCKET)
     x = first.select("doc_id", "key", F.col("seq").alias("a"))
     y = first.select("doc_id", "key", F.col("seq").alias("b"))

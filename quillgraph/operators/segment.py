@@ -119,7 +119,7 @@ def entity_codes(notes: DataFrame) -> DataFrame:
 def speaker_names(corpus: DataFrame, least: int = 3) -> DataFrame:
     """doc_id, name, n: names that stand before a colon `least` times or more, in lower case."""
     found = F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-z]{2,15}):"), 1))
-    counted = corpus.select("doc_id", F.lower(found).alias("name")).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+    counted = corpus.select("doc_id", found.alias("name")).groupBy("doc_id", F.lower("name").alias("name")).agg(F.count("*").alias("n"))
     return counted.where(F.col("n") >= least)
 
 

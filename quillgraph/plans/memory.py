@@ -79,6 +79,8 @@ def build(corpus: DataFrame, options: BuildOptions = BuildOptions(), hold: bool
     if hold:
         tied = tied.persist(StorageLevel.MEMORY_AND_DISK)
     notes = weights.normalize_weights(weights.blend_centrality(raw, tied, "raw_weight"), options.temperature).select(*NOTE)
+    if hold:
+        notes = notes.persist(StorageLevel.MEMORY_AND_DISK)
     short = F.length(trimmed("text"))
     warning = F.when((short < SHORT) & (F.coalesce("chunk_count", F.lit(0)) > 0), F.array(F.concat(F.lit("input is "), short, F.lit(" chars: too short for a meaningful memory"))))
     source = newlines("text") if options.keep_source else F.lit(None).cast("string")

@@ -1,5 +1,668 @@
-"""Registered queries of the engine and the SQL that checks them."""
+"""Registered queries of the engine and the SQL that checks them, where SQL can express them.
+
+The tables' texts are pseudo-words without signals, so some queries plant fixed sentences, chosen by the ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import oracle as sql
+from .config import BuildOptions, InjectOptions, RecallOptions, StreamOptions
+from .functions import hashing, text
+from .functions import lexicon as lex
+from .operators import conflicts, context, dedupe, evaluate, links, search, segment, topics, weights
+from .plans import memory
+from .sources import codec, corpora
+from .streaming import live
 
 QUERIES: dict = {}
 
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(check: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if check:
+            ORACLE_SQL[f.__name__] = check
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def conv_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return corpora.from_conversations(read(spark, sf, "conversations"))
+
+
+def doc_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return corpora.from_documents(read(spark, sf, "documents"))
+
+
+def rounded(c: Column | str, name: str) -> Column:
+    return F.round(c, 6).alias(name)
+
+
+def texts_of(*values: str) -> Column:
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+
+
+def base_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes made from turns by plain rules; the same as oracle.NOTES."""
+    t = read(spark, sf, "conversations")
+    turn, mixed = F.col("turn"), F.col("conv_id") + F.col("turn")
+    names = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), 0))), 1, 4)
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w).between(4, 9))
+    month = F.concat(F.lit("2023-0"), (turn % 9 + 1).cast("string"))
+    flags = F.when(mixed % 6 == 0, texts_of("DECISION", "TECHNICAL")).when(mixed % 6 == 1, texts_of("ORIGIN")).when(mixed % 6 == 2, texts_of("CORE")).when(mixed % 6 == 3, texts_of("PIVOT")).otherwise(texts_of())
+    return t.select(
+        F.col("conv_id").alias("doc_id"),
+        (turn + 1).cast("int").alias("seq"),
+        text.note_id(turn + 1).alias("id"),
+        names.alias("entities"),
+        F.slice(F.array_sort(F.array_distinct(words)), 1, 8).alias("topics"),
+        F.col("text").alias("quote"),
+        ((F.col("conv_id") * 31 + turn * 17) % 101 / 100.0).alias("weight"),
+        flags.alias("flags"),
+        texts_of().alias("emotions"),
+        F.when(mixed % 5 == 0, F.concat(month, F.lit("-1"), (turn % 9).cast("string"))).when(mixed % 5 == 1, month).when(mixed % 5 == 2, "2022").alias("resolved_date"),
+    )
+
+
+def base_links(notes: DataFrame) -> DataFrame:
+    """Links between notes that share a topic word; the same as oracle.LINKS."""
+    rows = notes.select("doc_id", "seq", F.explode("topics").alias("token"), "id")
+    a, b = (rows.select("doc_id", "token", F.col("seq").alias(f"seq_{x}"), F.col("id").alias(n)) for x, n in (("a", "from_id"), ("b", "to_id")))
+    return a.join(b, ["doc_id", "token"]).where("seq_a < seq_b").select("doc_id", "from_id", "to_id").distinct()
+
+
+def turn_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each conversation is asked its first turn."""
+    return read(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("doc_id"), "text")
+
+
+# ---- sources and segments
+
+
+@query(f"WITH {sql.CONV} SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM conv")
+def conversation_corpus(spark, sf):
+    return conv_corpus(spark, sf).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(r"SELECT doc_id, md5(text) AS digest FROM documents")
+def normalize_newlines(spark, sf):
+    docs = read(spark, sf, "documents")
+    cr = F.when(F.col("doc_id") % 2 == 0, "\r\n").otherwise("\r")
+    return docs.select("doc_id", F.replace("text", F.lit("\n"), cr).alias("text")).select("doc_id", F.md5(text.newlines("text").cast("binary")).alias("digest"))
+
+
+PARAS = r"""pieces AS (
+  SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS piece FROM (SELECT doc_id, string_split(text, E'\n') AS p FROM documents)),
+placed AS (SELECT doc_id, i, piece, coalesce(sum(length(piece) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pl FROM pieces),
+paras AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS idx, CAST(pl + length(piece) - length(ltrim(piece, E' \t')) AS INT) AS s,
+         CAST(pl + length(rtrim(piece, E' \t')) AS INT) AS e, trim(piece, E' \t') AS text FROM placed WHERE trim(piece, E' \t') <> '')"""
+
+
+@query(f"WITH {PARAS} SELECT doc_id, CAST(idx AS INT) AS idx, s AS para_start, e AS para_end, md5(text) AS digest FROM paras")
+def paragraphs(spark, sf):
+    return segment.paragraphs(doc_corpus(spark, sf)).select("doc_id", "idx", "para_start", "para_end", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+CHUNKS = """walk AS (
+  SELECT doc_id, idx, s AS cs, e AS ce, NULL::INT AS os, NULL::INT AS oe FROM paras WHERE idx = 0
+  UNION ALL
+  SELECT p.doc_id, p.idx, CASE WHEN p.e - w.cs > 800 THEN {next} ELSE w.cs END, p.e,
+         CASE WHEN p.e - w.cs > 800 THEN w.cs END, CASE WHEN p.e - w.cs > 800 THEN w.ce END
+  FROM walk w JOIN paras p ON p.doc_id = w.doc_id AND p.idx = w.idx + 1 JOIN whole d ON d.doc_id = p.doc_id),
+spans AS (
+  SELECT doc_id, os AS s, oe AS e FROM walk WHERE os IS NOT NULL
+  UNION ALL SELECT doc_id, arg_max(cs, idx), arg_max(ce, idx) FROM walk GROUP BY doc_id)
+SELECT s.doc_id, CAST(row_number() OVER (PARTITION BY s.doc_id ORDER BY s.s, s.e) - 1 AS INT) AS idx, s.s AS char_start, s.e AS char_end, md5(substring(d.text, s.s + 1, s.e - s.s)) AS digest
+FROM spans s JOIN whole d USING (doc_id)"""
+WHOLE = r"whole AS (SELECT doc_id, replace(text, E'\n', E'\n\n') AS text FROM documents)"
+SKIP = r"""(CASE WHEN greatest(w.cs, w.ce - 100) = w.cs THEN w.cs ELSE (
+  SELECT CASE WHEN x < w.ce THEN x ELSE p.s END FROM (SELECT CAST(w.ce - 100 + length(regexp_extract(substring(d.text, w.ce - 99, 100),
+    CASE WHEN regexp_matches(substring(d.text, w.ce - 100, 1), '\S') THEN '^\S*\s*' ELSE '^\s*' END)) AS INT) AS x)) END)"""
+
+
+@query(f"WITH RECURSIVE {PARAS}, {WHOLE}, {CHUNKS.replace('{next}', 'p.s')}")
+def chunks_no_overlap(spark, sf):
+    return segment.chunks(doc_corpus(spark, sf), 800, 0).select("doc_id", "idx", "char_start", "char_end", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"WITH RECURSIVE {PARAS}, {WHOLE}, {CHUNKS.replace('{next}', SKIP)}")
+def chunks_overlap(spark, sf):
+    return segment.chunks(doc_corpus(spark, sf), 800, 100).select("doc_id", "idx", "char_start", "char_end", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT conv_id, turn, token, count(*) AS n FROM (SELECT conv_id, turn, unnest({sql.tokens('text')}) AS token FROM conversations) GROUP BY ALL")
+def tokens_fold(spark, sf):
+    t = read(spark, sf, "conversations")
+    return t.select("conv_id", "turn", F.explode(text.tokens("text")).alias("token")).groupBy("conv_id", "turn", "token").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, {sql.estimate('text')} AS tokens, CASE WHEN length(text) < 1000 THEN 150 WHEN length(text) < 3000 THEN 300 WHEN length(text) < 8000 THEN 500 ELSE 800 END AS chunk_size FROM documents")
+def token_estimate(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", text.token_estimate("text").alias("tokens"), text.chunk_size_for("text").alias("chunk_size"))
+
+
+# ---- topics
+
+STREAM = rf"""parts AS (
+  SELECT conv_id AS doc_id, turn AS idx, regexp_split_to_array(regexp_replace(regexp_replace(text, '\([^)]{{3,60}}\)', ' ', 'g'), '(?m)^[A-Z][a-zA-Z]{{1,20}}:\s*', ' ', 'g'), '\s+') AS p FROM conversations),
+raw AS (SELECT doc_id, idx, len(p) AS n, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS w FROM parts),
+shown AS (SELECT doc_id, idx, n, pos, regexp_replace(regexp_replace(w, '^[^A-Za-z0-9_-]+|[^A-Za-z0-9_-]+$', '', 'g'), '[''".,!?;:()\[\]{{}}]', '', 'g') AS shown FROM raw),
+stream AS (SELECT *, lower(shown) AS low, length(shown) > 2 AND lower(shown) NOT IN ({sql.TOPIC_STOP}) AS content FROM shown),
+stats AS (SELECT doc_id, idx, n, low, count(*) AS freq, stddev_pop(pos) AS spread, arg_min(shown, pos) AS sh, min(pos) AS first FROM stream WHERE content GROUP BY ALL),
+unigrams AS (
+  SELECT doc_id, idx, low, freq, first, round(freq / n * (1 + spread / n) * CASE WHEN regexp_full_match(sh, '[A-Z]{{2,}}') THEN 2.0 WHEN regexp_full_match(sh, '[A-Z][a-z]+([A-Z][a-z]*)+') THEN 2.5
+    WHEN contains(sh, '-') AND len(list_filter(string_split(sh, '-'), lambda x: length(x) < 2)) = 0 THEN 1.8 WHEN length(sh) > 6 AND regexp_matches(sh, '(?i)({sql.TECH})$') THEN 1.3 ELSE 1.0 END, 9) AS score FROM stats)"""
+PHRASES = f"""{STREAM},
+near AS (
+  SELECT *, content AND length(replace(low, '-', '')) > 3 AS good FROM stream),
+ahead AS (SELECT *, lead(low, 1) OVER w AS low1, lead(good, 1) OVER w AS good1, lead(low, 2) OVER w AS low2, lead(good, 2) OVER w AS good2 FROM near WINDOW w AS (PARTITION BY doc_id, idx ORDER BY pos)),
+grams AS (
+  SELECT doc_id, idx, 2 * pos AS pl, [low, low1] AS parts FROM ahead WHERE good AND good1 AND low <> low1
+  UNION ALL SELECT doc_id, idx, 2 * pos + 1, [low, low1, low2] FROM ahead WHERE good AND good1 AND good2 AND NOT (low = low1 AND low1 = low2)),
+counted AS (SELECT doc_id, idx, parts, count(*) AS freq, min(pl) AS first FROM grams GROUP BY ALL),
+phrases AS (
+  SELECT c.doc_id, c.idx, array_to_string(parts, ' ') AS phrase, parts, c.freq, c.first,
+         round(coalesce(a.score, 0.01) * coalesce(b.score, 0.01) * CASE WHEN len(parts) = 3 THEN coalesce(d.score, 0.01) ELSE 1 END / CASE WHEN c.freq > 1 THEN c.freq * c.freq + 1 ELSE 1 END, 9) AS score
+  FROM counted c LEFT JOIN unigrams a ON a.doc_id = c.doc_id AND a.idx = c.idx AND a.low = parts[1] LEFT JOIN unigrams b ON b.doc_id = c.doc_id AND b.idx = c.idx AND b.low = parts[2]
+  LEFT JOIN unigrams d ON d.doc_id = c.doc_id AND d.idx = c.idx AND d.low = parts[3])"""
+
+
+def turn_stream(spark, sf):
+    t = read(spark, sf, "conversations")
+    return topics.token_stream(t.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text"))
+
+
+@query(f"WITH {STREAM} SELECT doc_id, idx, low, freq, round(score, 6) AS score FROM unigrams")
+def topic_unigrams(spark, sf):
+    return topics.unigrams(turn_stream(spark, sf)).select("doc_id", "idx", "low", "freq", rounded("score", "score"))
+
+
+@query(f"WITH {PHRASES} SELECT doc_id, idx, phrase, freq, round(score, 6) AS score FROM phrases")
+def topic_phrases(spark, sf):
+    return topics.phrases(turn_stream(spark, sf)).select("doc_id", "idx", "phrase", "freq", rounded("score", "score"))
+
+
+@query(f"""WITH {PHRASES},
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, idx ORDER BY score DESC, first) AS k FROM phrases WHERE score > 0) WHERE k <= 4),
+cover AS (SELECT doc_id, idx, low, max(score) * 1.5 AS lim FROM (SELECT doc_id, idx, unnest(list_distinct(parts)) AS low, score FROM best) GROUP BY ALL),
+used AS (SELECT doc_id, idx, count(*) AS used FROM best GROUP BY ALL),
+singles AS (
+  SELECT u.doc_id, u.idx, u.low, u.score, row_number() OVER (PARTITION BY u.doc_id, u.idx ORDER BY u.score DESC, u.first) AS k
+  FROM unigrams u LEFT JOIN cover c ON c.doc_id = u.doc_id AND c.idx = u.idx AND c.low = u.low WHERE c.lim IS NULL OR u.score > c.lim),
+allt AS (
+  SELECT doc_id, idx, phrase AS topic, score FROM best
+  UNION ALL SELECT s.doc_id, s.idx, s.low, s.score FROM singles s LEFT JOIN used u ON u.doc_id = s.doc_id AND u.idx = s.idx WHERE k <= 8 - coalesce(used, 0))
+SELECT doc_id, idx, topic, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, idx ORDER BY score DESC, topic) AS INT) AS rank FROM allt) WHERE rank <= 8""")
+def topics_top8(spark, sf):
+    return topics.top_topics(turn_stream(spark, sf), root_order=False).select("doc_id", "idx", "topic", "rank")
+
+
+NAMED = "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Alice' WHEN 'assistant' THEN 'Bob' ELSE 'Carol' END || ': ' || text AS text FROM conversations"
+
+
+@query(f"""WITH conv AS (SELECT conv_id AS doc_id, string_agg(text, E'\\n\\n' ORDER BY turn) AS text FROM ({NAMED}) GROUP BY conv_id),
+found AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '\\b([A-Z][a-z]{{2,15}}):', 1))) AS name FROM conv)
+SELECT doc_id, name, count(*) AS n FROM found GROUP BY ALL HAVING count(*) >= 3""")
+def speaker_names(spark, sf):
+    name = F.when(F.col("role") == "user", "Alice").when(F.col("role") == "assistant", "Bob").otherwise("Carol")
+    turns = read(spark, sf, "conversations").withColumn("role", name)
+    return segment.speaker_names(corpora.from_conversations(turns))
+
+
+# ---- signals and dates, planted
+
+SIGNALS = (
+    ("We decided to use Redis.", "DECISION", "conviction"),
+    ("We never decided on a queue.", "", ""),
+    ("This was a turning point and everyone was thrilled.", "PIVOT", "joy"),
+    ("Ann is worried about the database schema.", "TECHNICAL", "fear"),
+    ("The key principle led to a great outcome.", "CORE,GENESIS", ""),
+    ("It was founded there; no one was angry.", "ORIGIN", "loneliness"),
+    ("Nothing to report.", "", ""),
+)
+
+
+def cases(values, key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+def picked(values, key: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (key + 1).cast("int"))
+
+
+@query(f"""SELECT doc_id, {cases([s[1] for s in SIGNALS], 'doc_id % 7')} AS flags, {cases([s[2] for s in SIGNALS], 'doc_id % 7')} AS emotions,
+CAST(CASE doc_id % 7 WHEN 0 THEN 0.55 WHEN 1 THEN 0.08 WHEN 2 THEN 0.45 WHEN 3 THEN 0.1 WHEN 4 THEN 0.7 WHEN 5 THEN 0.45 ELSE 0 END AS DOUBLE) AS raw_weight FROM documents""")
+def signals_planted(spark, sf):
+    """Flags, emotions and raw weight of one planted sentence for each document."""
+    docs = read(spark, sf, "documents").select("doc_id", picked([s[0] for s in SIGNALS], F.col("doc_id") % 7).alias("text"))
+    notes = segment.annotate_notes(docs)
+    return notes.select("doc_id", F.array_join("flags", ",").alias("flags"), F.array_join("emotions", ",").alias("emotions"), "raw_weight")
+
+
+DATED = (
+    ("We met on 8 May 2023 in town.", "2023-05-08"),
+    ("The plan from June 2022 holds.", "2022-06"),
+    ("It has run since 2019 or so.", "2019"),
+    ("She wrote yesterday about it.", "2023-03-30"),
+    ("He left last month for good.", "2023-02-31"),
+    ("It ships next friday at noon.", "2023-04-07"),
+    ("It came 3 weeks ago by post.", "2023-03-10"),
+    ("Nothing is said of days here.", "2023-03-31"),
+)
+
+
+@query(f"SELECT doc_id, {cases([d[1] for d in DATED], 'doc_id % 8')} AS resolved_date FROM documents")
+def dates_planted(spark, sf):
+    """Dates of each precision, relative ones and the session's own."""
+    docs = read(spark, sf, "documents").select("doc_id", picked([d[0] for d in DATED], F.col("doc_id") % 8).alias("text"), F.lit("2023-03-31").alias("date"))
+    return segment.annotate_notes(docs).select("doc_id", "resolved_date")
+
+
+ASKED = ("What happened in March 2022?", "And in 2021 or 2019?", "Was it 2023, Jan or later?", "Nothing dated", "From May 2023 to june 2023 in 2020")
+ASKED_DATES = ("2022-03", "2021,2019", "2023-01", "", "2023-05,2023-06")
+
+
+@query(f"SELECT doc_id, {cases(ASKED_DATES, 'doc_id % 5')} AS dates FROM documents")
+def query_dates(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", picked(ASKED, F.col("doc_id") % 5).alias("text"))
+    return docs.select("doc_id", F.array_join(search.question_dates("text"), ",").alias("dates"))
+
+
+@query(f"""WITH {sql.NOTES}, asked AS (SELECT unnest(['2023-03', '2022', '2023-05-14']) AS q),
+parts AS (SELECT doc_id, seq, q, resolved_date AS d FROM notes, asked)
+SELECT doc_id, seq, q, CAST(CASE WHEN d IS NULL THEN 0.0 WHEN starts_with(d, q) OR starts_with(q, d) THEN 0.25
+  WHEN length(q) = 7 AND length(d) >= 7 AND abs((CAST(left(d, 4) AS INT) - CAST(left(q, 4) AS INT)) * 12 + CAST(substring(d, 6, 2) AS INT) - CAST(substring(q, 6, 2) AS INT)) = 1 THEN 0.1 ELSE 0.0 END AS DOUBLE) AS bonus FROM parts""")
+def date_bonus(spark, sf):
+    asked = F.explode(texts_of("2023-03", "2022", "2023-05-14")).alias("q")
+    rows = base_notes(spark, sf).select("doc_id", "seq", "resolved_date", asked)
+    return rows.select("doc_id", "seq", "q", search.date_bonus("resolved_date", F.array("q")).alias("bonus"))
+
+
+@query(f"WITH {sql.NOTES} SELECT doc_id, id, resolved_date FROM notes WHERE left(resolved_date, 7) >= '2023-02' AND left(resolved_date, 10) <= '2023-04-12'")
+def date_filter(spark, sf):
+    return search.date_range(base_notes(spark, sf), "2023-02", "2023-04-12").select("doc_id", "id", "resolved_date")
+
+
+# ---- names
+
+CODES = """names AS (SELECT doc_id, unnest(entities) AS name FROM notes),
+letters AS (SELECT DISTINCT doc_id, name, upper(regexp_replace(name, '[^a-zA-Z]', '', 'g')) AS l FROM names),
+base AS (
+  SELECT doc_id, name, CASE WHEN l = '' THEN 'UNK' WHEN length(c) >= 2 THEN l[1] || left(c, 2) WHEN length(c) = 1 THEN l[1] || c || l[-1] ELSE rpad(left(l, 3), 3, 'X') END AS base
+  FROM (SELECT *, regexp_replace(substring(l, 2), '[AEIOU]', '', 'g') AS c FROM letters)),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY name) = 1 AS f FROM base),
+codes AS (SELECT doc_id, name, CASE WHEN f THEN base ELSE left(base, 2) || row_number() OVER (PARTITION BY doc_id, left(base, 2), f ORDER BY name) END AS code FROM firsts)"""
+
+
+@query(f"WITH {sql.NOTES}, {CODES} SELECT * FROM codes")
+def entity_codes(spark, sf):
+    return segment.entity_codes(base_notes(spark, sf))
+
+
+# ---- links and weights
+
+PAIRS = f"""{sql.NOTES},
+sets AS (SELECT doc_id, seq, list_distinct(entities) AS es, list_distinct(list_filter(topics, lambda w: length(w) >= 2)) AS ws FROM notes),
+pairs AS (
+  SELECT a.doc_id, a.seq AS a, b.seq AS b, len(list_intersect(a.es, b.es)) AS e, len(list_intersect(a.ws, b.ws)) AS w, len(a.es) AS ea, len(b.es) AS eb, len(a.ws) AS wa, len(b.ws) AS wb
+  FROM sets a JOIN sets b ON a.doc_id = b.doc_id AND a.seq < b.seq),
+cand AS (
+  SELECT doc_id, a, b, greatest(CASE WHEN e > 0 THEN e / (ea + eb - e) * 1.2 ELSE 0 END, CASE WHEN w > 0 THEN w / (wa + wb - w) ELSE 0 END) AS score FROM pairs)"""
+
+
+@query(f"WITH {PAIRS} SELECT doc_id, a, b, round(score, 6) AS score FROM cand WHERE score >= 0.1")
+def link_candidates(spark, sf):
+    return links.link_candidates(base_notes(spark, sf), 0.1).select("doc_id", "a", "b", rounded("score", "score"))
+
+
+@query()
+def note_links(spark, sf):
+    """Links with labels, three for a note at most: a greedy matching, tested against brute force."""
+    notes = base_notes(spark, sf)
+    return links.build_links(notes, segment.entity_codes(notes), threshold=0.1)
+
+
+BLEND = f"""{sql.NOTES}, {sql.LINKS},
+deg AS (SELECT doc_id, id, count(*) AS d FROM (SELECT doc_id, from_id AS id FROM links UNION ALL SELECT doc_id, to_id FROM links) GROUP BY ALL),
+blend AS (SELECT n.doc_id, n.id, 0.8 * weight + 0.2 * CASE WHEN max(d) OVER (PARTITION BY n.doc_id) > 0 THEN coalesce(d, 0) / max(d) OVER (PARTITION BY n.doc_id) ELSE 0 END AS weight FROM notes n LEFT JOIN deg USING (doc_id, id))"""
+
+
+@query(f"WITH {BLEND} SELECT doc_id, id, round(weight, 6) AS weight FROM blend")
+def degree_centrality(spark, sf):
+    notes = base_notes(spark, sf)
+    return weights.blend_centrality(notes, base_links(notes)).select("doc_id", "id", rounded("weight", "weight"))
+
+
+@query(f"""WITH {sql.NOTES},
+mid AS (SELECT doc_id, id, weight, rank() OVER (PARTITION BY doc_id ORDER BY weight) - 1 + (count(*) OVER (PARTITION BY doc_id, weight) - 1) / 2 AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM notes),
+ex AS (SELECT *, exp(r / greatest(n - 1, 1) / 0.5 - 2) AS e FROM mid),
+lim AS (SELECT *, min(e) OVER (PARTITION BY doc_id) AS lo, max(e) OVER (PARTITION BY doc_id) AS hi FROM ex)
+SELECT doc_id, id, CASE WHEN n <= 1 THEN weight WHEN hi > lo THEN floor((e - lo) / (hi - lo) * 100 + 0.5) / 100 ELSE 1.0 END AS weight FROM lim""")
+def midrank_weights(spark, sf):
+    return weights.normalize_weights(base_notes(spark, sf)).select("doc_id", "id", "weight")
+
+
+@query(f"WITH {sql.NOTES} SELECT doc_id, id, round(weight * pow(0.5, (max(seq) OVER (PARTITION BY doc_id) - seq) / 50.0), 6) AS weight FROM notes")
+def decay_rank(spark, sf):
+    age = F.max("seq").over(Window.partitionBy("doc_id")) - F.col("seq")
+    return base_notes(spark, sf).select("doc_id", "id", rounded(weights.decayed(F.col("weight"), age, 50.0), "weight"))
+
+
+# ---- search
+
+TOP5 = """SELECT query_id, doc_id, seq, CAST(rank AS INT) AS rank, score FROM (
+  SELECT query_id, doc_id, seq, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seq) AS rank FROM scored) WHERE rank <= 5"""
+
+
+def best_five(scored: DataFrame) -> DataFrame:
+    whole = Window.partitionBy("query_id")
+    rank = F.row_number().over(whole.orderBy(F.desc(F.round("score", 9)), "seq"))
+    rows = scored.select("query_id", "doc_id", "seq", rounded(F.col("score") / F.max("score").over(whole), "score"), rank.alias("rank"))
+    return rows.where("rank <= 5")
+
+
+@query(f"WITH {sql.NOTES}, {sql.QUESTIONS}, {sql.OWN}, {sql.bm25('SELECT query_id, doc_id, token, 1.0 AS w, times FROM own')} {TOP5}")
+def bm25_top5(spark, sf):
+    """The flagship: each conversation's first turn asked of its turns, over an inverted index."""
+    notes = base_notes(spark, sf).withColumn("body", F.col("quote"))
+    words = turn_questions(spark, sf).select("query_id", "doc_id", F.explode(text.tokens("text")).alias("token")).groupBy("query_id", "doc_id", "token").agg(F.count("*").alias("times"))
+    return best_five(search.bm25(words.withColumn("weight", F.lit(1.0)), search.postings(notes)))
+
+
+SYNONYMS = ", ".join(f"('{a}', '{b}')" for a, b in search.synonym_pairs())
+
+
+@query(f"""WITH notes AS (SELECT conv_id AS doc_id, turn + 1 AS seq, text || ' ' || CASE turn % 4 WHEN 0 THEN 'we moved house' WHEN 1 THEN 'she migrated data' WHEN 2 THEN 'a wedding' ELSE 'they married' END AS quote, []::VARCHAR[] AS topics, []::VARCHAR[] AS entities FROM conversations),
+questions AS (SELECT DISTINCT conv_id AS query_id, conv_id AS doc_id, CASE WHEN conv_id % 2 = 0 THEN 'who will move or wed' ELSE 'was there a partner engaged engaged' END AS text FROM conversations),
+{sql.OWN}, dict AS (SELECT DISTINCT {sql.fold('x')} AS token, {sql.fold('y')} AS mate FROM (VALUES {SYNONYMS}) t(x, y)),
+extra AS (SELECT DISTINCT o.query_id, o.doc_id, mate AS token FROM own o JOIN dict d ON d.token = o.token WHERE d.token <> mate AND NOT EXISTS (SELECT 1 FROM own p WHERE p.query_id = o.query_id AND p.token = mate)),
+{sql.bm25('SELECT query_id, doc_id, token, 1.0 AS w, CASE WHEN query_id IN (SELECT query_id FROM extra) THEN 1 ELSE times END AS times FROM own UNION ALL SELECT query_id, doc_id, token, 0.6, 1 FROM extra')} {TOP5}""")
+def bm25_synonyms(spark, sf):
+    t = read(spark, sf, "conversations")
+    said = picked(("we moved house", "she migrated data", "a wedding", "they married"), F.col("turn") % 4)
+    notes = t.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("seq"), F.concat("text", F.lit(" "), said).alias("body"), texts_of().alias("topics"), texts_of().alias("entities"))
+    asked = F.when(F.col("conv_id") % 2 == 0, "who will move or wed").otherwise("was there a partner engaged engaged")
+    questions = t.select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("doc_id"), asked.alias("text")).distinct()
+    return best_five(search.bm25(search.question_words(questions), search.postings(notes)))
+
+
+@query(f"""WITH {sql.NOTES}, ws AS (SELECT doc_id, seq, {sql.tokens("concat_ws(' ', array_to_string(topics, ' '), array_to_string(entities, ' '))")} AS w FROM notes),
+rows AS (SELECT doc_id, seq, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM ws)
+SELECT x.doc_id, x.w AS a, y.w AS b, count(*) AS cnt FROM rows x JOIN rows y ON x.doc_id = y.doc_id AND x.seq = y.seq AND x.i <> y.i AND x.w <> y.w GROUP BY ALL""")
+def co_occurrence(spark, sf):
+    return search.co_occurrences(base_notes(spark, sf))
+
+
+@query()
+def recall_expanded(spark, sf):
+    """Recall with companions of the asked words, links and dates; checked by tests."""
+    notes = base_notes(spark, sf)
+    asked = read(spark, sf, "conversations").where("turn = 1").select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("doc_id"), F.concat("text", F.lit(" in March 2023")).alias("text"))
+    found = search.recall(notes, asked, base_links(notes).withColumn("label", F.lit("")), RecallOptions(expand=True))
+    return found.select("query_id", "doc_id", "id", "rank", rounded("score", "score"))
+
+
+@query(f"WITH {sql.NOTES.replace('notes AS', 'every AS')}, notes AS (SELECT * FROM every WHERE left(resolved_date, 4) >= '2023'), {sql.QUESTIONS}, {sql.OWN}, {sql.bm25('SELECT query_id, doc_id, token, 1.0 AS w, times FROM own')} {TOP5}")
+def recall_date_filter(spark, sf):
+    """The range goes before the statistics, so these are of the notes in it."""
+    notes = search.date_range(base_notes(spark, sf), after="2023").withColumn("body", F.col("quote"))
+    words = turn_questions(spark, sf).select("query_id", "doc_id", F.explode(text.tokens("text")).alias("token")).groupBy("query_id", "doc_id", "token").agg(F.count("*").alias("times"))
+    return best_five(search.bm25(words.withColumn("weight", F.lit(1.0)), search.postings(notes)))
+
+
+SPANS = """spans AS (SELECT conv_id AS doc_id, turn * 37 % 211 AS s, turn * 37 % 211 + 25 AS e FROM conversations),
+reach AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM spans),
+isle AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM reach)"""
+
+
+@query(f'WITH {SPANS} SELECT doc_id, min(s) AS start, max(e) AS "end" FROM isle GROUP BY doc_id, k')
+def span_merge(spark, sf):
+    at = F.col("turn") * 37 % 211
+    spans = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), at.alias("start"), (at + 25).alias("end"))
+    return context.merge_spans(spans, ["doc_id"])
+
+
+# ---- prompts
+
+SCORE = "0.7 * weight + 0.3 * CASE WHEN list_has_any(flags, ['DECISION', 'ORIGIN', 'CORE']) THEN 1 ELSE 0 END"
+
+
+@query(f"WITH {sql.NOTES} SELECT doc_id, id, rank FROM (SELECT doc_id, id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {SCORE} DESC, id) AS INT) AS rank FROM notes WHERE weight >= 0.2) WHERE rank <= 3")
+def inject_top(spark, sf):
+    return context.select_notes(base_notes(spark, sf).where("weight >= 0.2"), 3).select("doc_id", "id", "rank")
+
+
+@query(f"""WITH {sql.NOTES}, lines AS (SELECT doc_id, seq, '**[' || id || ']** ' || CASE WHEN resolved_date IS NULL AND len(flags) = 0 THEN '' ELSE '*(' || concat_ws(' · ', resolved_date, CASE WHEN len(flags) > 0 THEN array_to_string(flags, ', ') END) || ')* ' END || quote AS line
+FROM notes WHERE list_has_any(flags, ['DECISION', 'CORE'])) SELECT doc_id, string_agg(line, E'\\n\\n' ORDER BY seq) AS text FROM lines GROUP BY doc_id""")
+def inject_markdown(spark, sf):
+    notes = base_notes(spark, sf)
+    return context.inject(notes, base_links(notes), segment.entity_codes(notes), options=InjectOptions(format="markdown", flags=("DECISION", "CORE")))
+
+
+TITLES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lex.FLAG_TITLES.items())
+
+
+@query(f"""WITH {sql.NOTES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, seq) AS p, least(5, greatest(1, ceil(count(*) OVER (PARTITION BY doc_id) * 0.15))) AS lim FROM notes),
+cut AS (SELECT *, max(CASE WHEN p = lim THEN weight END) OVER (PARTITION BY doc_id) AS c FROM ranked),
+kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, seq) AS k FROM cut WHERE weight >= c OR list_has_any(flags, ['ORIGIN', 'CORE', 'GENESIS']))
+SELECT doc_id, replace(string_agg(CASE flags[1] {TITLES} ELSE '' END || quote, '. ' ORDER BY k), '..', '.') AS text FROM kept WHERE k <= 5 GROUP BY doc_id""")
+def wake_up(spark, sf):
+    return context.wake_up(base_notes(spark, sf))
+
+
+@query(f"WITH {sql.NOTES} SELECT doc_id, id, rank FROM (SELECT doc_id, id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, seq) AS INT) AS rank FROM notes) WHERE rank <= 4")
+def top_notes(spark, sf):
+    return context.top_notes(base_notes(spark, sf), 4).select("doc_id", "id", "rank")
+
+
+@query()
+def inject_budget(spark, sf):
+    """Text blocks of at most 400 tokens, guaranteed flags first; greedy, tested against the rules."""
+    notes = base_notes(spark, sf)
+    return context.inject(notes, base_links(notes).withColumn("label", F.lit("x")), segment.entity_codes(notes), options=InjectOptions(max_tokens=400, guarantee_flags=("ORIGIN",)))
+
+
+@query()
+def mmr_select(spark, sf):
+    notes = base_notes(spark, sf)
+    return context.inject(notes, base_links(notes).withColumn("label", F.lit("x")), segment.entity_codes(notes), options=InjectOptions(max_notes=3, selection="mmr", format="markdown"))
+
+
+@query(f"""WITH {sql.NOTES}, {CODES}, coded AS (SELECT n.doc_id, n.seq, string_agg(c.code, '+' ORDER BY c.name) AS codes FROM (SELECT doc_id, seq, unnest(entities) AS name FROM notes) n JOIN codes c USING (doc_id, name) GROUP BY ALL)
+SELECT n.doc_id, n.seq, n.id || ':' || coalesce(codes, '') || '|' || array_to_string(topics, ',') || '|"' || replace(replace(replace(replace(quote, '\\', '\\\\'), '"', '\\"'), E'\\r', '\\r'), E'\\n', '\\n') || '"|' || printf('%.2f', weight) || '||' || array_to_string(flags, '+') AS line
+FROM notes n LEFT JOIN coded USING (doc_id, seq)""")
+def note_lines(spark, sf):
+    notes = base_notes(spark, sf)
+    rows = codec.with_book(notes, segment.entity_codes(notes))
+    return rows.select("doc_id", "seq", codec.note_line(rows).alias("line"))
+
+
+@query()
+def codec_roundtrip(spark, sf):
+    """Memories to text and back; the columns say whether both are equal."""
+    notes = base_notes(spark, sf)
+    ties = base_links(notes).withColumn("label", F.lit("x"))
+    back = memory.decode(codec.encode(notes, ties, segment.entity_codes(notes)))
+    b = back.notes.select("doc_id", "id", *[F.col(c).alias(f"{c}_2") for c in ("quote", "entities", "topics", "flags", "weight")])
+    rows = notes.join(b, ["doc_id", "id"], "left")
+    same = [(F.col(c).eqNullSafe(F.col(f"{c}_2"))).alias(f"same_{c}") for c in ("quote", "entities", "topics", "flags")]
+    return rows.select("doc_id", "id", *same, (F.abs(F.col("weight") - F.col("weight_2")) < 0.006).alias("same_weight"))
+
+
+# ---- conflicts and duplicates
+
+DECISIONS = (
+    ("We decided to use Redis here.", "We decided against Redis here."),
+    ("We will ship it on friday then.", "We will ship it on monday then."),
+    ("They agreed to approve the plan.", "They agreed to reject the plan."),
+    ("We will use Redis for caching.", "We will use Redis for caching."),
+)
+
+
+@query(f"""SELECT DISTINCT conv_id AS doc_id, '001' AS earlier, '002' AS later, 'Redis' AS shared_topic,
+CASE conv_id % 4 WHEN 0 THEN 'negation-flip' WHEN 1 THEN 'value-change' ELSE 'antonym' END AS signal FROM conversations WHERE conv_id % 4 < 3""")
+def decision_conflicts(spark, sf):
+    c = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    pair = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in DECISIONS])
+    rows = c.select("doc_id", F.posexplode(F.element_at(pair, (F.col("doc_id") % 4 + 1).cast("int"))).alias("i", "quote"))
+    notes = rows.select("doc_id", (F.col("i") + 1).alias("seq"), text.note_id(F.col("i") + 1).alias("id"), texts_of("Redis").alias("entities"), texts_of().alias("topics"), texts_of("DECISION").alias("flags"), "quote", F.lit(None).cast("string").alias("resolved_date"), F.lit(None).cast("int").alias("source_end"))
+    return conflicts.conflicts(notes).drop("summary")
+
+
+TOKENS = "list_distinct(list_concat(list_filter(regexp_split_to_array(lower(quote), '[^a-z0-9_]+'), lambda w: length(w) >= 2), list_concat(topics, list_transform(entities, lambda e: lower(e)))))"
+DUP = f"""{sql.NOTES}, sets AS (SELECT doc_id, seq, {TOKENS} AS t FROM notes),
+prs AS (SELECT a.doc_id, a.seq AS a, b.seq AS b, len(list_intersect(a.t, b.t)) AS k, len(a.t) AS na, len(b.t) AS nb FROM sets a JOIN sets b ON a.doc_id = b.doc_id AND a.seq < b.seq),
+dup AS (SELECT doc_id, a, b, k / (na + nb - k) AS score FROM prs WHERE k > 0)"""
+
+
+@query(f"WITH {DUP} SELECT doc_id, a, b, round(score, 6) AS score FROM dup WHERE score >= 0.15")
+def near_duplicates(spark, sf):
+    return dedupe.similar_notes(base_notes(spark, sf), 0.15).select("doc_id", "a", "b", rounded("score", "score"))
+
+
+@query(f"""WITH RECURSIVE {DUP}, e AS (SELECT doc_id, a, b FROM dup WHERE score >= 0.15 UNION ALL SELECT doc_id, b, a FROM dup WHERE score >= 0.15),
+r AS (SELECT DISTINCT doc_id, a AS seq, a AS root FROM e UNION SELECT e.doc_id, e.b, r.root FROM r JOIN e ON e.doc_id = r.doc_id AND e.a = r.seq)
+SELECT doc_id, seq, min(root) AS root FROM r GROUP BY doc_id, seq""")
+def dup_components(spark, sf):
+    return dedupe.components(dedupe.similar_notes(base_notes(spark, sf), 0.15))
+
+
+HASH = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(regexp_split_to_array(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: xor(h, c) * 16777619 % 4294967296)"
+SLOTS = "[" + ", ".join(f"list_min(list_transform(hs, lambda h: CAST(({a}::HUGEINT * h + {b}) % 4294967296 AS BIGINT)))" for a, b in hashing.CONSTANTS) + "]"
+MINHASH = f"""{sql.NOTES}, hashed AS (SELECT doc_id, seq, list_transform(list_filter(topics, lambda w: w <> ''), lambda w: {HASH}) AS hs FROM notes WHERE len(topics) > 0),
+sig AS (SELECT doc_id, seq, {SLOTS} AS sig FROM hashed)"""
+
+
+@query(f"WITH {MINHASH} SELECT doc_id, seq, array_to_string(sig, ',') AS signature FROM sig")
+def minhash_signature(spark, sf):
+    notes = base_notes(spark, sf).where(F.size("topics") > 0)
+    sig = hashing.signature(F.transform("topics", hashing.fnv1a))
+    return notes.select("doc_id", "seq", F.array_join(sig.cast("array<string>"), ",").alias("signature"))
+
+
+BANDS = "[" + ", ".join(f"'{b}:' || sig[{2 * b + 1}] || ':' || sig[{2 * b + 2}]" for b in range(hashing.BANDS)) + "]"
+
+
+@query(f"""WITH {MINHASH}, keys AS (SELECT doc_id, seq, unnest({BANDS}) AS k FROM sig),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY seq) AS n FROM keys) WHERE n <= 64)
+SELECT DISTINCT x.doc_id, x.seq AS a, y.seq AS b FROM first x JOIN first y ON x.doc_id = y.doc_id AND x.k = y.k AND x.seq < y.seq""")
+def lsh_pairs(spark, sf):
+    notes = base_notes(spark, sf).where(F.size("topics") > 0)
+    return links.band_pairs(notes, "topics")
+
+
+@query(f"""WITH {sql.NOTES} SELECT doc_id % 10 AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id, seq) AS INT) AS seq, md5(quote) AS digest FROM notes""")
+def merge_renumber(spark, sf):
+    notes = base_notes(spark, sf)
+    seq = F.row_number().over(Window.partitionBy(F.col("doc_id") % 10).orderBy("doc_id", "seq"))
+    return notes.select((F.col("doc_id") % 10).alias("doc_id"), seq.alias("seq"), F.md5(F.col("quote").cast("binary")).alias("digest"))
+
+
+# ---- measures and vectors
+
+WORDS_OF = "list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda t: t <> '' AND t NOT IN ('a', 'an', 'the'))"
+
+
+@query(f"""WITH pairs AS (SELECT a.conv_id * 1000 + a.turn AS pair_id, {WORDS_OF.format('a.text')} AS p, {WORDS_OF.format('b.text')} AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+x AS (SELECT pair_id, w, count(*) AS a FROM (SELECT pair_id, unnest(p) AS w FROM pairs) GROUP BY ALL), y AS (SELECT pair_id, w, count(*) AS b FROM (SELECT pair_id, unnest(g) AS w FROM pairs) GROUP BY ALL),
+o AS (SELECT pair_id, sum(least(a, b)) AS k FROM x JOIN y USING (pair_id, w) GROUP BY pair_id)
+SELECT pair_id, round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN CASE WHEN len(p) = len(g) THEN 1.0 ELSE 0.0 END ELSE 2.0 * coalesce(k, 0) / (len(p) + len(g)) END, 6) AS f1,
+contains(array_to_string(p, ' '), array_to_string(g, ' ')) AS held FROM pairs LEFT JOIN o USING (pair_id)""")
+def token_f1(spark, sf):
+    t = read(spark, sf, "conversations")
+    nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold"))
+    pairs = t.join(nxt, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("text").alias("said"), "gold")
+    return evaluate.token_f1(pairs).select("pair_id", rounded("f1", "f1"), "held")
+
+
+@query(f"""WITH {sql.NOTES}, {sql.QUESTIONS}, {sql.OWN}, {sql.bm25('SELECT query_id, doc_id, token, 1.0 AS w, times FROM own')}, top AS ({TOP5}),
+best AS (SELECT q.query_id, min(rank) AS rank FROM questions q LEFT JOIN top t ON t.query_id = q.query_id AND t.seq = 1 + q.query_id % 3 GROUP BY ALL)
+SELECT round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS found_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS found_at_5, count(*) AS n FROM best""")
+def mean_reciprocal_rank(spark, sf):
+    hits = bm25_top5(spark, sf).withColumn("id", F.col("seq"))
+    expected = turn_questions(spark, sf).select("query_id", (1 + F.col("query_id") % 3).cast("int").alias("id"))
+    out = evaluate.reciprocal_ranks(hits, expected)
+    return out.select(rounded("mrr", "mrr"), rounded("found_at_1", "found_at_1"), rounded("found_at_5", "found_at_5"), "n")
+
+
+@query("""SELECT label, round(avg(quality), 6) AS mean_quality, count(*) AS n FROM (SELECT doc_id % 7 AS label, quality FROM labels) GROUP BY label""")
+def mean_by_category(spark, sf):
+    rows = read(spark, sf, "labels").select((F.col("doc_id") % 7).alias("label"), "quality")
+    return evaluate.mean_by(rows, "label", "quality").select("label", rounded("mean_quality", "mean_quality"), "n")
+
+
+@query("SELECT event_type, value AS middle FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE i = n // 2 + 1")
+def median_value(spark, sf):
+    return evaluate.middle(read(spark, sf, "events"), "event_type", "value")
+
+
+@query("""WITH m AS (SELECT label, list_transform(range(1, 65), lambda i: i) AS ix, list(embedding) AS es FROM embeddings GROUP BY label),
+v AS (SELECT label, list_transform(ix, lambda i: list_sum(list_transform(es, lambda e: e[i]::DOUBLE))) AS v FROM m),
+u AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS mean FROM v),
+c AS (SELECT e.vec_id, e.label AS query_id, ((e.vec_id * 13) % 97) / 10.0 AS bm25, list_sum(list_transform(list_zip(e.embedding, u.mean), lambda p: p[1]::DOUBLE * p[2])) / sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS cosine FROM embeddings e JOIN u ON u.label = e.label)
+SELECT vec_id, round(0.7 * CASE WHEN max(bm25) OVER w > 0 THEN bm25 / max(bm25) OVER w ELSE 0 END + 0.3 * CASE WHEN max(cosine) OVER w > 0 THEN cosine / max(cosine) OVER w ELSE 0 END, 5) AS blended FROM c WINDOW w AS (PARTITION BY query_id)""")
+def embedding_blend(spark, sf):
+    e = read(spark, sf, "embeddings")
+    means = evaluate.mean_vector(e, "label", "embedding", 64)
+    rows = e.join(F.broadcast(means), "label").select("vec_id", F.col("label").alias("query_id"), (F.col("vec_id") * 13 % 97 / 10.0).alias("bm25"), evaluate.cosine("embedding", "mean").alias("cosine"))
+    return evaluate.blend(rows, 0.3).select("vec_id", F.round("blended", 5).alias("blended"))
+
+
+FACTS = ("The access word is zebra.", "Ann keeps the spare key.", "The train leaves at nine.")
+
+
+@query(r"""WITH f AS (SELECT unnest([0, 1, 2]) AS fact_id, unnest(['The access word is zebra.', 'Ann keeps the spare key.', 'The train leaves at nine.']) AS sentence),
+p AS (SELECT doc_id, CAST(doc_id % 5 AS INT) AS fact_id, string_split(replace(text, E'\n', E'\n\n'), E'\n\n') AS ps FROM documents),
+j AS (SELECT p.*, sentence, (doc_id * 7 + p.fact_id * 3) % (len(ps) + 1) AS pl FROM p JOIN f ON f.fact_id = p.fact_id)
+SELECT doc_id, fact_id, md5(array_to_string(list_concat(list_concat(list_slice(ps, 1, pl), [sentence]), list_slice(ps, pl + 1, len(ps))), E'\n\n')) AS digest FROM j""")
+def fact_planting(spark, sf):
+    facts = spark.createDataFrame(list(enumerate(FACTS)), "fact_id int, sentence string")
+    return evaluate.plant(doc_corpus(spark, sf), facts, 5).select("doc_id", "fact_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(r"""SELECT conv_id, turn, md5(regexp_replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '(?i)\b(?:and|the)[a-z]*', '<mark>\0</mark>', 'g')) AS digest FROM conversations""")
+def highlight(spark, sf):
+    t = read(spark, sf, "conversations")
+    return t.select("conv_id", "turn", F.md5(text.highlight("text", "The and of").cast("binary")).alias("digest"))
+
+
+# ---- whole memories
+
+
+@query()
+def build_memory(spark, sf):
+    """All notes of the documents, with weights."""
+    return memory.build(doc_corpus(spark, sf)).notes.drop("quote", "topics", "entities")
+
+
+@query()
+def memory_text(spark, sf):
+    """Memories of the conversations as text."""
+    return memory.build(conv_corpus(spark, sf)).encode()
+
+
+@query()
+def recall_context(spark, sf):
+    """Passages for each conversation's first turn, over links."""
+    m = memory.build(conv_corpus(spark, sf), BuildOptions(chunk_size=400, chunk_overlap=0))
+    return m.recall_context(turn_questions(spark, sf), RecallOptions(top_k=3))
+
+
+@query()
+def stream_replay(spark, sf):
+    """The state of each conversation after its last message, with decay, absorption and eviction."""
+    options = StreamOptions(BuildOptions(dedupe=True, dedupe_threshold=0.8), half_life_turns=50, max_notes=200)
+    states = live.replay(read(spark, sf, "conversations"), options)
+    return states.select("conv_id", "turn", "pushed", F.size("notes").alias("n_notes"), F.size("codes").alias("n_codes"))
