@@ -49,10 +49,16 @@ def forest(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that links (a, b) reach, for every node in a link.
 
-    Each round hooks every node to its smallest neighbour, follows these hooks to their ends by doubling, and goes on
-    with the links between the ends; every round at least halves what is left of a component.
+    Links are gathered into as few tasks as can hold them, and each makes a forest of its own. If that is one task, its
+    trees are the components. Otherwise each round hooks every node to its smallest neighbour, follows these hooks to
+    their ends by doubling, and goes on with the links between the ends; every round at least halves what is left.
     """
-    left = checkpoint(forest(links).where("a != b").distinct())
+    links = checkpoint(links.select("a", "b").where("a != b"))
+    tasks = -(-links.count() // HELD)
+    left = checkpoint(forest(links.coalesce(max(1, tasks))).where("a != b"))
+    if tasks <= 1:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(left.select("b", "b").distinct())
+    left = left.distinct()
     labels = None
     while not left.isEmpty():
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -73,4 +79,4 @@ def components(links: DataFrame) -> DataFrame:
         one = left.join(hook, "a").select(F.col("p").alias("x"), "b")
         two = one.join(hook.select(F.col("a").alias("b"), F.col("p").alias("y")), "b").where("x != y")
         left = checkpoint(forest(two.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct())
-    return labels if labels is not None else links.sparkSession.createDataFrame([], "node long, label long")
+    return labels

@@ -103,7 +103,9 @@ def test_list_bounds_lose_no_pair(spark):
     assert all({(t, a), (t, b)} <= rows_kept for t, pairs in need.items() for a, b in pairs)
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("held", [500_000, 40])
+def test_components_of_long_chains(spark, held, monkeypatch):
+    monkeypatch.setattr(graph, "HELD", held)
     links = [(i, i + 1) for i in range(0, 400)] + [(1000, 1500), (1500, 1200), (7, 7)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
     assert got == {i: 0 for i in range(401)} | {1000: 1000, 1200: 1000, 1500: 1000}
