@@ -85,6 +85,12 @@ def chunks(corpus: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
     return rows.select("doc_id", "idx", F.col("span.s").alias("char_start"), F.col("span.e").alias("char_end"), F.substring("whole", F.col("span.s") + 1, F.col("span.e") - F.col("span.s")).alias("text"))
 
 
+def spread(corpus: DataFrame) -> DataFrame:
+    """A corpus that lies in fewer partitions than would keep all cores busy is dealt out anew; others stay as they lie."""
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus.repartition(4 * cores) if corpus.rdd.getNumPartitions() < 2 * cores else corpus
+
+
 def annotate_notes(corpus: DataFrame, options: Options = Options()) -> DataFrame:
     """The notes of each text with names, topics, quote, signals, dates and raw weight, in one narrow Arrow pass.
 
@@ -104,7 +110,7 @@ def annotate_notes(corpus: DataFrame, options: Options = Options()) -> DataFrame
                     cols = [pa.array([r[c] for r in rows], kind) for c, kind in NOTE_FIELDS.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *cols], ["doc_id", *NOTE_FIELDS])
 
-    return corpus.select(F.col("doc_id").cast("long"), "text", when.alias("date")).mapInArrow(run, NOTE_SCHEMA)
+    return spread(corpus.select(F.col("doc_id").cast("long"), "text", when.alias("date"))).mapInArrow(run, NOTE_SCHEMA)
 
 
 def entity_codes(notes: DataFrame) -> DataFrame:
