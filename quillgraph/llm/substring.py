@@ -8,7 +8,8 @@ a factor ends, the windows across its boundary are looked up on their own. Words
 
 Only anchors that occur twice matter. A first pass over the texts counts anchors by hash range and leaves a bit map of
 those that recur (a bit may be set wrongly, which costs traffic and no result). The second pass gives out the windows at
-recurring anchors; of equal windows each task sends on the earliest, as the others have that one in front of them.
+recurring anchors; of equal windows each task sends on the earliest, as the others have that one in front of them. Windows at a hot anchor
+(in a line that a third of the documents may hold) are dealt out by their own hashes instead.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ BITS_A_TASK, MOST_BITS = 1 << 23, 1 << 29
 #: Windows that a task holds before it gives out what it has.
 HELD = 600_000
 
+#: Anchors this common are hot; at most so many of them, the commonest, are known to the tasks.
+HOT, MOST_HOT = 4_096, 65_536
+
 FACTOR = np.dtype([("start", "<i8"), ("words", "<i8"), ("ref_doc", "<i8"), ("ref_start", "<i8")])
 
 
@@ -51,23 +55,23 @@ def _bits(docs: DataFrame) -> tuple[int, int]:
     return max(8, tasks + 3), min(MOST_BITS, BITS_A_TASK << tasks).bit_length() - 1
 
 
-def recurring(texts: DataFrame, least: int, bucket_bits: int, map_bits: int) -> np.ndarray:
-    """A bit map over the top `map_bits` bits of anchor hashes; set where an anchor occurs more than once."""
+def recurring(texts: DataFrame, least: int, bucket_bits: int, map_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bit map over the top `map_bits` bits of anchor hashes, set where an anchor occurs more than once; and the hot anchors."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHash(), [], 0
 
         def out() -> pa.RecordBatch:
-            h = np.sort(np.concatenate(held))
+            h, n = np.unique(np.concatenate(held), return_counts=True)
             cuts = np.searchsorted(h >> np.uint64(64 - bucket_bits), np.arange((1 << bucket_bits) + 1))
             full = np.flatnonzero(np.diff(cuts))
-            blobs = []
+            blobs, often = [], []
             for b in full.tolist():
-                part = h[cuts[b] : cuts[b + 1]]
-                first = np.concatenate([[True], part[1:] != part[:-1]])  # each anchor once, or twice if it recurs here
-                again = ~first & np.concatenate([[False], first[:-1]])
-                blobs.append(part[first | again].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                part, count = h[cuts[b] : cuts[b + 1]], n[cuts[b] : cuts[b + 1]]
+                blobs.append(np.concatenate([part, part[count > 1]]).tobytes())  # each anchor once, or twice if it recurs here
+                many = count >= 16
+                often.append(np.stack([part[many], count[many].astype(np.uint64)]).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), pa.array(often, pa.binary())], ["bucket", "blob", "often"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -86,21 +90,32 @@ def recurring(texts: DataFrame, least: int, bucket_bits: int, map_bits: int) ->
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[np.ndarray]] = {}
+        often: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for bucket, blob in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+            for bucket, blob, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts.setdefault(bucket, []).append(np.frombuffer(blob, np.uint64))
+                often.setdefault(bucket, []).append(np.frombuffer(many, np.uint64).reshape(2, -1))
         for bucket, found in parts.items():
             h = np.sort(np.concatenate(found))
             h = h[1:][h[1:] == h[:-1]]
             bits = np.zeros(1 << (map_bits - bucket_bits), bool)
             bits[(h >> np.uint64(64 - map_bits) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bucket", "blob"])
-
+            many = np.concatenate(often[bucket], axis=1)
+            keys, at = np.unique(many[0], return_inverse=True)
+            count = np.bincount(at, many[1].astype(np.float64), len(keys)).astype(np.int64)
+            best = np.argsort(-count, kind="stable")[:MOST_HOT]
+            hot = np.stack([keys[best].view(np.int64), count[best]])[:, count[best] >= HOT]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([hot.tobytes()], pa.binary())], ["bucket", "blob", "often"])
+
+    schema = "bucket int, blob binary, often binary"
     whole = np.zeros((1 << bucket_bits, 1 << (map_bits - bucket_bits - 3)), np.uint8)
-    dealt = texts.select("text").mapInArrow(send, "bucket int, blob binary").repartition("bucket")
-    for r in dealt.mapInArrow(mark, "bucket int, blob binary").toLocalIterator():  # at most MOST_BITS together
+    hot = np.zeros((2, 0), np.int64)
+    dealt = texts.select("text").mapInArrow(send, schema).repartition("bucket")
+    for r in dealt.mapInArrow(mark, schema).toLocalIterator():  # at most MOST_BITS together, and MOST_HOT anchors at a time
         whole[r["bucket"]] = np.frombuffer(r["blob"], np.uint8)
-    return whole.ravel()
+        hot = np.concatenate([hot, np.frombuffer(r["often"], np.int64).reshape(2, -1)], axis=1)
+        hot = hot[:, np.lexsort((hot[0], -hot[1]))[:MOST_HOT]]
+    return whole.ravel(), np.sort(hot[0].view(np.uint64))
 
 
 def _runs(doc: np.ndarray, key: np.ndarray, start: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray, least: int) -> pa.RecordBatch:
@@ -141,7 +156,7 @@ def factors(docs: DataFrame, least: int = 20) -> DataFrame:
     schema = "bucket int, doc_id long, text_key long, blob binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = WordHash(), told.value
+        hashes, (known, hot) = WordHash(), told.value
         held, size = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -154,7 +169,8 @@ def factors(docs: DataFrame, least: int = 20) -> DataFrame:
             keep = np.flatnonzero(earliest == np.arange(len(doc)))
             same = np.flatnonzero(~later & (earliest != np.arange(len(doc))))  # rows that repeat a doc_id and a place
             keep = np.concatenate([keep, same])
-            bucket = (anchor[keep] >> np.uint64(64 - bucket_bits)).astype(np.int64)
+            by = np.where(np.isin(anchor[keep], hot), window[keep], anchor[keep]) if len(hot) else anchor[keep]
+            bucket = (by >> np.uint64(64 - bucket_bits)).astype(np.int64)
             order = np.lexsort((start[keep], key[keep], doc[keep], bucket))
             keep, bucket = keep[order], bucket[order]
             head = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (doc[keep][1:] != doc[keep][:-1]) | (key[keep][1:] != key[keep][:-1]) | (anchor[keep][1:] != anchor[keep][:-1]) | (start[keep][1:] != start[keep][:-1] + 1)])

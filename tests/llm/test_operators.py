@@ -111,7 +111,10 @@ def test_components_of_long_chains(spark, held, monkeypatch):
     assert got == {i: 0 for i in range(401)} | {1000: 1000, 1200: 1000, 1500: 1000}
 
 
-def test_substring(docs, texts):
+@pytest.mark.parametrize(("hot", "held"), [(4096, 600_000), (2, 500)])
+def test_substring(docs, texts, hot, held, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "HELD", held)
     seen, want = set(), {}
     for d in sorted(texts):
         w = texts[d].split()
