@@ -245,19 +245,24 @@ def open_pairs(lists: DataFrame, percent: int, nearest: bool = False) -> DataFra
         return (*(part[i].to_numpy().astype(np.int64) for i in range(1, 6)), bits, known)
 
     def pairs_of(cols: tuple, done: int | None, out: list) -> None:
-        """Pairs of each row from `done` on with the rows before it."""
+        """Pairs of which the later row stands at `done` or after. Rows wholly in the list's largest component make none with
+        each other, so only the others are gone through; these meet all rows before, and the largest component's after."""
         n, gid, place, low, high, bits, known = cols
-        for i in range(max(1, done or 0), len(n)):
-            first = int(np.searchsorted(n[:i], -(-percent * n[i] // 100)))
-            m, p = n[first:i], place[first:i]
-            need = -(-percent * (m + n[i]) // (100 + percent))
-            fits = (np.minimum(m - p, n[i] - place[i]) >= need) & (gid[first:i] != gid[i])
-            fits &= ~((low[first:i] == high[first:i]) & (low[first:i] == low[i]) & (low[i] == high[i]))
-            at = np.flatnonzero(fits) + first
+        parts, sizes = np.unique(low[low == high], return_counts=True)
+        main = (low == high) & (low == parts[np.argmax(sizes)]) if len(parts) else np.zeros(len(n), bool)
+        for i in np.flatnonzero(~main).tolist():
+            first = int(np.searchsorted(n, -(-percent * n[i] // 100)))
+            last = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
+            at = np.arange(first, last)
+            at = at[((at < i) | main[at] & (at > i)) & (np.maximum(at, i) >= (done or 0)) & (gid[at] != gid[i])]
+            need = -(-percent * (n[at] + n[i]) // (100 + percent))
+            fits = np.minimum(n[at] - place[at], n[i] - place[i]) >= need
+            fits &= ~((low[at] == high[at]) & (low[at] == low[i]) & (low[i] == high[i]))
+            at, need = at[fits], need[fits]
             if not len(at):
                 continue
             apart = np.where(known[at] & known[i], np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64), 0)
-            ok = n[at] + n[i] - apart >= 2 * need[at - first]
+            ok = n[at] + n[i] - apart >= 2 * need
             at = at[ok]
             if nearest and len(at):
                 at = at[[np.argmin(apart[ok])]]
