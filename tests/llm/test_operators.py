@@ -1,6 +1,7 @@
 """Operators against brute force on small tables."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -255,6 +256,22 @@ def test_secret_spans(spark):
     assert hidden == 'é password=abc12 [assign]" [access] key [hex] api-key: [guess] [assign]'
 
 
+def test_base_spans_are_those_of_the_plain_patterns():
+    draw = random.Random(12)
+    bits = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", "APIKEY", ":", "=", " ", '"', "'", "abc", "AKIA", "0123456789abcdef", "deadbeef", "XYZ09", "é", "\u017f", "\n", "_", "."]
+    either = "".join
+    word = either(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password") + "|" + either(f"[{c}{c.upper()}]" for c in "passwd")
+    word += "|" + either(f"[{c}{c.upper()}]" for c in "secret") + "|" + either(f"[{c}{c.upper()}]" for c in "token") + "|[aA][pP][iI]_?[kK][eE][yY]"
+    assign = re.compile(rf"""({word})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    scan = secrets.scanner(9.0, secrets.WORDS)
+    for _ in range(3000):
+        t = "".join(draw.choice(bits) for _ in range(draw.randint(0, 25)))
+        want = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        want += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        want += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert [s for s in scan(t) if s[0] != "guess"] == [(k, s, e) for s, _, k, e in sorted(want)]
+
+
 def test_language_held_out(spark):
     base = {"en": "the and that with this from have they which their would there", "de": "der die und das nicht eine sich auch werden schon noch über", "fr": "les des est dans que une pour pas qui sur avec être"}
     draw = random.Random(9)
