@@ -78,6 +78,11 @@ def tokens(c: Column | str, stop: list[str] = SEARCH_STOP) -> Column:
     return F.transform(F.filter(parts, lambda t: (F.length(t) >= 2) & ~t.isin(*stop)), fold)
 
 
+def exploded(rows, *keys: str, of: str, name: str):
+    """A row per element of an array column. The outer form, for a plain explode's own filter would work the array out twice."""
+    return rows.select(*keys, F.explode_outer(of).alias(name)).where(F.col(name).isNotNull())
+
+
 def name_code(c: Column | str) -> Column:
     """Three letters for a name: its first letter and two consonants, or what comes near."""
     letters = F.upper(F.regexp_replace(col(c), "[^a-zA-Z]", ""))

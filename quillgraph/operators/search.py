@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import RecallOptions
 from ..functions import lexicon as lex
-from ..functions.text import BLANK, LEFT, RIGHT, fold, tokens
+from ..functions.text import BLANK, LEFT, RIGHT, exploded, fold, tokens
 
 MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 K1, B = 1.2, 0.75
@@ -52,7 +52,7 @@ def postings(notes: DataFrame) -> DataFrame:
     """
     rows = notes.select("doc_id", "seq", note_words().alias("words")).withColumn("len", F.size("words"))
     whole = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    tf = rows.select("doc_id", "seq", "len", F.explode("words").alias("token")).groupBy("doc_id", "seq", "len", "token").agg(F.count("*").alias("tf"))
+    tf = exploded(rows, "doc_id", "seq", "len", of="words", name="token").groupBy("doc_id", "seq", "len", "token").agg(F.count("*").alias("tf"))
     df = F.count("*").over(Window.partitionBy("doc_id", "token"))
     both = tf.withColumn("df", df).join(whole, "doc_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -86,7 +86,7 @@ def question_words(questions: DataFrame, notes: DataFrame | None = None, expand:
     With any such word, tokens count once; without, as often as they are asked.
     """
     rows = questions.select("query_id", "doc_id", tokens("text").alias("words"))
-    own = rows.select("query_id", "doc_id", "words", F.explode("words").alias("token")).groupBy("query_id", "doc_id", "words", "token").agg(F.count("*").alias("times"))
+    own = exploded(rows, "query_id", "doc_id", "words", of="words", name="token").groupBy("query_id", "doc_id", "words", "token").agg(F.count("*").alias("times"))
     mates = own.join(F.broadcast(synonyms(questions.sparkSession)), "token").where(~F.array_contains("words", F.col("mate")))
     extra = mates.select("query_id", "doc_id", F.col("mate").alias("token"), F.lit(0.6).alias("weight")).distinct()
     if expand and notes is not None:

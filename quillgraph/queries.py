@@ -144,7 +144,7 @@ def chunks_overlap(spark, sf):
 @query(f"SELECT conv_id, turn, token, count(*) AS n FROM (SELECT conv_id, turn, unnest({sql.tokens('text')}) AS token FROM conversations) GROUP BY ALL")
 def tokens_fold(spark, sf):
     t = read(spark, sf, "conversations")
-    return t.select("conv_id", "turn", F.explode(text.tokens("text")).alias("token")).groupBy("conv_id", "turn", "token").agg(F.count("*").alias("n"))
+    return text.exploded(t.withColumn("ws", text.tokens("text")), "conv_id", "turn", of="ws", name="token").groupBy("conv_id", "turn", "token").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, {sql.estimate('text')} AS tokens, CASE WHEN length(text) < 1000 THEN 150 WHEN length(text) < 3000 THEN 300 WHEN length(text) < 8000 THEN 500 ELSE 800 END AS chunk_size FROM documents")
@@ -361,6 +361,12 @@ def decay_rank(spark, sf):
 
 # ---- search
 
+
+def asked_words(spark, sf):
+    rows = turn_questions(spark, sf).withColumn("ws", text.tokens("text"))
+    return text.exploded(rows, "query_id", "doc_id", of="ws", name="token").groupBy("query_id", "doc_id", "token").agg(F.count("*").alias("times"))
+
+
 TOP5 = """SELECT query_id, doc_id, seq, CAST(rank AS INT) AS rank, score FROM (
   SELECT query_id, doc_id, seq, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score,
          row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seq) AS rank FROM scored) WHERE rank <= 5"""
@@ -377,7 +383,7 @@ def best_five(scored: DataFrame) -> DataFrame:
 def bm25_top5(spark, sf):
     """The flagship: each conversation's first turn asked of its turns, over an inverted index."""
     notes = base_notes(spark, sf).withColumn("body", F.col("quote"))
-    words = turn_questions(spark, sf).select("query_id", "doc_id", F.explode(text.tokens("text")).alias("token")).groupBy("query_id", "doc_id", "token").agg(F.count("*").alias("times"))
+    words = asked_words(spark, sf)
     return best_five(search.bm25(words.withColumn("weight", F.lit(1.0)), search.postings(notes)))
 
 
@@ -418,7 +424,7 @@ def recall_expanded(spark, sf):
 def recall_date_filter(spark, sf):
     """The range goes before the statistics, so these are of the notes in it."""
     notes = search.date_range(base_notes(spark, sf), after="2023").withColumn("body", F.col("quote"))
-    words = turn_questions(spark, sf).select("query_id", "doc_id", F.explode(text.tokens("text")).alias("token")).groupBy("query_id", "doc_id", "token").agg(F.count("*").alias("times"))
+    words = asked_words(spark, sf)
     return best_five(search.bm25(words.withColumn("weight", F.lit(1.0)), search.postings(notes)))
 
 
