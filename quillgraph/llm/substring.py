@@ -32,7 +32,7 @@ BITS_A_TASK, MOST_BITS = 1 << 23, 1 << 29
 HELD = 600_000
 
 #: Anchors this common are hot; at most so many of them, the commonest, are known to the tasks.
-HOT, MOST_HOT = 4_096, 65_536
+HOT, MOST_HOT = 512, 65_536
 
 FACTOR = np.dtype([("start", "<i8"), ("words", "<i8"), ("ref_doc", "<i8"), ("ref_start", "<i8")])
 
@@ -45,6 +45,20 @@ def anchors(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return g, view.argmin(axis=1) + np.arange(len(view))
 
 
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each bucket, of rows sorted by it; one bucket is held at a time."""
+    now, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != now:
+                if rows:
+                    yield now, rows
+                now, rows = row["bucket"], []
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
 def hashed(text: str | None, hashes: WordHash) -> np.ndarray:
     return hashes.of(text.encode("utf-8", "surrogatepass").split()) if text else np.zeros(0, np.uint64)
 
@@ -89,18 +103,12 @@ def recurring(texts: DataFrame, least: int, bucket_bits: int, map_bits: int) ->
             yield out()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[np.ndarray]] = {}
-        often: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for bucket, blob, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts.setdefault(bucket, []).append(np.frombuffer(blob, np.uint64))
-                often.setdefault(bucket, []).append(np.frombuffer(many, np.uint64).reshape(2, -1))
-        for bucket, found in parts.items():
-            h = np.sort(np.concatenate(found))
+        for bucket, rows in by_bucket(batches):
+            h = np.sort(np.concatenate([np.frombuffer(r["blob"], np.uint64) for r in rows]))
             h = h[1:][h[1:] == h[:-1]]
             bits = np.zeros(1 << (map_bits - bucket_bits), bool)
             bits[(h >> np.uint64(64 - map_bits) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
-            many = np.concatenate(often[bucket], axis=1)
+            many = np.concatenate([np.frombuffer(r["often"], np.uint64).reshape(2, -1) for r in rows], axis=1)
             keys, at = np.unique(many[0], return_inverse=True)
             count = np.bincount(at, many[1].astype(np.float64), len(keys)).astype(np.int64)
             best = np.argsort(-count, kind="stable")[:MOST_HOT]
@@ -110,7 +118,7 @@ def recurring(texts: DataFrame, least: int, bucket_bits: int, map_bits: int) ->
     schema = "bucket int, blob binary, often binary"
     whole = np.zeros((1 << bucket_bits, 1 << (map_bits - bucket_bits - 3)), np.uint8)
     hot = np.zeros((2, 0), np.int64)
-    dealt = texts.select("text").mapInArrow(send, schema).repartition("bucket")
+    dealt = texts.select("text").mapInArrow(send, schema).repartition("bucket").sortWithinPartitions("bucket")
     for r in dealt.mapInArrow(mark, schema).toLocalIterator():  # at most MOST_BITS together, and MOST_HOT anchors at a time
         whole[r["bucket"]] = np.frombuffer(r["blob"], np.uint8)
         hot = np.concatenate([hot, np.frombuffer(r["often"], np.int64).reshape(2, -1)], axis=1)
@@ -207,30 +215,36 @@ def factors(docs: DataFrame, least: int = 20) -> DataFrame:
         if held:
             yield from out()
 
+    def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+        x = np.frombuffer(blob, "<i8")
+        n = int(x[0])
+        anchor, doc, key, start, count = (x[1 + i * n : 1 + (i + 1) * n] for i in range(5))
+        past = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(anchor, count), x[1 + 5 * n :], np.repeat(doc, count), np.repeat(key, count), np.repeat(start, count) + past
+
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        for batch in batches:
-            done = pa.compute.less(batch[0], 0)
-            if (ready := batch.filter(done)).num_rows:
-                yield ready
-            sent = batch.filter(pa.compute.invert(done))
-            for bucket, blob in zip(sent[0].to_pylist(), sent[3].to_pylist(), strict=True):
-                x = np.frombuffer(blob, "<i8")
-                n = int(x[0])
-                anchor, doc, key, start, count = (x[1 + i * n : 1 + (i + 1) * n] for i in range(5))
-                past = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                blocks.setdefault(bucket, []).append((np.repeat(anchor, count), x[1 + 5 * n :], np.repeat(doc, count), np.repeat(key, count), np.repeat(start, count) + past))
-        for parts in blocks.values():
-            anchor, window, doc, key, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        def blocks() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                done = pa.compute.less(batch[0], 0)
+                if (ready := batch.filter(done)).num_rows:
+                    settled.append(ready)
+                yield batch.filter(pa.compute.invert(done))
+
+        settled: list[pa.RecordBatch] = []
+        for _, rows in by_bucket(blocks()):
+            while settled:
+                yield settled.pop()
+            anchor, window, doc, key, start = (np.concatenate(x) for x in zip(*(unpacked(r["blob"]) for r in rows), strict=True))
             earliest, later = _later(anchor, window, doc, start)
             if later.any():
                 src = earliest[later]
                 yield _runs(doc[later], key[later], start[later], doc[src], start[src], least)
+        yield from settled
 
     sent = texts.mapInArrow(send, schema)
     # what is settled already is dealt out by document, the rest by block
     to = F.when(F.col("bucket") < 0, F.xxhash64("doc_id")).otherwise(F.col("bucket").cast("long"))
-    found = sent.withColumn("to", to).repartition("to").select("bucket", "doc_id", "text_key", "blob").mapInArrow(look_up, schema)
+    found = sent.withColumn("to", to).repartition("to").sortWithinPartitions("bucket").select("bucket", "doc_id", "text_key", "blob").mapInArrow(look_up, schema)
     return found.select("doc_id", "text_key", F.col("blob").alias("factors"))
 
 
