@@ -672,3 +672,61 @@ def stream_replay(spark, sf):
     options = StreamOptions(BuildOptions(dedupe=True, dedupe_threshold=0.8), half_life_turns=50, max_notes=200)
     states = live.replay(read(spark, sf, "conversations"), options)
     return states.select("conv_id", "turn", "pushed", F.size("notes").alias("n_notes"), F.size("codes").alias("n_codes"))
+
+
+# ---- more of the parts
+
+PEOPLE = (
+    ("We met Maria in Oslo today.\n\nThen she went home early.\n\nPeter saw that he was late.", ("Maria,Oslo", "Maria", "Peter")),
+    ("We met Laura and Tom there.\n\nNow they left on foot.\n\nThere he slept all day.", ("Laura,Tom", "Laura,Tom", "Tom")),
+    ("Nobody came on that evening.\n\nThen she called us by phone.\n\nRunning is what they like.", ("", "", "")),
+)
+NAMED_ROWS = ", ".join(f"({k}, {i + 1}, '{n}')" for k, (_, names) in enumerate(PEOPLE) for i, n in enumerate(names))
+
+
+@query(f"SELECT d.doc_id, CAST(seq AS INT) AS seq, names FROM documents d JOIN (VALUES {NAMED_ROWS}) t(k, seq, names) ON d.doc_id % 3 = k")
+def pronoun_resolution(spark, sf):
+    """Names that passages have or that their pronouns stand for, on planted texts."""
+    docs = read(spark, sf, "documents").select("doc_id", picked([p[0] for p in PEOPLE], F.col("doc_id") % 3).alias("text"))
+    notes = segment.annotate_notes(docs, BuildOptions(chunk_size=30, chunk_overlap=0).notes)
+    return notes.select("doc_id", "seq", F.array_join(F.filter("entities", lambda e: e != "Nobody"), ",").alias("names"))
+
+
+@query(f"WITH {sql.NOTES}, {sql.LINKS} SELECT doc_id, 'T:' || from_id || '<->' || to_id || '|x' AS line FROM links")
+def link_lines(spark, sf):
+    return base_links(base_notes(spark, sf)).withColumn("label", F.lit("x")).select("doc_id", codec.link_line().alias("line"))
+
+
+@query(f"""WITH {MINHASH} SELECT a.doc_id, a.seq, round(list_sum(list_transform(list_zip(a.sig, b.sig), lambda p: CASE WHEN p[1] = p[2] THEN 1 ELSE 0 END)) / 32, 6) AS estimate
+FROM sig a JOIN sig b ON a.doc_id = b.doc_id AND b.seq = a.seq + 1""")
+def jaccard_estimate(spark, sf):
+    notes = base_notes(spark, sf).where(F.size("topics") > 0).select("doc_id", "seq", hashing.signature(F.transform("topics", hashing.fnv1a)).alias("sig"))
+    after = notes.select("doc_id", (F.col("seq") - 1).alias("seq"), F.col("sig").alias("next"))
+    return notes.join(after, ["doc_id", "seq"]).select("doc_id", "seq", F.round(hashing.estimate("sig", "next"), 6).alias("estimate"))
+
+
+@query("SELECT conv_id AS doc_id, md5(string_agg(text, E'\\n\\n' ORDER BY turn)) AS digest FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+def stream_source_log(spark, sf):
+    return live.source_log(read(spark, sf, "conversations")).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query()
+def stream_snapshot(spark, sf):
+    """Memories of the streams as they stand after their last messages, asked nothing yet."""
+    options = StreamOptions(BuildOptions(dedupe=True), half_life_turns=10, max_notes=4)
+    return live.snapshot(live.replay(read(spark, sf, "conversations"), options), options).notes.drop("entities", "topics")
+
+
+@query()
+def merged_memories(spark, sf):
+    """Memories of conversations united by tens."""
+    m = memory.build(conv_corpus(spark, sf), BuildOptions(chunk_size=400, chunk_overlap=0))
+    groups = m.meta.select("doc_id", (F.col("doc_id") % 10).alias("group_id"), F.col("doc_id").alias("position"))
+    return memory.merge(m, groups).notes.select("doc_id", "id", "quote", "weight")
+
+
+@query()
+def key_quotes(spark, sf):
+    """The key quote of each turn; by sentence centrality, checked by tests."""
+    t = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return segment.annotate_notes(t).select("doc_id", "seq", "quote")
