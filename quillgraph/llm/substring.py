@@ -23,7 +23,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, grams, read
+from .common import WordHash, grams, mix, read
 
 #: Bits of the map of recurring anchors for one scan task's share of the input, and at most.
 BITS_A_TASK, MOST_BITS = 1 << 23, 1 << 29
@@ -38,11 +38,14 @@ FACTOR = np.dtype([("start", "<i8"), ("words", "<i8"), ("ref_doc", "<i8"), ("ref
 
 
 def anchors(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all short n-grams, and for each window of `least` words the place of its anchor (the first smallest one)."""
+    """Keys of all short n-grams, and for each window of `least` words the place of its anchor (the first with the smallest hash).
+
+    The smallest of some hashes is small, so keys are mixed anew; their high bits deal anchors out evenly.
+    """
     short = least // 2
     g = grams(words, short, seed=3)
     view = sliding_window_view(g, least - short + 1)
-    return g, view.argmin(axis=1) + np.arange(len(view))
+    return mix(g + np.uint64(0x9E3779B97F4A7C15)), view.argmin(axis=1) + np.arange(len(view))
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
