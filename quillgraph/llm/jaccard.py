@@ -34,6 +34,9 @@ SKETCH, SLICES = 1 << 20, 64
 #: Bits of a set's parity map: two sets differ in at least as many n-grams as their maps in bits.
 BITS = 512
 
+#: Rows of a list that one task compares; longer lists are cut into blocks.
+LIST = 1_024
+
 #: Candidates of each group in the first round.
 FIRST = 2
 
@@ -195,8 +198,28 @@ def neighbours(lists: DataFrame, percent: int) -> DataFrame:
     return lists.mapInArrow(run, "token long, n long, gid long, place int, before long")
 
 
+def long_lists(lists: DataFrame) -> DataFrame:
+    """token, rows: the lists of more than LIST rows."""
+    return lists.groupBy("token").agg(F.count("*").alias("rows")).where(f"rows > {LIST}")
+
+
+def blocked(rows: DataFrame, long: DataFrame) -> DataFrame:
+    """Adds block, blocks and main. A long list is cut into blocks: the rows of its largest component, which make no pairs
+    with each other, are dealt out; the others go to every block and meet there a part of these each."""
+    if long.isEmpty():
+        return rows.withColumns({"block": F.lit(0), "blocks": F.lit(1), "main": F.lit(False)})
+    sized = F.broadcast(long) if long.count() <= BROADCAST_IDS else long
+    held = rows.where("low = high").join(sized, "token").groupBy("token", "low").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("low", "k").alias("top"))
+    tagged = rows.join(sized.join(held, "token", "left"), "token", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("rows") / LIST).cast("int"), F.lit(1)))
+    main = F.coalesce((F.col("low") == F.col("high")) & (F.col("low") == F.col("top")), F.lit(False))
+    own = F.array(F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
+    tagged = tagged.withColumn("main", main).withColumn("block", F.explode(F.when(F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    return tagged.select("token", "n", "gid", "place", "low", "high", "bits", "block", "blocks", "main")
+
+
 def open_pairs(lists: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
-    """Pairs of groups of one list that may hold a link not yet in a component. Rows: token, n, gid, place, low, high, bits.
+    """Pairs of groups of one list that may hold a link not yet in a component. Rows: token, n, gid, place, low, high, bits,
+    block, blocks, main (see blocked), those of one block of a list together and ordered by n.
 
     low and high are the least and the largest component of a group's members; bits is the parity map of a group with one
     set, else null. The bounds on size and place are those of the first shared n-gram; a pair with a link passes them there.
@@ -210,8 +233,8 @@ def open_pairs(lists: DataFrame, percent: int, nearest: bool = False) -> DataFra
         for batch in batches:
             if rest is not None:
                 batch = pa.concat_batches([rest, batch])
-            token = batch[0].to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1])
+            token, block = batch[0].to_numpy(), batch[7].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(token) != 0) | (np.diff(block) != 0)) + 1])
             low, high = batch[4].to_numpy(), batch[5].to_numpy()
             mixed = np.minimum.reduceat(low, cuts) != np.maximum.reduceat(high, cuts)
             ends = np.concatenate([cuts[1:], [len(token)]])
@@ -242,19 +265,22 @@ def open_pairs(lists: DataFrame, percent: int, nearest: bool = False) -> DataFra
         maps = part[6].to_pylist()
         known = np.array([m is not None for m in maps])
         bits = np.frombuffer(b"".join(m or bytes(BITS // 8) for m in maps), np.uint64).reshape(len(maps), -1)
-        return (*(part[i].to_numpy().astype(np.int64) for i in range(1, 6)), bits, known)
+        return (*(part[i].to_numpy().astype(np.int64) for i in range(1, 6)), bits, known, part[7][0].as_py(), part[8][0].as_py(), part[9].to_numpy(zero_copy_only=False))
 
     def pairs_of(cols: tuple, done: int | None, out: list) -> None:
         """Pairs of which the later row stands at `done` or after. Rows wholly in the list's largest component make none with
         each other, so only the others are gone through; these meet all rows before, and the largest component's after."""
-        n, gid, place, low, high, bits, known = cols
-        parts, sizes = np.unique(low[low == high], return_counts=True)
-        main = (low == high) & (low == parts[np.argmax(sizes)]) if len(parts) else np.zeros(len(n), bool)
+        n, gid, place, low, high, bits, known, block, blocks, main = cols
+        if blocks == 1:
+            parts, sizes = np.unique(low[low == high], return_counts=True)
+            main = (low == high) & (low == parts[np.argmax(sizes)]) if len(parts) else np.zeros(len(n), bool)
         for i in np.flatnonzero(~main).tolist():
             first = int(np.searchsorted(n, -(-percent * n[i] // 100)))
             last = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
             at = np.arange(first, last)
             at = at[((at < i) | main[at] & (at > i)) & (np.maximum(at, i) >= (done or 0)) & (gid[at] != gid[i])]
+            if blocks > 1:  # two rows that are in every block meet in one of them
+                at = at[main[at] | ((gid[at] + gid[i]) % blocks == block)]
             need = -(-percent * (n[at] + n[i]) // (100 + percent))
             fits = np.minimum(n[at] - place[at], n[i] - place[i]) >= need
             fits &= ~((low[at] == high[at]) & (low[at] == low[i]) & (low[i] == high[i]))
@@ -347,8 +373,9 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     joined = joined.join(sets.select("set_key", "rep"), "set_key").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = verified(tried, texts, words, percent).unionAll(checkpoint(joined))
     label = components(links)
+    long = checkpoint(long_lists(lists))
     for nearest in (True, False):
-        pairs = _open(lists, maps, members, label, percent, nearest).join(tried, ["a", "b"], "left_anti")
+        pairs = _open(lists, long, maps, members, label, percent, nearest).join(tried, ["a", "b"], "left_anti")
         pairs = checkpoint(pairs)
         if pairs.isEmpty():
             continue
@@ -365,15 +392,15 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _open(lists: DataFrame, maps: DataFrame, members: DataFrame, label: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def _open(lists: DataFrame, long: DataFrame, maps: DataFrame, members: DataFrame, label: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of sets in different components that a list, or a group, has together and the bounds leave."""
     parts = members.join(label, members["rep"] == label["node"], "left").select("gid", "rep", F.coalesce("label", "rep").alias("part"))
     parts = checkpoint(parts)
     wide = parts.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     parted = maps.join(wide, "gid", "full").join(label.withColumnRenamed("node", "gid"), "gid", "left")
     parted = parted.select("gid", F.coalesce("low", "label", "gid").alias("low"), F.coalesce("high", "label", "gid").alias("high"), F.when(F.col("low").isNull(), F.col("bits")).alias("bits"))
-    rows = lists.select("token", "n", "gid", "place").join(parted, "gid").select("token", "n", "gid", "place", "low", "high", "bits")
-    pairs = open_pairs(rows.repartition("token").sortWithinPartitions("token", "n", "gid"), percent, nearest).distinct()
+    rows = blocked(lists.select("token", "n", "gid", "place").join(parted, "gid").select("token", "n", "gid", "place", "low", "high", "bits"), long)
+    pairs = open_pairs(rows.repartition("token", "block").sortWithinPartitions("token", "block", "n", "gid"), percent, nearest).distinct()
     pairs = pairs.unionAll(wide.where("low != high").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
 
     def side(x: str) -> DataFrame:

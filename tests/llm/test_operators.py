@@ -79,29 +79,36 @@ def test_jaccard_components(docs, texts, words, percent):
     assert got == brute_components(texts, words, percent)
 
 
-def test_list_bounds_lose_no_pair(spark):
-    """Long lists, cut by small Arrow batches, give each pair that may match."""
+@pytest.mark.parametrize("length", [1_024, 50])
+def test_list_bounds_lose_no_pair(spark, length, monkeypatch):
+    """Long lists, cut into blocks and by small Arrow batches, give each pair that may match."""
+    monkeypatch.setattr(jaccard, "LIST", length)
     draw = random.Random(3)
-    rows = [(t, n, g, draw.randrange(4), g, g, None) for t in range(6) for g, n in enumerate(sorted(draw.randrange(40, 80) for _ in range(3 if t < 3 else 300)))]
+    rows = [(t, n, g, draw.randrange(4), g if draw.random() < 0.5 else 0, None) for t in range(6) for g, n in enumerate(sorted(draw.randrange(40, 80) for _ in range(3 if t < 3 else 300)))]
+    rows = [(t, n, g, p, c, c, b) for t, n, g, p, c, b in rows]
     schema = "token long, n long, gid long, place int, low long, high long, bits binary"
-    lists = spark.createDataFrame(rows, schema).repartition(3, "token").sortWithinPartitions("token", "n", "gid")
+    table = spark.createDataFrame(rows, schema)
+    lists = jaccard.blocked(table, jaccard.long_lists(table)).repartition(3, "token", "block").sortWithinPartitions("token", "block", "n", "gid")
     need = defaultdict(set)
+    able = defaultdict(set)
     for t in range(6):
         own = [r for r in rows if r[0] == t]
         for i, x in enumerate(own):
             for y in own[:i]:
                 if 100 * y[1] >= 85 * x[1] and min(y[1] - y[3], x[1] - x[3]) >= -(-85 * (x[1] + y[1]) // 185):
-                    need[t].add((min(x[2], y[2]), max(x[2], y[2])))
+                    able[t].add((y[2], x[2]))
+                    if x[4] != y[4]:
+                        need[t].add((y[2], x[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
     try:
         got = {(r.a, r.b) for r in jaccard.open_pairs(lists, 85).collect()}
-        kept = jaccard.neighbours(lists.select("token", "n", "gid", "place"), 85).collect()
+        kept = jaccard.neighbours(table.select("token", "n", "gid", "place").repartition(3, "token").sortWithinPartitions("token", "n", "gid"), 85).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == set().union(*need.values())
     rows_kept = {(r.token, r.gid) for r in kept}
     assert len(kept) == len(rows_kept)
-    assert all({(t, a), (t, b)} <= rows_kept for t, pairs in need.items() for a, b in pairs)
+    assert all({(t, a), (t, b)} <= rows_kept for t, pairs in able.items() for a, b in pairs)
 
 
 @pytest.mark.parametrize("held", [500_000, 40])
