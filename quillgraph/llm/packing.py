@@ -10,7 +10,6 @@ ranks come from counts by task, so no window runs over all pieces of one (maybe
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -18,9 +17,9 @@ import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import arrow_pass, read, stored
 
@@ -115,35 +114,32 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str) -> DataF
         seen: dict[int, int] = {}
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids", "local")}
+            kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "tokens": pa.binary(), "local": pa.int64()}
+            out: dict[str, list] = {c: [] for c in kinds}
             for doc, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
                 ids = encode(text or "")
                 ids.append(end_id)
-                ids = np.array(ids, np.int32)
+                ids = np.array(ids, "<u4")
                 at, piece, size = 0, 0, len(ids) % capacity or capacity
                 while at < len(ids):
-                    for c, v in zip(out, (doc, piece, at, size, ids[at : at + size], seen.get(size, 0)), strict=True):
+                    for c, v in zip(out, (doc, piece, at, size, ids[at : at + size].tobytes(), seen.get(size, 0)), strict=True):
                         out[c].append(v)
                     seen[size] = seen.get(size, 0) + 1
                     at, piece, size = at + size, piece + 1, capacity
-            bounds = np.concatenate([[0], np.cumsum(out["length"])]).astype(np.int32)
-            whole = np.concatenate(out.pop("ids"))
-            cols = {c: pa.array(v, pa.int32() if c == "piece" else pa.int64()) for c, v in out.items()}
-            return pa.RecordBatch.from_pydict(
-                {c: cols[c] for c in ("doc_id", "piece", "start", "length")}
-                | {"ids": pa.ListArray.from_arrays(pa.array(bounds), pa.array(whole)), "part": pa.array([part] * len(bounds[1:]), pa.int64()), "local": cols["local"]}
-            )
+            out["part"] = [part] * len(out["piece"])
+            return pa.RecordBatch.from_pydict({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()})
 
         return work
 
-    return arrow_pass(docs.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, ids array<int>, part long, local long")
+    return arrow_pass(docs.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, tokens binary, local long, part long")
 
 
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str = "byte_bpe_50k") -> DataFrame:
     """Packs documents into sequences of at most `capacity` tokens.
 
     A document is its ids and `end_id`; a null or empty text is `end_id` alone. Longer ones are cut: all pieces but the
-    first have `capacity` tokens. Returns doc_id, piece, start, length, ids, sequence_id, offset. A null doc_id stays
+    first have `capacity` tokens. Returns doc_id, piece, start, length, tokens (ids as little-endian unsigned 32-bit numbers;
+    ids_of() makes arrays of them), sequence_id, offset. A null doc_id stays
     null; repeated rows are packed as often as they come; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -172,14 +168,15 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str
     small = by_task.count() <= BROADCAST_ROWS
     ranked = cut.join(F.broadcast(base) if small else base, ["part", "length"])
     ranked = ranked.withColumn("at", place("length", F.col("base") + F.col("local")))
-    return ranked.select("doc_id", "piece", "start", "length", "ids", "at.sequence_id", "at.offset")
+    return ranked.select("doc_id", "piece", "start", "length", "tokens", "at.sequence_id", "at.offset")
 
 
-def _crc32(ids: pd.Series) -> pd.Series:
-    return ids.map(lambda x: zlib.crc32(np.ascontiguousarray(x, "<u4"))).astype("int64")
+def ids_of(tokens: str = "tokens") -> Column:
+    """Arrays of the ids in a binary column."""
+    ids = F.pandas_udf(lambda b: b.map(lambda x: np.frombuffer(x, "<u4").astype(np.int32)), ArrayType(IntegerType()))
+    return ids(tokens)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(read(spark, sf_dir, "documents"))
-    crc = F.pandas_udf(_crc32, LongType())
-    return packed.select("doc_id", "piece", "start", "length", crc("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "sequence_id", "offset")

@@ -144,7 +144,7 @@ def test_substring(docs, texts, hot, held, monkeypatch):
 
 
 def test_packing(docs, texts):
-    rows = packing.pack(docs, capacity=64).collect()
+    rows = packing.pack(docs, capacity=64).withColumn("ids", packing.ids_of()).collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for d, text in texts.items():
         ids = [*t.encode(text, add_special_tokens=False).ids, 2]
@@ -319,9 +319,7 @@ def test_logistic_regression_separates():
     assert (((np.column_stack([x, np.ones(500)]) @ w) > 0) == y).mean() > 0.97
 
 
-def test_crc_of_ids(spark):
-    from pyspark.sql.types import LongType
-
-    rows = spark.createDataFrame([([1, 2, 50000],), ([],)], "ids array<int>")
-    got = [r[0] for r in rows.select(F.pandas_udf(packing._crc32, LongType())("ids")).collect()]
-    assert got == [zlib.crc32(np.array([1, 2, 50000], "<u4").tobytes()), 0]
+def test_crc_of_ids(spark, docs, texts):
+    encode = packing.encoder()
+    for r in packing.pack(docs).select("doc_id", F.crc32("tokens").alias("crc")).collect():
+        assert r.crc == zlib.crc32(np.array([*encode(texts[r.doc_id]), 2], "<u4").tobytes())
