@@ -204,22 +204,39 @@ def long_lists(lists: DataFrame) -> DataFrame:
 
 
 def blocked(rows: DataFrame, long: DataFrame) -> DataFrame:
-    """Adds block, blocks and main. A long list is cut into blocks: the rows of its largest component, which make no pairs
-    with each other, are dealt out; the others go to every block and meet there a part of these each."""
+    """Adds cell, across, own and main. Long lists are compared in cells, each with some rows of two blocks of the list.
+
+    The rows of a list's largest component (main) make no pairs with each other, so they meet only the others: main block a
+    and other block b in cell a * across + b. Blocks i <= j of the others meet in cell -1 - (i * across + j). `across` is the
+    number of blocks of others (0: the list is whole in cell 0), `own` the number of the row's block.
+    """
     if long.isEmpty():
-        return rows.withColumns({"block": F.lit(0), "blocks": F.lit(1), "main": F.lit(False)})
+        return rows.withColumns({"cell": F.lit(0).cast("long"), "across": F.lit(0), "own": F.lit(0), "main": F.lit(False)})
     sized = F.broadcast(long) if long.count() <= BROADCAST_IDS else long
-    held = rows.where("low = high").join(sized, "token").groupBy("token", "low").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("low", "k").alias("top"))
-    tagged = rows.join(sized.join(held, "token", "left"), "token", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("rows") / LIST).cast("int"), F.lit(1)))
+    held = rows.where("low = high").join(sized, "token").groupBy("token", "low").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("low", "k").alias("top"), F.max("k").alias("k"))
+    tagged = rows.join(sized.join(held, "token", "left"), "token", "left")
     main = F.coalesce((F.col("low") == F.col("high")) & (F.col("low") == F.col("top")), F.lit(False))
-    own = F.array(F.pmod(F.xxhash64("gid"), "blocks").cast("int"))
-    tagged = tagged.withColumn("main", main).withColumn("block", F.explode(F.when(F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    return tagged.select("token", "n", "gid", "place", "low", "high", "bits", "block", "blocks", "main")
+    top = F.coalesce("k", F.lit(0))
+    tagged = tagged.withColumns({"main": main, "down": F.ceil(top / LIST).cast("long"), "across": F.coalesce(F.ceil((F.col("rows") - top) / LIST).cast("long"), F.lit(0).cast("long"))})
+    # a long list that is one component makes no pairs
+    tagged = tagged.where("rows IS NULL OR across > 0")
+    hashed = F.pmod(F.xxhash64("gid"), F.greatest(F.when(F.col("main"), F.col("down")).otherwise(F.col("across")), F.lit(1).cast("long")))
+    tagged = tagged.withColumn("own", hashed)
+
+    def upto(n: str):
+        return F.filter(F.sequence(F.lit(0).cast("long"), F.col(n)), lambda i: i < F.col(n))
+
+    with_others = F.transform(upto("across"), lambda j: -1 - (F.least("own", j) * F.col("across") + F.greatest("own", j)))
+    with_main = F.transform(upto("down"), lambda a: a * F.col("across") + F.col("own"))
+    of_main = F.transform(upto("across"), lambda b: F.col("own") * F.col("across") + b)
+    cells = F.when(F.col("rows").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("main"), of_main).otherwise(F.concat(with_others, with_main))
+    tagged = tagged.withColumn("cell", F.explode(cells))
+    return tagged.select("token", "n", "gid", "place", "low", "high", "bits", "cell", F.col("across").cast("int"), F.col("own").cast("int"), "main")
 
 
 def open_pairs(lists: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Pairs of groups of one list that may hold a link not yet in a component. Rows: token, n, gid, place, low, high, bits,
-    block, blocks, main (see blocked), those of one block of a list together and ordered by n.
+    cell, across, own, main (see blocked), those of one cell of a list together and ordered by n.
 
     low and high are the least and the largest component of a group's members; bits is the parity map of a group with one
     set, else null. The bounds on size and place are those of the first shared n-gram; a pair with a link passes them there.
@@ -233,8 +250,8 @@ def open_pairs(lists: DataFrame, percent: int, nearest: bool = False) -> DataFra
         for batch in batches:
             if rest is not None:
                 batch = pa.concat_batches([rest, batch])
-            token, block = batch[0].to_numpy(), batch[7].to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero((np.diff(token) != 0) | (np.diff(block) != 0)) + 1])
+            token, cell = batch[0].to_numpy(), batch[7].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(token) != 0) | (np.diff(cell) != 0)) + 1])
             low, high = batch[4].to_numpy(), batch[5].to_numpy()
             mixed = np.minimum.reduceat(low, cuts) != np.maximum.reduceat(high, cuts)
             ends = np.concatenate([cuts[1:], [len(token)]])
@@ -265,13 +282,13 @@ def open_pairs(lists: DataFrame, percent: int, nearest: bool = False) -> DataFra
         maps = part[6].to_pylist()
         known = np.array([m is not None for m in maps])
         bits = np.frombuffer(b"".join(m or bytes(BITS // 8) for m in maps), np.uint64).reshape(len(maps), -1)
-        return (*(part[i].to_numpy().astype(np.int64) for i in range(1, 6)), bits, known, part[7][0].as_py(), part[8][0].as_py(), part[9].to_numpy(zero_copy_only=False))
+        return (*(part[i].to_numpy().astype(np.int64) for i in range(1, 6)), bits, known, part[7][0].as_py(), part[8][0].as_py(), part[9].to_numpy(), part[10].to_numpy(zero_copy_only=False))
 
     def pairs_of(cols: tuple, done: int | None, out: list) -> None:
         """Pairs of which the later row stands at `done` or after. Rows wholly in the list's largest component make none with
         each other, so only the others are gone through; these meet all rows before, and the largest component's after."""
-        n, gid, place, low, high, bits, known, block, blocks, main = cols
-        if blocks == 1:
+        n, gid, place, low, high, bits, known, cell, across, own, main = cols
+        if not across:
             parts, sizes = np.unique(low[low == high], return_counts=True)
             main = (low == high) & (low == parts[np.argmax(sizes)]) if len(parts) else np.zeros(len(n), bool)
         for i in np.flatnonzero(~main).tolist():
@@ -279,8 +296,10 @@ def open_pairs(lists: DataFrame, percent: int, nearest: bool = False) -> DataFra
             last = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
             at = np.arange(first, last)
             at = at[((at < i) | main[at] & (at > i)) & (np.maximum(at, i) >= (done or 0)) & (gid[at] != gid[i])]
-            if blocks > 1:  # two rows that are in every block meet in one of them
-                at = at[main[at] | ((gid[at] + gid[i]) % blocks == block)]
+            if across and cell >= 0:
+                at = at[main[at]]
+            elif across:  # of one block two rows are together in many cells; they meet in the one of that block alone
+                at = at[np.minimum(own[at], own[i]) * across + np.maximum(own[at], own[i]) == -1 - cell]
             need = -(-percent * (n[at] + n[i]) // (100 + percent))
             fits = np.minimum(n[at] - place[at], n[i] - place[i]) >= need
             fits &= ~((low[at] == high[at]) & (low[at] == low[i]) & (low[i] == high[i]))
@@ -400,7 +419,7 @@ def _open(lists: DataFrame, long: DataFrame, maps: DataFrame, members: DataFrame
     parted = maps.join(wide, "gid", "full").join(label.withColumnRenamed("node", "gid"), "gid", "left")
     parted = parted.select("gid", F.coalesce("low", "label", "gid").alias("low"), F.coalesce("high", "label", "gid").alias("high"), F.when(F.col("low").isNull(), F.col("bits")).alias("bits"))
     rows = blocked(lists.select("token", "n", "gid", "place").join(parted, "gid").select("token", "n", "gid", "place", "low", "high", "bits"), long)
-    pairs = open_pairs(rows.repartition("token", "block").sortWithinPartitions("token", "block", "n", "gid"), percent, nearest).distinct()
+    pairs = open_pairs(rows.repartition("token", "cell").sortWithinPartitions("token", "cell", "n", "gid"), percent, nearest).distinct()
     pairs = pairs.unionAll(wide.where("low != high").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
 
     def side(x: str) -> DataFrame:

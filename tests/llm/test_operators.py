@@ -88,7 +88,7 @@ def test_list_bounds_lose_no_pair(spark, length, monkeypatch):
     rows = [(t, n, g, p, c, c, b) for t, n, g, p, c, b in rows]
     schema = "token long, n long, gid long, place int, low long, high long, bits binary"
     table = spark.createDataFrame(rows, schema)
-    lists = jaccard.blocked(table, jaccard.long_lists(table)).repartition(3, "token", "block").sortWithinPartitions("token", "block", "n", "gid")
+    lists = jaccard.blocked(table, jaccard.long_lists(table)).repartition(3, "token", "cell").sortWithinPartitions("token", "cell", "n", "gid")
     need = defaultdict(set)
     able = defaultdict(set)
     for t in range(6):
