@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..config import InjectOptions
 from ..functions import lexicon as lex
-from ..functions.text import token_estimate
 from ..sources import codec
 from .links import links_among
 
