@@ -8,7 +8,6 @@ Values that cost at least `least_cost` become spans of kind `guess`.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Callable
 from math import log10
 
