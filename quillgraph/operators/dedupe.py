@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .links import FULL, band_pairs, token_pairs
+from .links import band_pairs, token_pairs
 
 
 def note_tokens() -> Column:
@@ -17,11 +17,17 @@ def note_tokens() -> Column:
     return F.array_distinct(F.concat(words, F.transform("topics", F.lower), F.transform("entities", F.lower)))
 
 
-def similar_notes(notes: DataFrame, threshold: float = 0.9, full: int = FULL) -> DataFrame:
-    """doc_id, a, b, score: pairs of notes whose tokens have a Jaccard similarity of `threshold` or more."""
-    small = F.count("*").over(Window.partitionBy("doc_id")) <= full
-    sets = notes.select("doc_id", "seq", note_tokens().alias("tokens"), small.alias("small"))
-    near = token_pairs(sets.where("small")).select("doc_id", "a", "b").unionByName(band_pairs(sets.where("NOT small").select("doc_id", "seq", "tokens")))
+def similar_notes(notes: DataFrame, threshold: float = 0.9, full: int | None = None) -> DataFrame:
+    """doc_id, a, b, score: pairs of notes whose tokens have a Jaccard similarity of `threshold` or more.
+
+    All such pairs, unless `full` is given: then documents of more notes get theirs from MinHash bands, which miss some.
+    """
+    sets = notes.select("doc_id", "seq", note_tokens().alias("tokens"))
+    if full is None:
+        near = token_pairs(sets, tokens=threshold)
+    else:
+        sets = sets.withColumn("small", F.count("*").over(Window.partitionBy("doc_id")) <= full)
+        near = token_pairs(sets.where("small"), tokens=threshold).unionByName(band_pairs(sets.where("NOT small").select("doc_id", "seq", "tokens")))
     side = {x: sets.select("doc_id", F.col("seq").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab"}
     both = near.join(side["a"], ["doc_id", "a"]).join(side["b"], ["doc_id", "b"])
     shared = F.size(F.array_intersect("ta", "tb"))

@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import band_rows, fnv1a
 from ..functions.text import BLANK
 
-#: Documents with more notes than this get candidates from MinHash bands; fewer are compared in full.
-FULL = 500
-
-#: Members of a band's bucket that make pairs: the first so many.
+#: Members of a band's bucket that make pairs: the first so many. Only for MinHash bands, which may miss pairs.
 BUCKET = 64
 
 
@@ -34,23 +31,38 @@ def band_pairs(sets: DataFrame, tokens: str = "tokens") -> DataFrame:
     return x.join(y, ["doc_id", "key"]).where("a < b").select("doc_id", "a", "b").distinct()
 
 
-def token_pairs(sets: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """doc_id, a, b, shared: pairs of sets (doc_id, seq, tokens) with a token in common, and how many. Nothing is missed."""
-    rows = sets.select("doc_id", "seq", F.explode(tokens).alias("token"))
-    x, y = rows.withColumnRenamed("seq", "a"), rows.withColumnRenamed("seq", "b")
-    return x.join(y, ["doc_id", "token"]).where("a < b").groupBy("doc_id", "a", "b").agg(F.count("*").alias("shared"))
+def token_pairs(sets: DataFrame, **least: float) -> DataFrame:
+    """doc_id, a, b: rows (doc_id, seq, arrays of distinct tokens), one of whose arrays can be similar enough, each pair once.
+
+    least: for each array to compare, the least Jaccard similarity wanted. No pair that has it is missed: of an array's n
+    tokens, the document's rarest first, all but the last ceil(least * n) - 1 are joined, as two that share that many share
+    one of these.
+    """
+    arrays = F.array(*[F.struct(F.lit(c).alias("kind"), F.lit(float(t)).alias("least"), F.col(c).alias("tokens")) for c, t in least.items()])
+    rows = sets.select("doc_id", "seq", F.inline(arrays)).select("doc_id", "seq", "kind", "least", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    rows = rows.withColumn("held", F.count("*").over(Window.partitionBy("doc_id", "kind", "token")))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "seq", "kind").orderBy("held", "token")))
+    rows = rows.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.col("least") - 1e-9) + 1)
+    x = rows.select("doc_id", "kind", "token", F.col("seq").alias("a"), F.col("n").alias("na"), "least")
+    y = rows.select("doc_id", "kind", "token", F.col("seq").alias("b"), F.col("n").alias("nb"))
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * F.col("least") - 1e-9
+    return x.join(y, ["doc_id", "kind", "token"]).where((F.col("a") < F.col("b")) & near).select("doc_id", "a", "b").distinct()
 
 
-def link_candidates(notes: DataFrame, threshold: float = 0.3, full: int = FULL) -> DataFrame:
-    """doc_id, a, b (sequence numbers, a < b), score: pairs of notes similar enough in names or topic words."""
-    small = F.count("*").over(Window.partitionBy("doc_id")) <= full
-    sets = notes.select("doc_id", "seq", F.array_distinct("entities").alias("names"), phrase_words("topics").alias("words"), small.alias("small"))
-    names = F.transform("names", lambda e: F.concat(F.lit("n"), e))
-    words = F.transform("words", lambda w: F.concat(F.lit("w"), w))
-    sets = sets.withColumn("tokens", F.concat(names, words))
-    near = token_pairs(sets.where("small")).select("doc_id", "a", "b")
-    plain = sets.where("NOT small").select("doc_id", "seq", F.array_distinct(F.concat("words", "names")).alias("tokens"))
-    pairs = near.unionByName(band_pairs(plain))
+def link_candidates(notes: DataFrame, threshold: float = 0.3, full: int | None = None) -> DataFrame:
+    """doc_id, a, b (sequence numbers, a < b), score: pairs of notes similar enough in names or topic words.
+
+    All such pairs, unless `full` is given: then documents of more notes get theirs from MinHash bands, which miss some.
+    """
+    sets = notes.select("doc_id", "seq", F.array_distinct("entities").alias("names"), phrase_words("topics").alias("words"))
+    exact = sets
+    if full is not None:
+        sets = sets.withColumn("small", F.count("*").over(Window.partitionBy("doc_id")) <= full)
+        exact = sets.where("small")
+    pairs = token_pairs(exact, names=threshold / 1.2, words=threshold)
+    if full is not None:
+        plain = sets.where("NOT small").select("doc_id", "seq", F.array_distinct(F.concat("words", "names")).alias("tokens"))
+        pairs = pairs.unionByName(band_pairs(plain))
     side = {x: sets.select("doc_id", F.col("seq").alias(x), F.col("names").alias(f"names_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab"}
     both = pairs.join(side["a"], ["doc_id", "a"]).join(side["b"], ["doc_id", "b"])
 

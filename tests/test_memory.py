@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.config import BuildOptions, InjectOptions, RecallOptions, StreamOptions
 from quillgraph.functions import annotate, hashing, text
-from quillgraph.operators import context, evaluate, links, segment, topics
+from quillgraph.operators import context, dedupe, evaluate, links, segment, topics
 from quillgraph.plans import memory
 from quillgraph.sources import codec, corpora
 from quillgraph.streaming import live
@@ -225,6 +225,27 @@ def test_links_agree_with_brute_force(spark):
     assert got == want
 
 
+def test_long_documents_miss_no_pair(spark):
+    draw = random.Random(8)
+    names, words = [f"N{i}" for i in range(300)], [f"w{i}" for i in range(400)]
+    # the first 80 are the same note, so buckets of bands overflow
+    data = [(1, s, sorted(draw.sample(names, draw.randint(0, 3))), draw.sample(words, draw.randint(0, 6)), f"q{s}") for s in range(81, 561)]
+    data += [(1, s, ["N1", "N2"], ["w1", "w2", "w3"], "the same") for s in range(1, 81)]
+    notes = spark.createDataFrame(data, "doc_id long, seq int, entities array<string>, topics array<string>, quote string")
+    linked, same = set(), set()
+    for i, x in enumerate(data):
+        for y in data[i + 1 :]:
+            e, w = (len({*x[k]} & {*y[k]}) / max(len({*x[k]} | {*y[k]}), 1) for k in (2, 3))
+            pair = tuple(sorted((x[1], y[1])))
+            if max(e * 1.2, w) >= 0.3:
+                linked.add(pair)
+            if x[2:] == y[2:]:
+                same.add(pair)
+    assert {(r.a, r.b) for r in links.link_candidates(notes, 0.3).collect()} == linked
+    assert {(r.a, r.b) for r in dedupe.similar_notes(notes, 0.95).collect()} == same
+    assert {(r.a, r.b) for r in links.link_candidates(notes, 0.3, full=500).collect()} < linked
+
+
 def test_bands_find_equal_sets(spark):
     df = spark.createDataFrame([(1, i, [f"t{i // 2 * 10 + k}" for k in range(8)]) for i in range(20)], "doc_id long, seq int, tokens array<string>")
     got = {(r.a, r.b) for r in links.band_pairs(df).collect()}
