@@ -190,8 +190,12 @@ def live(messages: DataFrame, options: StreamOptions = StreamOptions()) -> DataF
     return states.select("conv_id", "turn", "pushed", parsed["notes"].alias("notes"), entries.alias("codes"))
 
 
-def snapshot(states: DataFrame, options: StreamOptions = StreamOptions()):
-    """A memory from states: decayed weights, then links, centrality and ranks as in a batch. For use in foreachBatch."""
+def snapshot(states: DataFrame, options: StreamOptions = StreamOptions(), log: DataFrame | None = None):
+    """A memory from states: decayed weights, then links, centrality and ranks as in a batch. For use in foreachBatch.
+
+    log: the source_log of the messages that the states stand for. With it (and keep_source), questions search and show
+    whole passages; without, only quotes, topics and names, as states don't hold the messages.
+    """
     from ..plans.memory import NOTE, Memory
 
     rows = states.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("now"), F.inline("notes"))
@@ -202,7 +206,10 @@ def snapshot(states: DataFrame, options: StreamOptions = StreamOptions()):
     tied = links.build_links(rows, codes, build.link_threshold, build.link_top_k, build.verbose_labels)
     notes = weights.normalize_weights(weights.blend_centrality(rows, tied), build.temperature).select(*NOTE)
     lit = F.lit
-    meta = states.select(F.col("conv_id").alias("doc_id"), F.col("pushed").alias("input_length"), F.size("notes").alias("chunk_count"), lit(options.date).cast("string").alias("date"), lit(options.title).cast("string").alias("title"), lit(None).cast("array<string>").alias("warnings"), lit(None).cast("string").alias("source"))
+    kept = states.withColumn("source", lit(None).cast("string"))
+    if log is not None and build.keep_source:
+        kept = states.join(log.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("source")), "conv_id", "left")
+    meta = kept.select(F.col("conv_id").alias("doc_id"), F.col("pushed").alias("input_length"), F.size("notes").alias("chunk_count"), lit(options.date).cast("string").alias("date"), lit(options.title).cast("string").alias("title"), lit(None).cast("array<string>").alias("warnings"), "source")
     return Memory(notes, tied, codes, meta)
 
 

@@ -342,3 +342,15 @@ def test_replay_equals_stream(spark, tmp_path):
     log = {r.doc_id: r.text for r in live.source_log(table).collect()}
     first = want[0].notes[-1]
     assert log[0][first.source_start : first.source_end].endswith("release. 0")
+
+
+def test_snapshots_recall_words_outside_quotes(spark):
+    said = "We decided on Rust for the parser. The parser team wrote the parser tests in Rust, and the tests of the parser run in the build. A zebra stood by the fence. "
+    said += "Maria agreed with the decision on Rust, the parser and the build. The build runs the tests of the parser each night, and the release of the parser follows the tests."
+    table = spark.createDataFrame([(1, 0, said), (1, 1, "Peter asked about the schedule.")], "conv_id long, turn long, text string")
+    states, asked = live.replay(table), spark.createDataFrame([(7, 1, "zebra fence")], "query_id long, doc_id long, text string")
+    m = live.snapshot(states, log=live.source_log(table))
+    assert [r.id for r in m.recall(asked).collect()] == ["001"]
+    assert "zebra" in str(m.recall_context(asked).collect())
+    assert live.snapshot(states, StreamOptions(BuildOptions(keep_source=False)), live.source_log(table)).sources.count() == 0
+    assert live.snapshot(states).recall(asked).collect() == []
