@@ -1,10 +1,15 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by exact grouping of windows.
 
 The text before a place (documents by id, words in order) is the reference. It is indexed by block: every window
 of `least` words has an anchor, the smallest hash among the `least` // 2-grams in it, and a block holds all windows
 whose anchors fall in its range. Equal windows have equal anchors, so a window's earlier occurrence is in its block.
-Parsing a document takes the longest run of windows that goes on at one place of the reference as a factor; where
-a factor ends, the windows across its boundary are looked up on their own. Words in factors are duplicates.
+Each window that occurs earlier points to its earliest equal one, and windows in a row whose earliest places are also
+in a row are joined to one factor. Words in factors are duplicates.
+
+This replaces the greedy relative Lempel-Ziv parse, which would follow the longest match from each place and look up the
+windows across the ends of factors. Every window is looked up here, so none across a boundary needs a step of its own; the
+words removed are all those in a recurring window, as with the parse. Factors may be shorter and more, as one ends wherever
+the earliest place changes. A parse would need all earlier places of each window, of which only the earliest is kept here.
 
 Only anchors that occur twice matter. A first pass over the texts counts anchors by hash range and leaves a bit map of
 those that recur (a bit may be set wrongly, which costs traffic and no result). The second pass gives out the windows at
