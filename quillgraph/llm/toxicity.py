@@ -168,6 +168,6 @@ def drop_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the chain rejects: doc_id, the probabilities, toxic = 1."""
+    """Every document: doc_id, the probabilities, and toxic, 1 for those that the chain rejects."""
     docs = read(spark, sf_dir, "documents")
-    return score_toxicity(docs, fit_chain(docs, read(spark, sf_dir, "labels"))).where("toxic = 1")
+    return score_toxicity(docs, fit_chain(docs, read(spark, sf_dir, "labels")))

@@ -104,3 +104,12 @@ def test_vectors(spark):
     got = neighbours.nearest(table, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 8, 2.0), (0, 2, 1, 1.0), (0, 3, 20, 0.5), (20, 1, 8, 1.0), (20, 2, 0, 0.5), (20, 3, 1, 0.5)]
     assert neighbours.nearest(table.limit(0), F.lit(True)).collect() == []
+
+
+def test_toxicity_query_returns_every_row(spark, docs, labels, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    out = toxicity.op7_toxicity(spark, str(tmp_path))
+    check(out, docs)
+    assert out.columns == ["doc_id", "p_insult", "p_contempt", "p_toxic", "toxic"]
+    assert out.where("p_toxic IS NULL OR toxic IS NULL").count() == 0
