@@ -22,6 +22,10 @@ from .common import arrow_pass, grams, read
 
 WORD = re.compile(r"[^\W_]+")
 
+#: Letters of scripts without blanks between words: Thai and Lao, Tibetan, Myanmar, Khmer, kana and Han.
+UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+ANY_UNSPACED, LETTER_OR_WORD = re.compile(f"[{UNSPACED}]"), re.compile(f"(?=[{UNSPACED}])[^\\W_]|[^\\W_{UNSPACED}]+")
+
 #: Words of the shortest run that counts, and the share of an item's words that makes a document contaminated.
 LEAST, COVER = 4, 0.5
 
@@ -31,6 +35,12 @@ BLOCK_WORDS = 2_000_000
 SCHEMA = "doc_id long, item_id long, covered long, item_words long, coverage double, tiles array<struct<doc_start:long,item_start:long,length:long>>"
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters and digits in lower case; letters of unspaced scripts each count as a word."""
+    text = (text or "").lower()
+    return (WORD if text.isascii() or not ANY_UNSPACED.search(text) else LETTER_OR_WORD).findall(text)
+
+
 def longest_runs(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, n: int) -> list[tuple[int, int]]:
     """(i, j) where a[i:i+n] equals b[j:j+n] and both are wholly unmarked, by rolling hashes and comparison."""
     if n > len(a) or n > len(b):
@@ -81,7 +91,7 @@ class Items:
         self.ids, self.words = [], []
         seeds = defaultdict(set)
         for item, text in items:
-            words = WORD.findall((text or "").lower())
+            words = words_of(text)
             own = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int64)
             if len(own) < least:
                 continue
@@ -94,7 +104,7 @@ class Items:
 
     def scan(self, text: str | None, cover: float) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
         """(item, words covered, words, tiles) of the items that the text covers enough."""
-        words = WORD.findall(text.lower()) if text else []
+        words = words_of(text)
         if len(words) < self.least or not len(self.keys):
             return
         get = self.numbers.get
@@ -127,7 +137,7 @@ def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, s
     block, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         block.append((row[0], row[1]))
-        size += len((row[1] or "").split())
+        size += len(words_of(row[1]))
         if size >= block_words:
             yield block
             block, size = [], 0
@@ -138,7 +148,7 @@ def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, s
 def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cover: float = COVER, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and item that it covers to at least `cover`: the words covered and the tiles.
 
-    Words are runs of letters and digits, in lower case. Items of fewer than `least` words, null and empty texts match
+    Words are runs of letters and digits, in lower case, and single letters of scripts without blanks. Items of fewer than `least` words, null and empty texts match
     nothing. Repeated rows each get their rows. The benchmark is the query set: it goes to the executors in blocks of
     bounded size, and each block is one narrow pass over the documents.
     """

@@ -82,6 +82,15 @@ def test_benchmark_edges(spark, docs):
     assert found == {(1, 4), (2, 4), (1, None), (2, None)}
 
 
+def test_items_without_blanks(spark):
+    han, thai, kana = "中国的首都是哪一个城市", "กรุงเทพเป็นเมืองหลวงของไทย", "日本で一番高い山はどれですか"
+    bench = spark.createDataFrame([(1, f"{han}？"), (2, thai), (3, kana)], "item_id long, text string")
+    rows = [(1, f"问题：请问{han}呢？答案是北京。"), (2, f"ถาม{thai}ตอบ"), (3, f"質問は{kana}。"), (4, "今天天气很好我们去公园"), (5, "plain words of an ordinary text")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.coverage) for r in decontaminate.matches(texts, bench).collect()} == {(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(texts, bench).collect()) == [4, 5]
+
+
 def test_urls(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "x://"), (5, "http://COM/"), (6, "http://com"), (None, "http://a.net/fr/x?y"), (7, "http://b.example.com/en/?q"), (8, "http://www.example.com/en/a#b"), (8, "http://WWW.Example.com/en/a\n/b")]
     pages = spark.createDataFrame([(p, u, "h", "r") for p, u in rows], "page_id long, url string, host string, rule string")
