@@ -26,23 +26,24 @@ SAMPLE = 3_000
 
 @functools.cache
 def _symbols() -> np.ndarray:
-    """Code point -> 1..1023 for letters (code points apart by 1023 share one), else 0: a blank."""
-    return np.array([c % 1023 + 1 if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint32)
+    """Code point -> its number among all letters, from 1 on (below 2^20), else 0: a blank."""
+    letter = np.array([chr(c).isalpha() for c in range(0x110000)])
+    return np.where(letter, np.cumsum(letter), 0).astype(np.uint64)
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of a text's n-grams; none if it has no letter. A code holds n and three symbols of 10 bits."""
+    """Codes and counts of a text's n-grams; none if it has no letter. A code holds n and three symbols of 20 bits."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     s = _symbols()[points]
     if not s.any():
-        return np.array([], np.uint32), np.array([], np.int64)
-    s = np.concatenate([s[:0], [np.uint32(0)], s, [np.uint32(0)]]).astype(np.uint32)
+        return np.array([], np.uint64), np.array([], np.int64)
+    s = np.concatenate([[np.uint64(0)], s, [np.uint64(0)]])
     s = s[np.flatnonzero((s[1:] != 0) | (s[:-1] != 0))[0] :]
     s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]  # one blank between words
     a, b, c = s, s[1:], s[2:]
-    one = a[a != 0] | np.uint32(1 << 30)
-    two = a[:-1] << np.uint32(10) | b | np.uint32(2 << 30)
-    three = (a[:-2] << np.uint32(20) | b[:-1] << np.uint32(10) | c | np.uint32(3 << 30))[b[:-1] != 0]
+    one = a[a != 0] | np.uint64(1 << 60)
+    two = a[:-1] << np.uint64(20) | b | np.uint64(2 << 60)
+    three = (a[:-2] << np.uint64(40) | b[:-1] << np.uint64(20) | c | np.uint64(3 << 60))[b[:-1] != 0]
     return np.unique(np.concatenate([one, two, three]), return_counts=True)
 
 
@@ -100,7 +101,7 @@ def fit_profiles(docs: DataFrame, keep: Column, sample: int = SAMPLE) -> Profile
     top = counted.withColumn("rank", rank).where(F.col("rank") < SIZE).select("lang", "code", "rank").orderBy("lang", "code").collect()
     langs = sorted({r["lang"] for r in top})
     of = {x: [(r["code"], r["rank"]) for r in top if r["lang"] == x] for x in langs}
-    return Profiles(langs, [np.array([c for c, _ in of[x]], np.uint32) for x in langs], [np.array([k for _, k in of[x]], np.int64) for x in langs])
+    return Profiles(langs, [np.array([c for c, _ in of[x]], np.uint64) for x in langs], [np.array([k for _, k in of[x]], np.int64) for x in langs])
 
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:

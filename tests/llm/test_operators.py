@@ -289,6 +289,13 @@ def test_language_held_out(spark):
     assert sum(got[d] == lang for d, _, lang in rows if d % 2) >= 0.97 * 150
 
 
+def test_ngrams_keep_letters_apart():
+    for a, b in [("a", chr(ord("a") + 1023 * 12)), ("一", chr(ord("一") + 1023)), ("abc", "".join(chr(ord(x) + 1023 * 20) for x in "abc"))]:
+        assert b.isalpha()
+        assert not set(language.ngrams(a)[0].tolist()) & set(language.ngrams(b)[0].tolist())
+    assert len(language.ngrams("".join(map(chr, range(0x4E00, 0x9FA6))))[0]) == 3 * (0x9FA6 - 0x4E00) + 1
+
+
 def test_quality_and_toxicity_held_out(spark):
     draw = random.Random(8)
     rows, labels = [], []
