@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +17,22 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch that are worked on together; it bounds memory, not results.
 CHUNK = 256
 
+#: Tables stored inside the innermost scratch(), if any.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is set, as in tests."""
+    """The shared folder the cluster names. Only in local mode, where all tasks see it, one of our own if none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillgraph-"))
     return sc.getCheckpointDir()
 
 
@@ -34,11 +42,61 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like checkpoint(), as a compressed Parquet table, so that later reads prune columns."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Like checkpoint(), as a compressed Parquet table, so that later reads prune columns.
+
+    The table goes at the end of the scratch() around it, unless it is to be kept; else when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = _made.get()
+    if made is not None and not keep:
+        made.append(path)
+    files, at = _hadoop(spark, path)
+    files.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _hadoop(spark, path)
+    files.delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that were stored inside. What is read later must be stored with keep=True."""
+    before = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get()
+        _made.reset(before)
+        for path in made or ():
+            remove(spark, path)
+
+
+#: Estimates beyond this are no sizes: the optimiser has none for rows that come from no file.
+UNKNOWN = 1 << 52
+
+
+def tasks_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
+    """How many tasks a table's size asks for, by the optimiser's estimate; without one, the cores. Nothing is run for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > UNKNOWN:
+        return df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(1 << 16, -(-size // bytes_each)))
+
+
+def dealt(df: DataFrame, like: DataFrame, *keys: str) -> DataFrame:
+    """`df` by its keys, in as many parts as the size of `like` asks for, and no fewer than the session's shuffles have."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, tasks_for(like)), *keys)
 
 
 def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
