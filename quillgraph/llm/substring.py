@@ -1,24 +1,28 @@
-"""Substring deduplication by exact grouping of windows.
+"""Substring deduplication by a relative Lempel-Ziv parse.
 
-The text before a place (documents by id, words in order) is the reference. It is indexed by block: every window
-of `least` words has an anchor, the smallest hash among the `least` // 2-grams in it, and a block holds all windows
-whose anchors fall in its range. Equal windows have equal anchors, so a window's earlier occurrence is in its block.
-Each window that occurs earlier points to its earliest equal one, and windows in a row whose earliest places are also
-in a row are joined to one factor. Words in factors are duplicates.
+The reference of a place is the text before it (documents by id, words in order), in which every window of `least` words
+counts once, at its earliest place. It is indexed in blocks: a window has an anchor, the smallest hash among the
+`least` // 2-grams in it, and a block holds all windows whose anchors fall in its range. Equal windows have equal anchors,
+so a window's earlier place is in its block. Each block matches a document's windows with earlier ones.
 
-This replaces the greedy relative Lempel-Ziv parse, which would follow the longest match from each place and look up the
-windows across the ends of factors. Every window is looked up here, so none across a boundary needs a step of its own; the
-words removed are all those in a recurring window, as with the parse. Factors may be shorter and more, as one ends wherever
-the earliest place changes. A parse would need all earlier places of each window, of which only the earliest is kept here.
+Matches on one diagonal (at one distance between document and reference) whose words touch are one stretch, as all its
+words are equal; so stretches grow across blocks. A document is then parsed greedily: from the first place that a stretch
+reaches with `least` words or more, the factor follows the longest stretch to its end, and the parse goes on behind it.
+Windows across a factor's end, which are in none, are checked on their own: the stretch that reaches farthest from before
+the end gives a boundary factor. Words in factors are duplicates; together these are all words in a recurring window.
+
+The reference keeps one place of each window (a task that sees equal windows itself takes the earliest it sees), so a
+factor may be shorter than the longest match at any earlier place: all places would grow with the square of a group of copies.
 
 Only anchors that occur twice matter. A first pass over the texts counts anchors by hash range and leaves a bit map of
 those that recur (a bit may be set wrongly, which costs traffic and no result). The second pass gives out the windows at
-recurring anchors; of equal windows each task sends on the earliest, as the others have that one in front of them. Windows at a hot anchor
-(in a line that a third of the documents may hold) are dealt out by their own hashes instead.
+recurring anchors; of equal windows each task sends on the earliest, as the others have that one in front of them. Windows at
+a hot anchor (in a line that a third of the documents may hold) are dealt out by their own hashes instead.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, grams, mix, read
+from .common import WordHash, dealt, grams, mix, read, tasks_for
 
 #: Bits of the map of recurring anchors for one scan task's share of the input, and at most.
 BITS_A_TASK, MOST_BITS = 1 << 23, 1 << 29
@@ -41,6 +45,9 @@ HOT, MOST_HOT = 512, 65_536
 
 FACTOR = np.dtype([("start", "<i8"), ("words", "<i8"), ("ref_doc", "<i8"), ("ref_start", "<i8")])
 
+#: A factor as it is told: boundary factors reach over the end of a greedy one.
+TOLD = "struct<start:long,words:long,ref_doc_id:long,ref_start:long,boundary:boolean>"
+
 
 def anchors(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all short n-grams, and for each window of `least` words the place of its anchor (the first with the smallest hash).
@@ -73,7 +80,7 @@ def hashed(text: str | None, hashes: WordHash) -> np.ndarray:
 
 def _bits(docs: DataFrame) -> tuple[int, int]:
     """Bits of the blocks' numbers (several blocks for each scan task, so that they deal out evenly) and of the map."""
-    tasks = (docs.rdd.getNumPartitions() - 1).bit_length()
+    tasks = (tasks_for(docs) - 1).bit_length()
     return max(8, tasks + 3), min(MOST_BITS, BITS_A_TASK << tasks).bit_length() - 1
 
 
@@ -126,8 +133,8 @@ def recurring(texts: DataFrame, least: int, bucket_bits: int, map_bits: int) ->
     schema = "bucket int, blob binary, often binary"
     whole = np.zeros((1 << bucket_bits, 1 << (map_bits - bucket_bits - 3)), np.uint8)
     hot = np.zeros((2, 0), np.int64)
-    dealt = texts.select("text").mapInArrow(send, schema).repartition("bucket").sortWithinPartitions("bucket")
-    for r in dealt.mapInArrow(mark, schema).toLocalIterator():  # at most MOST_BITS together, and MOST_HOT anchors at a time
+    counted = dealt(texts.select("text").mapInArrow(send, schema), texts, "bucket").sortWithinPartitions("bucket")
+    for r in counted.mapInArrow(mark, schema).toLocalIterator():  # at most MOST_BITS together, and MOST_HOT anchors at a time
         whole[r["bucket"]] = np.frombuffer(r["blob"], np.uint8)
         hot = np.concatenate([hot, np.frombuffer(r["often"], np.int64).reshape(2, -1)], axis=1)
         hot = hot[:, np.lexsort((hot[0], -hot[1]))[:MOST_HOT]]
@@ -135,7 +142,7 @@ def recurring(texts: DataFrame, least: int, bucket_bits: int, map_bits: int) ->
 
 
 def _runs(doc: np.ndarray, key: np.ndarray, start: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray, least: int) -> pa.RecordBatch:
-    """Later windows with the earlier place of each, as factors; one row per document."""
+    """Later windows with the earlier place of each, as stretches; one row per document."""
     order = np.lexsort((start, key, doc))
     doc, key, start, ref_doc, ref_start = (x[order] for x in (doc, key, start, ref_doc, ref_start))
     new_doc = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])[: len(doc)]
@@ -161,10 +168,10 @@ def _later(anchor: np.ndarray, window: np.ndarray, doc: np.ndarray, start: np.nd
     return earliest, (doc[earliest] != doc) | (start[earliest] != start)
 
 
-def factors(docs: DataFrame, least: int = 20) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text), factors: binary rows of FACTOR, not yet joined across blocks.
+def stretches(docs: DataFrame, least: int = 20) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), stretches: binary rows of FACTOR, not yet joined across blocks.
 
-    Each row has some of a document's factors of at least `least` words and the earlier place each copies.
+    Each row has some of a document's matches of at least `least` words and the earlier place each copies.
     """
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text", F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"))
     bucket_bits, map_bits = _bits(texts)
@@ -252,25 +259,64 @@ def factors(docs: DataFrame, least: int = 20) -> DataFrame:
     sent = texts.mapInArrow(send, schema)
     # what is settled already is dealt out by document, the rest by block
     to = F.when(F.col("bucket") < 0, F.xxhash64("doc_id")).otherwise(F.col("bucket").cast("long"))
-    found = sent.withColumn("to", to).repartition("to").sortWithinPartitions("bucket").select("bucket", "doc_id", "text_key", "blob").mapInArrow(look_up, schema)
-    return found.select("doc_id", "text_key", F.col("blob").alias("factors"))
+    found = dealt(sent.withColumn("to", to), texts, "to").sortWithinPartitions("bucket").select("bucket", "doc_id", "text_key", "blob").mapInArrow(look_up, schema)
+    return found.select("doc_id", "text_key", F.col("blob").alias("stretches"))
 
 
-def joined(blobs: list[bytes] | None, least: int) -> np.ndarray:
-    """A document's factors in order; one that goes on where another ends, in text and reference, is one with it."""
+def joined(blobs: list[bytes] | None) -> np.ndarray:
+    """A document's stretches by start; those on one diagonal whose words overlap or touch are one."""
     if not blobs:
         return np.zeros(0, FACTOR)
-    f = np.sort(np.concatenate([np.frombuffer(b, FACTOR) for b in blobs]), order=("start", "ref_doc", "ref_start"))
+    f = np.concatenate([np.frombuffer(b, FACTOR) for b in blobs])
     shift = f["start"] - f["ref_start"]
-    goes_on = (f["ref_doc"][1:] == f["ref_doc"][:-1]) & (shift[1:] == shift[:-1]) & (f["start"][1:] <= f["start"][:-1] + f["words"][:-1] - least + 1)
-    head = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    order = np.lexsort((f["start"], shift, f["ref_doc"]))
+    f, shift = f[order], shift[order]
+    end = f["start"] + f["words"]
+    new = np.concatenate([[True], (f["ref_doc"][1:] != f["ref_doc"][:-1]) | (shift[1:] != shift[:-1])])
+    for i in np.flatnonzero(~new).tolist():
+        if f["start"][i] > end[i - 1]:
+            new[i] = True
+        else:
+            end[i] = max(end[i], end[i - 1])
+    head = np.flatnonzero(new)
     out = f[head].copy()
-    out["words"] = np.maximum.reduceat(f["start"] + f["words"], head) - out["start"]
+    out["words"] = end[np.concatenate([head[1:] - 1, [len(f) - 1]])] - out["start"]
+    return np.sort(out, order=("start", "words", "ref_doc", "ref_start"))
+
+
+def parse(stretches: np.ndarray, least: int) -> list[tuple[int, int, int, int, bool]]:
+    """The greedy parse along the stretches: (start, words, ref_doc, ref_start, boundary) of each factor, in order.
+
+    From a place, the stretch that reaches farthest is followed (of equal ones that of the smaller document and place).
+    Behind a factor's end the next begins where a stretch reaches `least` words on; if words before that are still in a
+    window across the end, a boundary factor from the first such window on covers them.
+    """
+    rows = stretches.tolist()
+    out: list[tuple[int, int, int, int, bool]] = []
+    open_: list[tuple[int, int, int, int]] = []  # heap: -end, ref_doc, ref_start - start, start
+    at = done = 0
+    while done < len(rows) or open_:
+        while done < len(rows) and rows[done][0] <= at:
+            start, words, doc, ref = rows[done]
+            heapq.heappush(open_, (-start - words, doc, ref - start, start))
+            done += 1
+        if open_ and -open_[0][0] >= at + least:
+            end, doc, shift, _ = open_[0]
+            out.append((at, -end - at, doc, at + shift, False))
+            at = -end
+            continue
+        if open_ and out and -open_[0][0] > at:
+            end, doc, shift, start = open_[0]
+            first = max(start, at - least + 1)
+            out.append((first, -end - first, doc, first + shift, True))
+        open_ = []
+        if done < len(rows):
+            at = rows[done][0]
     return out
 
 
 def remove_repeats(docs: DataFrame, least: int = 20) -> DataFrame:
-    """doc_id, text (kept words joined by one space), n_words, n_removed, factors (start, words, ref_doc_id, ref_start).
+    """doc_id, text (kept words joined by one space), n_words, n_removed, factors (TOLD: the parse's, and whether at a boundary).
 
     A word goes if it is in a window of `least` words whose sequence also starts earlier: in a document with a smaller id,
     or before in the same one. Words are runs without ASCII blanks, unchanged. Null texts have no words. Rows with a null
@@ -278,7 +324,7 @@ def remove_repeats(docs: DataFrame, least: int = 20) -> DataFrame:
     places, so neither is before the other. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
-    found = factors(docs, least).groupBy("doc_id", "text_key").agg(F.collect_list("factors").alias("factors"))
+    found = stretches(docs, least).groupBy("doc_id", "text_key").agg(F.collect_list("stretches").alias("stretches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,23 +333,24 @@ def remove_repeats(docs: DataFrame, least: int = 20) -> DataFrame:
                 texts, counts, gone, spans = [], [], [], []
                 for text, blobs in zip(part[1].to_pylist(), part[2].to_pylist(), strict=True):
                     words = text.encode("utf-8", "surrogatepass").split() if text else []
-                    own = joined(blobs, least)
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, own["start"], 1)
-                    np.add.at(edge, own["start"] + own["words"], -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                    texts.append(b" ".join(words[i] for i in np.flatnonzero(keep)) if len(own) else b" ".join(words))
+                    own = parse(joined(blobs), least)
+                    kept, end = [], 0
+                    for start, n, *_ in own:
+                        kept += words[end:start]
+                        end = max(end, start + n)
+                    kept += words[end:]
+                    texts.append(b" ".join(kept))
                     counts.append(len(words))
-                    gone.append(len(words) - int(keep.sum()))
-                    spans.append([{"start": a, "words": n, "ref_doc_id": d, "ref_start": r} for a, n, d, r in own.tolist()])
-                kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "words", "ref_doc_id", "ref_start")]))
+                    gone.append(len(words) - len(kept))
+                    spans.append([dict(zip(("start", "words", "ref_doc_id", "ref_start", "boundary"), f, strict=True)) for f in own])
+                kind = pa.list_(pa.struct([*((k, pa.int64()) for k in ("start", "words", "ref_doc_id", "ref_start")), ("boundary", pa.bool_())]))
                 yield pa.RecordBatch.from_arrays(
                     [part[0], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind)],
                     ["doc_id", "text", "n_words", "n_removed", "factors"],
                 )
 
-    both = rows.join(found, ["doc_id", "text_key"], "left").select("doc_id", "text", "factors")
-    return both.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long, factors array<struct<start:long,words:long,ref_doc_id:long,ref_start:long>>")
+    both = rows.join(found, ["doc_id", "text_key"], "left").select("doc_id", "text", "stretches")
+    return both.mapInArrow(run, f"doc_id long, text string, n_words long, n_removed long, factors array<{TOLD}>")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
