@@ -3,14 +3,20 @@
 The guess cost of a value is the least log10 of guesses over all ways to cut it into words, dates,
 repeats, keyboard walks and brute-force characters (dynamic programming, linear in the value's length).
 Values that cost at least `least_cost` become spans of kind `guess`.
+
+Words come with ranks, the guesses that they take. They are those of the public vocabularies, whose numbers
+follow their frequency (some 30,000 whole words of several languages), behind a few common passwords.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
 import re
 from collections.abc import Callable
 from math import log10
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,18 +37,46 @@ CONTEXT = re.compile(
 #: A text without any of these matches neither ASSIGN nor CONTEXT.
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 
-#: Common words by falling frequency; a word's rank is its number of guesses. The parameter `words` replaces it.
-WORDS = tuple(
-    """the of and to in is you that it he was for on are as with his they at be this have from or one had by word but not what all were we when
-    your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into
-    time has look two more write go see number no way could people my than first water been call who oil its now find long down day did get come
-    made may part password admin user login welcome letmein master secret token key test example dragon monkey sunshine princess football
-    baseball shadow summer winter spring autumn love hello freedom whatever trust hunter ranger access server root guest default change
-    changeme temp demo sample dummy none null true false""".split()
+#: Common passwords and words that stand for them, by falling frequency.
+PASSWORDS = tuple(
+    """password admin user login welcome letmein master secret token key test example dragon monkey sunshine princess football baseball shadow
+    summer winter spring autumn love hello freedom whatever trust hunter ranger access server root guest default change changeme temp demo sample
+    dummy none null true false""".split()
 )
+
+#: Vocabularies that give words and their ranks (files of public_tokenizers).
+VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
+
+
+@functools.cache
+def ranked_words(vocabularies: tuple[str, ...] = VOCABULARIES, first: tuple[str, ...] = PASSWORDS) -> dict[str, int]:
+    """word -> rank (from 1): `first` in its order, then the vocabularies' whole words of three letters or more, in lower case.
+
+    A word's rank is the smallest of its numbers in the vocabularies, behind those of `first`. Read by each task, not sent.
+    """
+    ranks = {w: i + 1 for i, w in reversed(list(enumerate(first)))}
+    found: dict[str, int] = {}
+    for name in vocabularies:
+        with open(public_tokenizers.path(name), "rb") as lines:
+            for token, number in map(bytes.split, lines):
+                word = base64.b64decode(token).decode("utf-8", "replace")
+                if len(word) > 3 and word[0] == " " and word[1:].isalpha():
+                    low = word[1:].lower()
+                    found[low] = min(found.get(low, 1 << 30), int(number))
+    for word, number in found.items():
+        ranks.setdefault(word, len(first) + number + 1)
+    return ranks
+
+
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4301$57@", "aeoissta")
-DATE = re.compile(r"(?=((?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d))", re.A)
+#: Dates with their guesses; a place may begin one of each form.
+DAY, MONTH, MARK = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])", "[-/._]?"
+YEAR = r"(?:19|20)\d\d"
+DATES = [(re.compile(f"(?=({p}))", re.A), log10(n)) for p, n in ((YEAR, 120), (YEAR + MARK + MONTH + MARK + DAY, 365 * 120), (DAY + MARK + MONTH + MARK + YEAR, 365 * 120))]
+
+#: Repeats and walks are as long as they can be, or of at most so many characters.
+REACH = 32
 
 
 def _neighbours() -> dict[str, frozenset[str]]:
@@ -59,11 +93,12 @@ def guess_cost(value: str, ranks: dict[str, int], longest: int) -> float:
     if len(low) != n:
         low = value
     plain = low.translate(LEET)
-    dates: dict[int, list[int]] = {}
-    for m in DATE.finditer(value):
-        dates.setdefault(m.end(1), []).append(m.start())
+    dates: dict[int, list[tuple[int, float]]] = {}
+    for pattern, cost in DATES:
+        for m in pattern.finditer(value):
+            dates.setdefault(m.end(1), []).append((m.start(), cost))
     best = [0.0] * (n + 1)
-    repeat = walk = 0
+    repeat = walk = 0  # where the run of equal characters, and that of neighbouring keys, began
     for j in range(1, n + 1):
         c = low[j - 1]
         if j > 1:
@@ -71,12 +106,14 @@ def guess_cost(value: str, ranks: dict[str, int], longest: int) -> float:
             walk = walk if c in NEXT_TO.get(low[j - 2], ()) else j - 1
         kind = 26 if c.isalpha() and value[j - 1] == c else 52 if c.isalpha() else 10 if c.isdigit() else 95
         cost = best[j - 1] + log10(kind)
-        if j - repeat >= 3:
-            cost = min(cost, best[repeat] + log10(kind * (j - repeat)))
-        if j - walk >= 4:
-            cost = min(cost, best[walk] + log10(len(NEXT_TO) * 4 * (j - walk)))
-        for i in dates.get(j, ()):
-            cost = min(cost, best[i] + log10(365 * (120 if j - i > 4 else 1) if j - i > 4 else 120))
+        for start, least, base in ((repeat, 3, kind), (walk, 4, len(NEXT_TO) * 4)):
+            if j - start >= least:
+                if j - start > REACH:
+                    cost = min(cost, best[start] + log10(base * (j - start)))
+                for i in range(max(start, j - REACH), j - least + 1):
+                    cost = min(cost, best[i] + log10(base * (j - i)))
+        for i, guesses in dates.get(j, ()):
+            cost = min(cost, best[i] + guesses)
         for i in range(max(0, j - longest), j - 2):
             if (rank := ranks.get(low[i:j])) or (rank := 2 * ranks.get(plain[i:j], 0)):
                 cost = min(cost, best[i] + log10(rank + 1) + (0.3 if value[i:j] != low[i:j] else 0))
@@ -84,8 +121,8 @@ def guess_cost(value: str, ranks: dict[str, int], longest: int) -> float:
     return best[n]
 
 
-def scanner(least_cost: float, words: tuple[str, ...]) -> Callable[[str], list[tuple[str, int, int]]]:
-    ranks = {w: i + 1 for i, w in reversed(list(enumerate(words)))}
+def scanner(least_cost: float, vocabularies: tuple[str, ...] = VOCABULARIES) -> Callable[[str], list[tuple[str, int, int]]]:
+    ranks = ranked_words(vocabularies)
     longest = max(map(len, ranks), default=0)
 
     def scan(text: str) -> list[tuple[str, int, int]]:
@@ -101,14 +138,15 @@ def scanner(least_cost: float, words: tuple[str, ...]) -> Callable[[str], list[t
     return scan
 
 
-def scan_secrets(docs: DataFrame, least_cost: float = 9.0, words: tuple[str, ...] = WORDS) -> DataFrame:
+def scan_secrets(docs: DataFrame, least_cost: float = 9.0, vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
     """doc_id, spans: array of (kind, start, end) by start, then kind; places are code points, ends exclusive.
 
-    One narrow pass. Null and empty texts have no spans; a null doc_id stays; repeated rows each get a row.
+    One narrow pass over whole texts, however long. Null and empty texts have no spans; a null doc_id stays; repeated rows
+    each get a row; spans of several kinds at one place all stay; an empty table gives no rows.
     """
 
     def make():
-        scan = scanner(least_cost, words)
+        scan = scanner(least_cost, vocabularies)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in scan(t)] if t else [] for t in batch[1].to_pylist()]
@@ -131,11 +169,15 @@ def hide(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact_secrets(docs: DataFrame, least_cost: float = 9.0, words: tuple[str, ...] = WORDS) -> DataFrame:
-    """The same rows and columns; in `text`, spans are replaced by marks like [assign]. n_chars, if there, follows."""
+def redact_secrets(docs: DataFrame, least_cost: float = 9.0, vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
+    """The same rows and columns; in `text`, spans are replaced by marks like [assign]. n_chars, if there, follows.
+
+    Null and empty texts stay as they are (a null text has a null n_chars); ids take no part; repeated rows all stay; an
+    empty table gives no rows; other columns are left as they are.
+    """
 
     def make():
-        scan = scanner(least_cost, words)
+        scan = scanner(least_cost, vocabularies)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             at = batch.schema.get_field_index("text")
