@@ -10,7 +10,7 @@ passages in another order count like those in the old one.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,46 +41,59 @@ def words_of(text: str | None) -> list[str]:
     return (WORD if text.isascii() or not ANY_UNSPACED.search(text) else LETTER_OR_WORD).findall(text)
 
 
-def longest_runs(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """(i, j) where a[i:i+n] equals b[j:j+n] and both are wholly unmarked, by rolling hashes and comparison."""
-    if n > len(a) or n > len(b):
-        return []
-    open_a = np.convolve(free_a, np.ones(n, int), "valid") == n
-    open_b = np.convolve(free_b, np.ones(n, int), "valid") == n
-    at = defaultdict(list)
-    hb = grams(b.astype(np.uint64), n)
-    for j in np.flatnonzero(open_b):
-        at[int(hb[j])].append(int(j))
-    ha = grams(a.astype(np.uint64), n)
-    hit = np.flatnonzero(open_a & np.isin(ha, np.fromiter(at, np.uint64, len(at))))
-    return [(int(i), j) for i in hit for j in at[int(ha[i])] if np.array_equal(a[i : i + n], b[j : j + n])]
+def _open(free: np.ndarray, n: int) -> np.ndarray:
+    """Places from which n words are unmarked."""
+    total = np.concatenate([[0], np.cumsum(free)])
+    return total[n:] - total[:-n] == n
+
+
+def _shared(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rolling hashes of a's runs of n words, and the unmarked places in a and in b whose hash the other has unmarked too."""
+    if n > min(len(a), len(b)):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ha, hb = grams(a.astype(np.uint64), n), grams(b.astype(np.uint64), n)
+    at_a, at_b = np.flatnonzero(_open(free_a, n)), np.flatnonzero(_open(free_b, n))
+    at_a = at_a[np.isin(ha[at_a], hb[at_b])]
+    return ha, at_a, at_b[np.isin(hb[at_b], ha[at_a])]
 
 
 def tile(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two sequences of word numbers: (place in a, place in b, length), longest first.
 
-    Runs of `n` words are looked for, n falling from what a doubling search finds to `least`; those that go on are
-    lengthened first, so each round marks the longest ones there are. Ties go to the first place in a, then in b.
+    Each round finds the length of the longest runs that both have unmarked (by halving, as what has a run of n words has
+    one of n - 1) and marks such runs from the first place in a on, each with the first place left in b. Lengths fall from
+    round to round, so there are no more rounds than lengths that fit into the shorter sequence together. A round looks at
+    places, not at pairs of places: words that repeat many times cost no more than others.
     """
-    free_a, free_b = np.ones(len(a), int), np.ones(len(b), int)
+    free_a, free_b = np.ones(len(a), np.int64), np.ones(len(b), np.int64)
     tiles = []
+    most = min(len(a), len(b))
     while True:
-        found, n = [], least
-        while more := longest_runs(a, b, free_a, free_b, n):
-            found, n = more, 2 * n
-        if not found:
+        low, high = least - 1, most
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if len(_shared(a, b, free_a, free_b, n)[1]) else (low, n - 1)
+        if low < least:
             return tiles
-        grown = []
-        for i, j in found:
-            k = n // 2
-            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and free_a[i + k] and free_b[j + k]:
-                k += 1
-            grown.append((-k, i, j))
-        most = min(grown)[0]
-        for k, i, j in sorted(g for g in grown if g[0] == most):
-            if free_a[i : i - k].all() and free_b[j : j - k].all():
-                free_a[i : i - k], free_b[j : j - k] = 0, 0
-                tiles.append((i, j, -k))
+        n = low
+        ha, at_a, at_b = _shared(a, b, free_a, free_b, n)
+        hb = grams(b.astype(np.uint64), n)
+        queues: dict[int, deque[int]] = defaultdict(deque)
+        for j in at_b.tolist():
+            queues[int(hb[j])].append(j)
+        done = 0
+        for i in at_a.tolist():
+            if i < done:
+                continue
+            queue = queues[int(ha[i])]
+            while queue and not free_b[queue[0] : queue[0] + n].all():
+                queue.popleft()
+            if queue and np.array_equal(a[i : i + n], b[queue[0] : queue[0] + n]):
+                j = queue.popleft()
+                free_a[i : i + n] = free_b[j : j + n] = 0
+                tiles.append((i, j, n))
+                done = i + n
+        most = n - 1
 
 
 class Items:
@@ -148,9 +161,10 @@ def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, s
 def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cover: float = COVER, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and item that it covers to at least `cover`: the words covered and the tiles.
 
-    Words are runs of letters and digits, in lower case, and single letters of scripts without blanks. Items of fewer than `least` words, null and empty texts match
-    nothing. Repeated rows each get their rows. The benchmark is the query set: it goes to the executors in blocks of
-    bounded size, and each block is one narrow pass over the documents.
+    Words are runs of letters and digits, in lower case, and single letters of scripts without blanks. Items of fewer than
+    `least` words, null and empty texts match nothing. Null ids stay. Repeated rows each get their rows, of documents and of
+    items; an empty table on either side gives no rows. The benchmark is the query set: it goes to the executors in blocks
+    of bounded size, and each block is one narrow pass over the documents.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
@@ -181,7 +195,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cover: fl
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cover: float = COVER, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of `docs`, all columns, that cover no item enough: a pass over the documents for each block of items."""
+    """The rows of `docs`, all columns, that cover no item enough: a pass over the documents for each block of items.
+
+    Null and empty texts stay, as do all rows if there is no item; repeated rows stay or go together; ids take no part.
+    """
     spark = docs.sparkSession
     for block in blocks(benchmark, block_words):
         told = spark.sparkContext.broadcast(block)
