@@ -51,25 +51,35 @@ def chi_square(freedom: int, p: float) -> float:
 
 
 class Space:
-    """The longest vector's length and the projections; the same in every process."""
+    """The projections of vectors over `unit`, the largest component, and the longest one's length then; the same in every process.
 
-    def __init__(self, width: int, longest: float, dims: int, seed: int = 11) -> None:
-        self.longest = longest
+    Lengths are of vectors over their largest component, so that no square of a component leaves the range of doubles.
+    """
+
+    def __init__(self, width: int, unit: float, longest: float, dims: int, seed: int = 11) -> None:
+        self.unit, self.longest = unit, longest
         self.axes = np.random.default_rng(seed).standard_normal((width + 1, dims))
 
     def points(self, x: np.ndarray) -> np.ndarray:
+        x = x / self.unit
         rest = np.sqrt(np.maximum(self.longest**2 - (x * x).sum(1), 0))
         return x @ self.axes[:-1] + rest[:, None] * self.axes[-1]
 
-    def scale(self, q: np.ndarray) -> float:
-        return self.longest / math.sqrt(float((q * q).sum()))
+    def scaled(self, q: np.ndarray) -> tuple[np.ndarray, float]:
+        """The query at the longest one's length, and what takes an inner product with it to that of `points`."""
+        own = float(np.abs(q).max())
+        q = q / own
+        size = self.longest / math.sqrt(float((q * q).sum()))
+        return q * size, size / own / self.unit if own * self.unit else math.inf
 
     def query(self, q: np.ndarray) -> np.ndarray:
-        return (q * self.scale(q)) @ self.axes[:-1]
+        return self.scaled(q)[0] @ self.axes[:-1]
 
     def squared(self, q: np.ndarray, score: float) -> float:
-        """Squared distance from the scaled query of a vector with this inner product, with room for rounding."""
-        return max(2 * self.longest**2 - 2 * self.scale(q) * score, 0.0) + 1e-9 * self.longest**2
+        """Squared distance from the scaled query of a vector with this inner product, with room for rounding; infinite if unknown."""
+        with np.errstate(all="ignore"):
+            far = 2 * self.longest**2 - 2 * np.float64(self.scaled(q)[1]) * score
+        return max(float(far), 0.0) + 1e-9 * self.longest**2 if math.isfinite(far) else math.inf
 
 
 def splits(p: np.ndarray, depth: int) -> list[tuple[int, float]]:
@@ -129,7 +139,8 @@ class Tree:
             if bound < math.inf:
                 off = self.p[part] - at
                 part = part[(off * off).sum(1) <= bound]
-            got = (self.x[part] * q).sum(1)
+            with np.errstate(all="ignore"):
+                got = np.nan_to_num((self.x[part] * q).sum(1), nan=-math.inf, posinf=math.inf, neginf=-math.inf)
             fits = (got >= kth) & (self.ids[part] != own)
             if fits.any():
                 scores, ids = np.concatenate([scores, got[fits]]), np.concatenate([ids, self.ids[part][fits]])
@@ -189,19 +200,21 @@ def nearest(table: DataFrame, queries: Column, k: int = 20, dims: int = 16, trus
 
     Rows take part with a vec_id and an embedding of the commonest length without null or non-finite components and other
     than zero. A query's own id takes no part in its result. Equal scores go by vec_id; rows that repeat a vec_id are
-    candidates each, and one query. Fewer candidates than k give all of them; an empty table gives no rows.
+    candidates each, and one query: their least vector, component by component. Fewer candidates than k give all of them;
+    an empty table gives no rows. Products beyond doubles are infinite, and what is no number counts as minus infinity.
     """
     spark = table.sparkSession
     ok = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("x"), queries.alias("is_query"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ok)
-    square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
-    sizes = rows.groupBy(F.size("x").alias("width")).agg(F.count("*").alias("n"), F.max(square).alias("longest")).orderBy(F.desc("n"), "width").limit(1).collect()
+    most = F.array_max(F.transform("x", F.abs))
+    sizes = rows.groupBy(F.size("x").alias("width")).agg(F.count("*").alias("n"), F.max(most).alias("unit")).orderBy(F.desc("n"), "width").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, n, longest = sizes[0]["width"], sizes[0]["n"], math.sqrt(sizes[0]["longest"])
+    width, n, unit = sizes[0]["width"], sizes[0]["n"], sizes[0]["unit"]
     rows = rows.where(F.size("x") == width)
-    space = Space(width, longest, dims)
+    square = F.aggregate("x", F.lit(0.0), lambda a, v: a + (v / F.lit(unit)) * (v / F.lit(unit)))
+    space = Space(width, unit, math.sqrt(rows.agg(F.max(square)).first()[0]), dims)
     depth = max(0, math.ceil(math.log2(max(1, min(n / cell_rows, sample / 8)))))
     drawn = rows.select("vec_id", "x").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect() if depth else []
     cuts = splits(space.points(np.array([r["x"] for r in drawn])), depth) if depth else []
@@ -227,7 +240,7 @@ def nearest(table: DataFrame, queries: Column, k: int = 20, dims: int = 16, trus
     low, high = (np.array([[cells[c][f"{name}{i}"] for i in range(dims)] for c in ids]) for name in ("low", "high"))
     many = F.broadcast(spark.createDataFrame([(int(c), int(b)) for c, b in blocks.items()], "cell long, blocks int"))
     points = placed.join(many, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = placed.where("is_query").select(F.col("vec_id").alias("query_id"), "x", "home").dropDuplicates(["query_id"])
+    asked = placed.where("is_query").groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("x", "home")).alias("q")).select("query_id", "q.x", "q.home")
 
     def all_blocks(visits: DataFrame) -> DataFrame:
         return visits.join(many, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
