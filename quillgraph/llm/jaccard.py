@@ -25,7 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_pass, checkpoint, grams, read, stored
+from .common import WordHash, arrow_pass, checkpoint, grams, read, stored, tasks_for
 from .graph import components
 
 #: Counters of the sketch (a power of two) and the pieces in which it travels.
@@ -34,8 +34,8 @@ SKETCH, SLICES = 1 << 20, 64
 #: Bits of a set's parity map: two sets differ in at least as many n-grams as their maps in bits.
 BITS = 512
 
-#: Rows of a list that one task compares; longer lists are cut into blocks.
-LIST = 1_024
+#: Rows of a list that are compared in one cell; longer lists are cut into 16 blocks, of LIST / 2 to 8 * LIST rows each.
+LIST = 512
 
 #: Candidates of each group in the first round.
 FIRST = 2
@@ -46,6 +46,9 @@ FAN_IN = 64
 #: Copies of a lookup row, so that the rows of one hot key spread over so many tasks.
 SALTS = 16
 
+#: Pairs of one document that are verified in one task; the text of one in more pairs is copied to several.
+PAIRS = 256
+
 #: Up to so many ids are broadcast to pick the texts to verify; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -88,7 +91,7 @@ def sketch(docs: DataFrame, words: int) -> np.ndarray:
 
     schema = "slice int, task int, counts binary"
     texts = docs.select("text")
-    parts, tasks = texts.mapInArrow(run, schema), texts.rdd.getNumPartitions()
+    parts, tasks = texts.mapInArrow(run, schema), tasks_for(texts)  # of more tasks, more sums reach the driver
     while True:
         tasks = -(-tasks // FAN_IN)
         parts = parts.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).repartition("slice", "task").mapInArrow(add, schema)
@@ -134,9 +137,10 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
 
 
 def listed(groups: DataFrame) -> DataFrame:
-    """The prefix lists: (token, n, gid, place), each token's rows together, ordered by size."""
+    """The prefix lists: (token, n, gid, place), ordered by token, then size. A hot token's list goes over several partitions."""
     rows = groups.select("gid", "n", F.posexplode("prefix").alias("place", "token"))
-    return rows.select("token", "n", "gid", "place").repartition("token").sortWithinPartitions("token", "n", "gid")
+    order = ["token", "n", "gid"]
+    return rows.select("token", "n", "gid", "place").repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def _near(n1, p1, n2, p2, percent: int):
@@ -147,27 +151,32 @@ def _near(n1, p1, n2, p2, percent: int):
 def neighbours(lists: DataFrame, percent: int) -> DataFrame:
     """The lists without groups that no other can match there, and with each row (as `before`) the row in front if these two can.
 
-    Lists of up to three rows are judged pair by pair; of longer ones all rows stay.
+    Lists of up to three rows are judged pair by pair; of longer ones all rows stay, as do those of a partition's first and
+    last list, which may go on in the next partition.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((4, 0), np.int64)  # the last list so far, or of a long one its last row
         long = False  # whether rows of that list have been given out
+        first = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cols = np.column_stack([rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])])
+            first = int(cols[0, 0]) if first is None else first
             last = int(np.flatnonzero(cols[0] != cols[0, -1])[-1]) + 1 if cols[0, 0] != cols[0, -1] else 0
             if last:
-                yield from judged(cols[:, :last], long)
+                yield from judged(cols[:, :last], long, first)
                 long = False
             rest = cols[:, last:]
             if rest.shape[1] > 4096:
-                yield from judged(rest, long, True)
+                yield from judged(rest, long, int(rest[0, 0]))
                 rest, long = rest[:, -1:], True
         if rest.shape[1]:
-            yield from judged(rest, long)
+            yield from judged(rest, long, int(rest[0, 0]))
 
-    def judged(cols: np.ndarray, long: bool, goes_on: bool = False) -> Iterator[pa.RecordBatch]:
-        """`long`: the first row is of a list whose rows before are given out, as is this one itself."""
+    def judged(cols: np.ndarray, long: bool, whole: int) -> Iterator[pa.RecordBatch]:
+        """`whole`: the list of which all rows stay. `long`: rows before the first one's are given out, as is this one itself."""
         token, n, gid, place = cols
         size = len(token)
 
@@ -183,8 +192,7 @@ def neighbours(lists: DataFrame, percent: int) -> DataFrame:
         keep = (length > 3) | one | two
         keep[:-1] |= one[1:]
         keep[:-2] |= two[2:]
-        if goes_on:
-            keep[:] = True
+        keep |= token == whole
         if long:
             keep |= token == token[0]
             keep[0] = False
@@ -217,7 +225,8 @@ def blocked(rows: DataFrame, long: DataFrame) -> DataFrame:
     tagged = rows.join(sized.join(held, "token", "left"), "token", "left")
     main = F.coalesce((F.col("low") == F.col("high")) & (F.col("low") == F.col("top")), F.lit(False))
     top = F.coalesce("k", F.lit(0))
-    tagged = tagged.withColumns({"main": main, "down": F.ceil(top / LIST).cast("long"), "across": F.coalesce(F.ceil((F.col("rows") - top) / LIST).cast("long"), F.lit(0).cast("long"))})
+    block = F.greatest(F.lit(LIST // 2), F.least(F.lit(8 * LIST), F.ceil(F.col("rows") / 16)))
+    tagged = tagged.withColumns({"main": main, "down": F.ceil(top / block).cast("long"), "across": F.coalesce(F.ceil((F.col("rows") - top) / block).cast("long"), F.lit(0).cast("long"))})
     # a long list that is one component makes no pairs
     tagged = tagged.where("rows IS NULL OR across > 0")
     hashed = F.pmod(F.xxhash64("gid"), F.greatest(F.when(F.col("main"), F.col("down")).otherwise(F.col("across")), F.lit(1).cast("long")))
@@ -324,11 +333,19 @@ def open_pairs(lists: DataFrame, percent: int, nearest: bool = False) -> DataFra
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose texts are similar enough. One checkpointed table."""
-    spark = pairs.sparkSession
+    """Those pairs (a, b) of doc_ids whose texts are similar enough. One checkpointed table.
+
+    A document in many pairs, as the first of a large group is, is no hot key: its pairs are dealt out by salts.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct().persist(StorageLevel.DISK_ONLY)
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     chosen = texts.join(some, "doc_id", "left_semi")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts")).where("salts > 1").persist(StorageLevel.DISK_ONLY)
+    hot = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
+    one = F.coalesce("salts", F.lit(1))
+    salted = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), one).cast("int").alias("salt"))
+    first = chosen.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(hot, "a", "left")
+    first = first.select("a", "text_a", F.explode(F.sequence(F.lit(0), one - 1)).alias("salt"))
 
     def make():
         hashes, kept = WordHash(), {}
@@ -348,15 +365,11 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
         return work
 
-    with_b = pairs.join(chosen.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_a = with_b.join(chosen.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)  # two whole texts in a row
-    try:
-        found = checkpoint(arrow_pass(with_a.select("a", "b", "text_a", "text_b"), make, "a long, b long").distinct())
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    with_b = salted.join(chosen.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(first, ["a", "salt"]).select("a", "b", "text_a", "text_b")
+    found = checkpoint(arrow_pass(both, make, "a long, b long").distinct())
     ids.unpersist()
+    many.unpersist()
     return found
 
 
@@ -431,7 +444,11 @@ def _open(lists: DataFrame, long: DataFrame, maps: DataFrame, members: DataFrame
 
 
 def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, all columns, whose doc_id is the smallest of its component; rows with a null doc_id stay."""
+    """The rows of `docs`, all columns, whose doc_id is the smallest of its component.
+
+    Rows with a null doc_id and rows without words stay, as they link with nothing; rows that repeat a doc_id stay or go
+    together; an empty table gives no rows; whole texts count, however long, and other columns are left as they are.
+    """
     gone = similar(docs, words, percent).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
 
