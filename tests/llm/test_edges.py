@@ -1,9 +1,11 @@
 """Every operator over nulls, empty and long texts, repeated rows, extra columns with clashing names, and empty tables."""
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, jaccard, language, neighbours, packing, quality, secrets, substring, toxicity, urlrules
+from quillgraph.llm import common, decontaminate, jaccard, language, neighbours, packing, quality, secrets, substring, toxicity, urlrules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, score double, set_key string, y int, a int, b int, words string, text_key int, part int, x string"
 EXTRA = (1, 0.5, "k", 1, 2, 3, "w", 4, 5, "x")
@@ -115,10 +117,58 @@ def test_vectors(spark):
     assert neighbours.nearest(table.limit(0), F.lit(True)).collect() == []
 
 
+def test_vectors_of_any_size(spark):
+    """Components whose squares leave the range of doubles, and rows that repeat an id with other vectors."""
+    for unit in (1e-200, 1e200, 5e-324):
+        rows = [(0, [unit, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [-unit, 1.0]), (20, [unit, unit]), (21, [1e-3, 1.0])]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = neighbours.nearest(table, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()
+        for q, x in ((0, rows[0][1]), (20, rows[4][1])):
+            want = sorted((-(x[0] * e[0] + x[1] * e[1]), v) for v, e in rows if v != q)[:3]
+            assert [(r.vec_id, r.score) for r in got if r.query_id == q] == [(v, -s) for s, v in want]
+    rows = [(0, [3.0, 1.0]), (0, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    for parts in (1, 3):
+        table = spark.createDataFrame(rows if parts == 1 else rows[::-1], "vec_id long, embedding array<double>").repartition(parts)
+        got = neighbours.nearest(table, F.col("vec_id") % 20 == 0, k=2).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(2, 2.0), (1, 1.0)]
+
+
+def test_long_urls(spark):
+    long = "a/" * 200_000
+    pages = spark.createDataFrame([(1, f"http://x.net/fr/{long}?{long}"), (2, f"http://{'b.' * 5_000}com/{long}")], "page_id long, url string")
+    got = {r.page_id: (len(r.path), r.rule, r.verdict) for r in urlrules.judge_urls(pages).collect()}
+    assert got == {1: (len(long) + 4, "net/fr/", "block"), 2: (len(long) + 1, "com/", "allow")}
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(RuntimeError):
+        common.checkpoint_dir(Session())
+
+
+def test_scratch_tables_go(spark):
+    with common.scratch(spark):
+        common.stored(spark.range(3), "gone")
+        kept = common.stored(spark.range(4), "stays", keep=True)
+    left = [p.split("/")[-1] for p in glob.glob(f"{common.checkpoint_dir(spark).removeprefix('file:')}/*")]
+    assert not any(p.startswith("gone-") for p in left)
+    assert any(p.startswith("stays-") for p in left)
+    assert kept.count() == 4
+
+
 def test_toxicity_query_returns_every_row(spark, docs, labels, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     out = toxicity.op7_toxicity(spark, str(tmp_path))
     check(out, docs)
-    assert out.columns == ["doc_id", "p_insult", "p_contempt", "p_toxic", "toxic"]
+    assert out.columns == ["doc_id", "p_kind1", "p_kind2", "p_kind3", "p_toxic", "toxic"]
     assert out.where("p_toxic IS NULL OR toxic IS NULL").count() == 0
