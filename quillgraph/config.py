@@ -10,7 +10,11 @@ from .functions.annotate import Options as NoteOptions
 
 @dataclass(frozen=True)
 class BuildOptions:
-    """How a corpus becomes a memory. A row's own `date` and `title` come from the corpus."""
+    """How a corpus becomes a memory. A row's own `date` and `title` come from the corpus.
+
+    full: None compares all notes of a document that can be similar; a number compares those of documents with more notes
+    by MinHash bands only, which miss some.
+    """
 
     chunk_size: int = 800
     chunk_overlap: int = 100
@@ -24,6 +28,7 @@ class BuildOptions:
     dedupe: bool = False
     dedupe_threshold: float = 0.9
     keep_source: bool = True
+    full: int | None = None
 
     @property
     def notes(self) -> NoteOptions:

@@ -1,8 +1,12 @@
-"""MinHash signatures with fixed constants, as column expressions."""
+"""MinHash signatures with fixed constants."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+from collections.abc import Iterable
+
+import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import col
@@ -30,30 +34,30 @@ def _constants() -> list[tuple[int, int]]:
 CONSTANTS = _constants()
 
 
-def fnv1a(c: Column | str) -> Column:
-    """32-bit FNV-1a over the text's code points (UTF-16 units where these are below 65536)."""
-    chars = F.split(col(c), "")
-    return F.aggregate(F.filter(chars, lambda x: x != ""), F.lit(OFFSET).cast("long"), lambda h, x: h.bitwiseXOR(F.ascii(x).cast("long")) * PRIME % (1 << 32))
+@functools.lru_cache(1 << 18)
+def fnv1a(word: str) -> int:
+    """32-bit FNV-1a over the word's UTF-16 units."""
+    raw = word.encode("utf-16-le", "surrogatepass")
+    h = OFFSET
+    for i in range(0, len(raw), 2):
+        h = (h ^ (raw[i] | raw[i + 1] << 8)) * PRIME & MASK
+    return h
 
 
-def signature(hashes: Column | str) -> Column:
-    """The least of (a * h + b) mod 2^32 over the hashes, for each pair of constants; all ones without hashes."""
-    hashes = col(hashes)
-    # multipliers in halves of 16 bits, so that no product passes 63 bits
-    halves = F.array(*[F.struct(F.lit(a >> 16).cast("long").alias("high"), F.lit(a & 0xFFFF).cast("long").alias("low"), F.lit(b).cast("long").alias("b")) for a, b in CONSTANTS])
+FACTORS, ADDENDS = (np.array([c[i] for c in CONSTANTS], np.uint64)[:, None] for i in (0, 1))
 
-    def slot(c: Column) -> Column:
-        value = F.transform(hashes, lambda h: (c["high"] * h % (1 << 16) * (1 << 16) + c["low"] * h + c["b"]) % (1 << 32))
-        return F.coalesce(F.array_min(value), F.lit(MASK).cast("long"))
 
-    return F.transform(halves, slot)
+def signature(words: Iterable[str]) -> list[int]:
+    """The least of (a * h + b) mod 2^32 over the words' hashes, for each pair of constants; all ones without words."""
+    h = np.array([fnv1a(w) for w in words], np.uint64)
+    return ((FACTORS * h + ADDENDS) & np.uint64(MASK)).min(axis=1).tolist() if len(h) else [MASK] * HASHES
 
 
-def band_rows(sets: DataFrame, hashes: Column, *keys: str) -> DataFrame:
-    """keys, key: one row per band of each set's signature."""
-    rows = sets.select(*keys, signature(hashes).alias("sig")).select(*keys, "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    parts = [F.get("sig", F.col("band") * ROWS + r).cast("string") for r in range(ROWS)]
-    return rows.select(*keys, F.concat_ws(":", F.col("band").cast("string"), *parts).alias("key"))
+def bands(sig: Column | str) -> Column:
+    """An array of one key for each band of a signature."""
+    sig = col(sig)
+    parts = [[F.get(sig, F.lit(band * ROWS + r)).cast("string") for r in range(ROWS)] for band in range(BANDS)]
+    return F.array(*[F.concat_ws(":", F.lit(str(band)), *p) for band, p in enumerate(parts)])
 
 
 def estimate(a: Column | str, b: Column | str) -> Column:

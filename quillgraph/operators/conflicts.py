@@ -54,17 +54,23 @@ def opposite(a: Column, b: Column) -> Column:
     return F.get(F.flatten(F.transform(wa, hits)), F.lit(0))
 
 
-def shared_key(names_a: str, names_b: str, topics_a: str, topics_b: str) -> Column:
-    """The first shared name, else the first shared topic of more than three characters."""
-    name = F.get(F.filter(F.col(names_a), lambda x: F.array_contains(F.col(names_b), x)), F.lit(0))
-    topic = F.get(F.filter(F.col(topics_a), lambda x: F.array_contains(F.col(topics_b), x) & (F.length(x) > 3)), F.lit(0))
-    return F.coalesce(name, topic)
+def decision_pairs(notes: DataFrame) -> DataFrame:
+    """doc_id, seq_a, seq_b, shared_topic: notes (doc_id, seq, entities, topics) with a name or a topic of more than three characters in common.
+
+    The first shared name of the earlier note, else its first shared topic. Notes meet on what they share.
+    """
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("entities").alias("keys")), F.struct(F.lit(1).alias("kind"), F.filter("topics", lambda t: F.length(t) > 3).alias("keys")))
+    rows = notes.select("doc_id", "seq", F.inline(kinds)).select("doc_id", "seq", "kind", F.posexplode("keys").alias("place", "key"))
+    a = rows.select("doc_id", "kind", "key", F.col("seq").alias("seq_a"), "place")
+    b = rows.select("doc_id", "kind", "key", F.col("seq").alias("seq_b")).distinct()
+    both = a.join(b, ["doc_id", "kind", "key"]).where("seq_a < seq_b")
+    return both.groupBy("doc_id", "seq_a", "seq_b").agg(F.min(F.struct("kind", "place", "key")).alias("first")).select("doc_id", "seq_a", "seq_b", F.col("first.key").alias("shared_topic"))
 
 
-def own_text(notes: DataFrame, sources: DataFrame | None) -> DataFrame:
-    """Adds `said`: a note's text after the note before it (by number), its whole text if that is short, else its quote."""
+def own_text(notes: DataFrame, sources: DataFrame | None, wanted: Column | None = None) -> DataFrame:
+    """The `wanted` notes (all, if not said) with `said`: a note's text after the note before it (by number), its whole text if that is short, else its quote."""
     before = notes.select("doc_id", (F.col("seq") + 1).alias("seq"), F.col("source_end").alias("from_"))
-    rows = notes.join(before, ["doc_id", "seq"], "left")
+    rows = (notes if wanted is None else notes.where(wanted)).join(before, ["doc_id", "seq"], "left")
     if sources is None:
         return rows.withColumn("said", F.col("quote")).drop("from_")
     rows = rows.join(sources.select("doc_id", F.col("text").alias("whole_")), "doc_id", "left")
@@ -81,10 +87,10 @@ def conflicts(notes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
 
     notes: doc_id, seq, id, entities, topics, flags, quote, resolved_date and, with sources (doc_id, text), the note's place.
     """
-    rows = own_text(notes, sources).where(F.array_contains("flags", "DECISION"))
+    rows = own_text(notes, sources, F.array_contains("flags", "DECISION"))
     rows = rows.select("doc_id", "seq", "id", "entities", "topics", "said", "resolved_date", says_no(F.col("said")).alias("no"), decided_value(F.col("said")).alias("value"))
-    side = {x: rows.select("doc_id", *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "doc_id"]) for x in "ab"}
-    both = side["a"].join(side["b"], "doc_id").where("seq_a < seq_b").withColumn("shared_topic", shared_key("entities_a", "entities_b", "topics_a", "topics_b")).where("shared_topic IS NOT NULL")
+    side = {x: rows.select("doc_id", *[F.col(c).alias(f"{c}_{x}") for c in ("seq", "id", "said", "resolved_date", "no", "value")]) for x in "ab"}
+    both = decision_pairs(notes.where(F.array_contains("flags", "DECISION"))).join(side["a"], ["doc_id", "seq_a"]).join(side["b"], ["doc_id", "seq_b"])
     signal = (
         F.when(F.col("no_a") != F.col("no_b"), "negation-flip")
         .when(values_differ(F.col("value_a"), F.col("value_b")), "value-change")

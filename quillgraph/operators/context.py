@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import InjectOptions
 from ..functions import lexicon as lex
 from ..sources import codec
-from .links import links_among
+from .links import in_order, links_among
+from .passes import each
 
 SIGNAL = ("DECISION", "ORIGIN", "CORE")
 
@@ -127,40 +128,28 @@ def inject(notes: DataFrame, links: DataFrame, codes: DataFrame, meta: DataFrame
     """doc_id, text: what of each document's memory goes into a prompt.
 
     Filters and selection by weight are expressions; the greedy parts (relevance against repetition, guaranteed flags, the
-    budget) work on one document's notes at a time.
+    budget) and JSON work on one document's notes at a time. Each memory has a row: where nothing is selected, text has
+    the header alone, JSON empty lists and markdown is empty.
     """
     chosen = notes
     if options.min_weight is not None:
         chosen = chosen.where(F.col("weight") >= options.min_weight)
     if options.flags:
         chosen = chosen.where(F.arrays_overlap("flags", F.array(*map(F.lit, options.flags))))
-    greedy = options.selection == "mmr" and options.max_notes is not None or options.guarantee_flags or options.max_tokens is not None
-    if not greedy:
-        if options.max_notes is not None:
-            chosen = select_notes(chosen, options.max_notes)
-        else:
-            chosen = chosen.withColumn("rank", F.col("seq"))
-        return render(chosen, links, codes, meta, options.format)
-    return _inject_greedy(notes, chosen, links, codes, meta, options)
-
-
-def render(chosen: DataFrame, links: DataFrame, codes: DataFrame, meta: DataFrame | None, format: str) -> DataFrame:
-    """doc_id, text of the chosen notes in the order of `rank`, as text, json or markdown."""
-
-    def gathered(rows: DataFrame, value: Column, order: list[str], name: str) -> DataFrame:
-        return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*order, value.alias("value")))).alias(name))
-
-    if format == "markdown":
-        lines = gathered(chosen, markdown_line(), ["rank"], "lines")
-        return lines.select("doc_id", F.array_join(F.transform("lines", lambda x: x["value"]), "\n\n").alias("text"))
-    among = links_among(links, chosen)
-    if format == "json":
-        shown = F.struct(*[c for c in ("id", "entities", "topics", "quote", "weight", "emotions", "flags", "source_start", "source_end", "resolved_date") if c in chosen.columns])
-        rows = gathered(chosen, shown, ["rank"], "lines").join(gathered(among, F.struct("from_id", "to_id", "label"), ["from_id", "to_id"], "ties"), "doc_id", "left")
-        whole = F.struct(F.transform("lines", lambda x: x["value"]).alias("notes"), F.coalesce(F.transform("ties", lambda x: x["value"]), F.array()).alias("links"))
-        return rows.select("doc_id", F.to_json(whole, {"pretty": "true"}).alias("text"))
+    mmr = options.selection == "mmr" and options.max_notes is not None
+    if mmr or options.guarantee_flags or options.max_tokens is not None or options.format == "json":
+        return _inject_greedy(notes, chosen, links, codes, meta, options)
+    if options.max_notes is not None:
+        chosen = select_notes(chosen, options.max_notes)
+    else:
+        chosen = chosen.withColumn("rank", F.col("seq"))
+    heads = codec.heads_of(notes, meta)
+    if options.format == "markdown":
+        lines = F.array_sort(F.collect_list(F.struct("rank", markdown_line().alias("line"))))
+        told = chosen.groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("text"))
+        return heads.select("doc_id").join(told, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     used = chosen.select("doc_id", F.explode("entities").alias("name")).distinct()
-    return codec.encode(chosen, among, codes.join(used, ["doc_id", "name"], "left_semi"), meta)
+    return codec.encode(chosen, links_among(links, chosen), codes.join(used, ["doc_id", "name"], "left_semi"), heads)
 
 
 def _inject_greedy(notes: DataFrame, chosen: DataFrame, links: DataFrame, codes: DataFrame, meta: DataFrame | None, options: InjectOptions) -> DataFrame:
@@ -168,23 +157,15 @@ def _inject_greedy(notes: DataFrame, chosen: DataFrame, links: DataFrame, codes:
     mark = chosen.select("doc_id", "seq", F.lit(True).alias("in_"))
     rows = notes.select("doc_id", *fields).join(mark, ["doc_id", "seq"], "left").withColumn("in_", F.coalesce("in_", F.lit(False)))
     group = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "in_", *[f for f in fields if f != "seq"]))).alias("notes"))
-    ties = links.groupBy("doc_id").agg(F.collect_list(F.struct("from_id", "to_id", "label")).alias("links"))
+    ties = in_order(links).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "from_id", "to_id", "label"))).alias("links"))
     book = codes.groupBy("doc_id").agg(F.collect_list(F.struct("code", "name")).alias("codes"))
-    group = group.join(ties, "doc_id", "left").join(book, "doc_id", "left")
-    if meta is not None:
-        group = group.join(meta.select("doc_id", "date", "title"), "doc_id", "left")
-    else:
-        group = group.withColumn("date", F.lit(None).cast("string")).withColumn("title", F.lit(None).cast("string"))
+    group = codec.heads_of(notes, meta).join(group, "doc_id", "left").join(ties, "doc_id", "left").join(book, "doc_id", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for row in batch.select(["notes", "links", "codes", "date", "title"]).to_pylist():
-                memory = codec.Plain(row["notes"], row["links"] or [], {c["name"]: c["code"] for c in row["codes"] or []}, row["date"], row["title"])
-                texts.append(memory.render(choose(memory, options), options.format))
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(texts, pa.string())], ["doc_id", "text"])
+    def of(notes: list[dict] | None, links: list[dict] | None, codes: list[dict] | None, date: str | None, title: str | None) -> list[tuple]:
+        memory = codec.Plain(notes or [], links or [], {c["name"]: c["code"] for c in codes or []}, date, title)
+        return [(memory.render(choose(memory, options), options.format),)]
 
-    return group.select("doc_id", "notes", "links", "codes", "date", "title").mapInArrow(run, "doc_id long, text string")
+    return each(group.select("doc_id", "notes", "links", "codes", "date", "title"), ["doc_id"], of, "text string")
 
 
 def score_of(note: dict) -> float:

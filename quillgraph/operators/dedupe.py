@@ -65,12 +65,13 @@ def components(pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, seq int, root int")
 
 
-def merge_duplicates(notes: DataFrame, threshold: float = 0.9, weight: str = "raw_weight") -> DataFrame:
+def merge_duplicates(notes: DataFrame, threshold: float = 0.9, weight: str = "raw_weight", full: int | None = None) -> DataFrame:
     """One note for each group of near-duplicates: the heaviest (the first of equals), with what the others say.
 
     Its weight is the heaviest's; names are united and sorted; topics, emotions and flags follow in note order after its own.
+    full: see similar_notes.
     """
-    found = components(similar_notes(notes, threshold))
+    found = components(similar_notes(notes, threshold, full))
     grouped = notes.join(found, ["doc_id", "seq"], "left").withColumn("root", F.coalesce("root", "seq"))
     lead = Window.partitionBy("doc_id", "root")
     best = F.max_by("seq", F.struct(F.col(weight), -F.col("seq"))).over(lead)

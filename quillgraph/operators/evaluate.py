@@ -76,7 +76,7 @@ def plant(texts: DataFrame, facts: DataFrame, every: int) -> DataFrame:
 
     facts: fact_id, sentence; document d gets fact (d mod every), if there is one.
     """
-    rows = texts.withColumn("fact_id", F.pmod("doc_id", F.lit(every)).cast("int")).join(F.broadcast(facts), "fact_id")
+    rows = texts.withColumn("fact_id", F.pmod("doc_id", F.lit(every)).cast("int")).join(facts, "fact_id")
     paras = F.split("text", "\n\n")
     at = F.pmod(F.col("doc_id") * 7 + F.col("fact_id") * 3, F.size("p") + 1).cast("int")
     placed = F.concat(F.slice("p", F.lit(1), F.col("at")), F.array("sentence"), F.slice("p", F.col("at") + 1, F.size("p")))

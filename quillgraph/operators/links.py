@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import band_rows, fnv1a
+from ..functions import hashing
 from ..functions.text import BLANK
+from .passes import each
 
 #: Members of a band's bucket that make pairs: the first so many. Only for MinHash bands, which may miss pairs.
 BUCKET = 64
@@ -22,13 +23,18 @@ def phrase_words(topics: Column | str) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(topics, lambda t: F.split(t, f"[{BLANK}]+"))), lambda w: F.length(w) >= 2))
 
 
+def signatures(sets: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """doc_id, seq, sig: the MinHash signature of each set (doc_id, seq, tokens)."""
+    return each(sets.select("doc_id", "seq", tokens), ["doc_id", "seq"], lambda words: [(hashing.signature(words),)], "sig array<long>")
+
+
 def band_pairs(sets: DataFrame, tokens: str = "tokens") -> DataFrame:
     """doc_id, a, b: sets (doc_id, seq, tokens) that share a MinHash band, each pair once."""
-    keys = band_rows(sets, F.transform(F.col(tokens), fnv1a), "doc_id", "seq")
+    keys = signatures(sets, tokens).select("doc_id", "seq", F.explode(hashing.bands("sig")).alias("key"))
     first = keys.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("seq"))).where(F.col("n") <= BUCKET)
-    x = first.select("doc_id", "key", F.col("seq").alias("a"))
-    y = first.select("doc_id", "key", F.col("seq").alias("b"))
-    return x.join(y, ["doc_id", "key"]).where("a < b").select("doc_id", "a", "b").distinct()
+    members = first.groupBy("doc_id", "key").agg(F.collect_list("seq").alias("own")).where(F.size("own") > 1)
+    pairs = F.flatten(F.transform("own", lambda a: F.transform(F.filter("own", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return members.select("doc_id", F.inline(pairs)).distinct()
 
 
 def token_pairs(sets: DataFrame, **least: float) -> DataFrame:
@@ -124,9 +130,19 @@ def link_labels(pairs: DataFrame, notes: DataFrame, codes: DataFrame, verbose: b
     return both.select("doc_id", F.col("id_a").alias("from_id"), F.col("id_b").alias("to_id"), label.alias("label"), "score")
 
 
-def build_links(notes: DataFrame, codes: DataFrame, threshold: float = 0.3, top_k: int = 3, verbose: bool = False) -> DataFrame:
-    """doc_id, from_id, to_id, label, score: at most `top_k` links for each note. notes: doc_id, seq, id, entities, topics."""
-    return link_labels(cap_degree(link_candidates(notes, threshold), top_k), notes, codes, verbose)
+def build_links(notes: DataFrame, codes: DataFrame, threshold: float = 0.3, top_k: int = 3, verbose: bool = False, full: int | None = None) -> DataFrame:
+    """doc_id, from_id, to_id, label, score: at most `top_k` links for each note. notes: doc_id, seq, id, entities, topics.
+
+    full: see link_candidates.
+    """
+    return link_labels(cap_degree(link_candidates(notes, threshold, full), top_k), notes, codes, verbose)
+
+
+def in_order(links: DataFrame) -> DataFrame:
+    """Adds `at`: each document's links by where they start, then by falling score, then by where they end."""
+    score = [F.desc("score")] if "score" in links.columns else []
+    order = Window.partitionBy("doc_id").orderBy(F.collate("from_id", "UNICODE"), *score, F.col("to_id").try_cast("long"), "to_id")
+    return links.withColumn("at", F.row_number().over(order))
 
 
 def links_among(links: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -6,20 +6,23 @@ questions: query_id, doc_id, text. A question is put to the memory of its doc_id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RecallOptions
 from ..functions import lexicon as lex
 from ..functions.text import BLANK, LEFT, RIGHT, exploded, fold, tokens
+from .links import links_among
+from .passes import each
 
+# Names of months in questions, and the constants of BM25.
 MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 K1, B = 1.2, 0.75
 
+#: Places of scores that decide an order, as sums come in no fixed order.
+PLACES = 9
+
 
 def date_range(notes: DataFrame, after: str | None = None, before: str | None = None) -> DataFrame:
     """Dated notes in the range; a bound compares as many characters as it has."""
@@ -45,14 +48,18 @@ def note_words() -> Column:
     return tokens(F.concat_ws(" ", "body", F.array_join("topics", " "), F.array_join("entities", " ")))
 
 
-def postings(notes: DataFrame) -> DataFrame:
+def postings(notes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """doc_id, seq, token, tf, idf, norm: what BM25 needs of each note and token. Notes have `body`.
 
-    idf and norm come from the notes given, so filters that should change them go before.
+    idf and norm come from the notes given, so filters that should change them go before. asked: doc_id, token; only these
+    tokens' postings are made.
     """
     rows = notes.select("doc_id", "seq", note_words().alias("words")).withColumn("len", F.size("words"))
     whole = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    tf = exploded(rows, "doc_id", "seq", "len", of="words", name="token").groupBy("doc_id", "seq", "len", "token").agg(F.count("*").alias("tf"))
+    held = exploded(rows, "doc_id", "seq", "len", of="words", name="token")
+    if asked is not None:
+        held = held.join(asked.select("doc_id", "token").distinct(), ["doc_id", "token"], "left_semi")
+    tf = held.groupBy("doc_id", "seq", "len", "token").agg(F.count("*").alias("tf"))
     df = F.count("*").over(Window.partitionBy("doc_id", "token"))
     both = tf.withColumn("df", df).join(whole, "doc_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -134,60 +141,78 @@ def date_bonus(day: Column | str, asked: Column | str) -> Column:
     return F.when(day.isNull(), 0.0).otherwise(F.coalesce(F.get(hits, F.lit(0)), F.lit(0.0)))
 
 
-def page_rank(scored: DataFrame, links: DataFrame, steps: int = 20, alpha: float = 0.85) -> DataFrame:
-    """query_id, doc_id, id, rank: walks over the links that start and restart at notes by their score.
+def date_hits(notes: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, doc_id, seq, bonus: dated notes that a question's dates speak for. They meet on years."""
+    dates = questions.select("query_id", "doc_id", question_dates().alias("asked")).where(F.size("asked") > 0)
+    year = lambda q: F.substring(q, 1, 4).cast("int")
+    near = lambda q: F.array(year(q), F.when(q.endswith("-01"), year(q) - 1).when(q.endswith("-12"), year(q) + 1).otherwise(year(q)))
+    dates = dates.withColumn("year", F.explode(F.array_distinct(F.flatten(F.transform("asked", near)))))
+    dated = notes.where("resolved_date IS NOT NULL").select("doc_id", "seq", "resolved_date", F.substring("resolved_date", 1, 4).try_cast("int").alias("year"))
+    rows = dates.join(dated, ["doc_id", "year"]).select("query_id", "doc_id", "seq", date_bonus("resolved_date", "asked").alias("bonus"))
+    return rows.where("bonus > 0")
+
+
+#: Questions of one document whose walks are worked out together.
+WALKS = 64
+
+
+def page_rank(scored: DataFrame, links: DataFrame, notes: DataFrame, steps: int = 20, alpha: float = 0.85) -> DataFrame:
+    """query_id, doc_id, id, walk: walks over the links that start and restart at notes by their score; the largest is 1.
 
-    scored: query_id, doc_id, id, score for every note in question. One row holds one question's notes of one document.
+    scored: query_id, doc_id, id, score (> 0). Notes that no walk reaches have no row, nor have documents without links.
+    Links to others than `notes` (doc_id, id) are not walked. A document's links go once to each WALKS of its questions.
     """
-    group = scored.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "score"))).alias("notes"))
-    edges = links.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("from_id", "to_id"))).alias("edges"))
-    rows = group.join(edges, "doc_id").select("query_id", "doc_id", "notes", "edges")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for query, doc, notes, edges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = {x["id"]: i for i, x in enumerate(notes)}
-                seed = np.array([x["score"] for x in notes], float)
-                ends = [(at[e["from_id"]], at[e["to_id"]]) for e in edges if e["from_id"] in at and e["to_id"] in at]
-                a = np.array([x for e in ends for x in e], np.int64)
-                b = np.array([x for e in ends for x in e[::-1]], np.int64)
-                degree = np.bincount(a, minlength=len(at)) if len(a) else np.zeros(len(at), np.int64)
-                start = rank = seed / (seed.sum() or 1)
-                for _ in range(steps):
-                    share = alpha * rank / np.maximum(degree, 1)
-                    idle = alpha * rank[degree == 0].sum()
-                    rank = (1 - alpha + idle) * start + (np.bincount(b, share[a], len(at)) if len(a) else 0)
-                for col, values in zip(out, ([query] * len(at), [doc] * len(at), list(at), rank.tolist()), strict=True):
-                    col.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch[0].type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64())], ["query_id", "doc_id", "id", "rank"])
-
-    kind = rows.schema["query_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"query_id {kind}, doc_id long, id string, rank double")
+    linked = links.select("doc_id").distinct()
+    edges = links_among(links, notes).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("from_id", "to_id"))).alias("edges"))
+    asked = scored.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "score"))).alias("seeds")).join(linked, "doc_id", "left_semi")
+    parts = asked.groupBy("doc_id").agg(F.ceil(F.count("*") / WALKS).cast("int").alias("parts"))
+    dealt = asked.join(parts, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part"))
+    rows = dealt.agg(F.array_sort(F.collect_list(F.struct("query_id", "seeds"))).alias("asked")).join(edges, "doc_id", "left").select("doc_id", "asked", "edges")
+
+    def of(asked: list[dict], edges: list[dict] | None) -> list[tuple]:
+        ids = sorted({e[k] for e in edges or [] for k in ("from_id", "to_id")} | {x["id"] for q in asked for x in q["seeds"]})
+        at = {n: i for i, n in enumerate(ids)}
+        a = np.array([at[e[k]] for e in edges or [] for k in ("from_id", "to_id")], np.int64)
+        b = np.array([at[e[k]] for e in edges or [] for k in ("to_id", "from_id")], np.int64)
+        degree = np.bincount(a, minlength=len(ids))
+        out = []
+        for q in asked:
+            start = np.zeros(len(ids))
+            for x in q["seeds"]:
+                start[at[x["id"]]] = x["score"]
+            start /= start.sum()
+            rank = start
+            for _ in range(steps):
+                share = alpha * rank / np.maximum(degree, 1)
+                rank = (1 - alpha + alpha * rank[degree == 0].sum()) * start + np.bincount(b, share[a], len(ids))
+            rank /= rank.max()
+            out += [(q["query_id"], ids[i], float(rank[i])) for i in np.flatnonzero(rank).tolist()]
+        return out
+
+    kind = scored.schema["query_id"].dataType.simpleString()
+    return each(rows, ["doc_id"], of, f"query_id {kind}, id string, walk double")
 
 
 def recall(notes: DataFrame, questions: DataFrame, links: DataFrame | None = None, options: RecallOptions = RecallOptions(), sources: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, id, seq, score, rank (from 1): the notes that answer each question best.
 
-    Without words to ask, notes, or a match, a question has no answer. Ties go by id, by the root collation.
+    Without words to ask, notes, or a match, a question has no answer. Scores that differ by less than PLACES are equal;
+    ties go by id, by the root collation.
     """
+    keys = ["query_id", "doc_id"]
     found = date_range(notes, options.after, options.before)
-    found = note_text(found, sources)
     words = question_words(questions, notes, options.expand)
-    scored = bm25(words, postings(found)).where("score > 0")
-    most = F.max("score").over(Window.partitionBy("query_id", "doc_id"))
+    scored = bm25(words, postings(note_text(found, sources), words)).where("score > 0")
+    most = F.max("score").over(Window.partitionBy(*keys))
     scored = scored.withColumn("score", F.col("score") / most)
-    asked = questions.select("query_id", "doc_id", question_dates().alias("asked")).join(scored.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
-    base = found.select("doc_id", "seq", "id", "resolved_date")
-    # notes that a question matches, and those that its dates alone speak for; links need all notes of the document
-    rows = asked.join(base, "doc_id").join(scored, ["query_id", "doc_id", "seq"], "left")
-    rows = rows.select("query_id", "doc_id", "seq", "id", (F.coalesce("score", F.lit(0.0)) + date_bonus("resolved_date", "asked")).alias("score"))
+    hits = date_hits(found, questions).join(scored.select(*keys).distinct(), keys, "left_semi")
+    rows = scored.join(hits, [*keys, "seq"], "full").select(*keys, "seq", (F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).alias("score"))
+    rows = rows.join(found.select("doc_id", "seq", "id"), ["doc_id", "seq"])
     if options.hops and links is not None:
-        ranked = page_rank(rows.select("query_id", "doc_id", "id", "score"), links)
-        top = F.max("rank").over(Window.partitionBy("query_id", "doc_id"))
-        ranked = ranked.withColumn("rank", F.when(top > 0, F.col("rank") / top).otherwise(F.col("rank")))
-        rows = rows.join(ranked, ["query_id", "doc_id", "id"], "left")
-        rows = rows.withColumn("score", F.when(F.col("rank").isNotNull(), 0.6 * F.col("score") + 0.4 * F.col("rank")).otherwise(F.col("score"))).drop("rank")
-    order = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), F.collate("id", "UNICODE"))
-    ranked = rows.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.top_k)
-    return ranked.select("query_id", "doc_id", "id", "seq", "score", "rank")
+        walks = page_rank(rows.select(*keys, "id", "score"), links, found)
+        rows = rows.select(*keys, "id", "score").join(walks, [*keys, "id"], "full")
+        # documents without links have no walks: their scores stay
+        rows = rows.withColumn("score", F.when(F.col("walk").isNull(), F.col("score")).otherwise(0.6 * F.coalesce("score", F.lit(0.0)) + 0.4 * F.col("walk")))
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", PLACES)), F.collate("id", "UNICODE"))
+    best = rows.select(*keys, "id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.top_k)
+    return best.join(found.select("doc_id", "id", "seq"), ["doc_id", "id"]).select(*keys, "id", "seq", "score", "rank")

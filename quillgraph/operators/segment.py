@@ -2,93 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import annotate
 from ..functions.annotate import Options
-from ..functions.text import BLANK, name_code, newlines, note_id
-
-NOTE_FIELDS = {
-    "seq": pa.int32(), "entities": pa.list_(pa.string()), "topics": pa.list_(pa.string()), "quote": pa.string(), "raw_weight": pa.float64(),
-    "emotions": pa.list_(pa.string()), "flags": pa.list_(pa.string()), "source_start": pa.int32(), "source_end": pa.int32(), "resolved_date": pa.string(), "body": pa.string(),
-}
-NOTE_SCHEMA = (
-    "doc_id long, seq int, entities array<string>, topics array<string>, quote string, raw_weight double, emotions array<string>, "
+from ..functions.text import name_code, note_id
+from .passes import each
+
+NOTE_FIELDS = (
+    "seq int, entities array<string>, topics array<string>, quote string, raw_weight double, emotions array<string>, "
     "flags array<string>, source_start int, source_end int, resolved_date string, body string"
 )
 
+#: Bytes for each core below which a corpus is dealt out anew.
+SMALL = 4 << 20
+
+
+def _lines(text: str | None) -> str:
+    return re.sub(r"\r\n?", "\n", text or "")
+
 
 def paragraphs(corpus: DataFrame) -> DataFrame:
     """doc_id, idx, para_start, para_end, text: paragraphs parted by blank lines, without white space at their ends."""
-    text = newlines("text")
-    pieces = F.split(text, r"(?<=\n\n)(?!\n)")
-    placed = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<struct<at:int,piece:string>>").alias("out")),
-        lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), p.alias("piece")))).alias("out")),
-    )["out"]
-    rows = corpus.select("doc_id", F.inline(placed))
-    lead = F.length(F.regexp_extract("piece", f"^[{BLANK}]*", 0))
-    body = F.regexp_replace("piece", f"^[{BLANK}]+|[{BLANK}]+$", "")
-    rows = rows.select("doc_id", (F.col("at") + lead).alias("para_start"), (F.col("at") + lead + F.length(body)).alias("para_end"), body.alias("text")).where("text != ''")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("para_start")) - 1
-    return rows.select("doc_id", order.alias("idx"), "para_start", "para_end", "text")
+
+    def of(text: str | None) -> list[tuple]:
+        text = _lines(text)
+        return [(i, s, e, text[s:e]) for i, (s, e) in enumerate(annotate.paragraphs(text))]
+
+    return each(corpus.select("doc_id", "text"), ["doc_id"], of, "idx int, para_start int, para_end int, text string")
 
 
 def chunks(corpus: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
-    """doc_id, idx, char_start, char_end, text: whole paragraphs gathered up to `size` characters.
+    """doc_id, idx, char_start, char_end, text: whole paragraphs gathered up to `size` characters."""
 
-    All expressions: paragraphs fold into chunk bounds, in each row on its own, without a shuffle.
-    """
-    text = newlines("text")
-    pieces = F.split("whole", r"(?<=\n\n)(?!\n)")
-    spans_type = "array<struct<s:int,e:int>>"
-    paras = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.expr("array()").cast(spans_type).alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p)).alias("at"),
-            F.concat(
-                a["out"],
-                F.when(p.rlike(f"[^{BLANK}]"), F.array(F.struct(
-                    (a["at"] + F.length(F.regexp_extract(p, f"^[{BLANK}]*", 0))).alias("s"),
-                    (a["at"] + F.length(F.regexp_replace(p, f"[{BLANK}]+$", ""))).alias("e"),
-                ))).otherwise(F.expr("array()").cast(spans_type)),
-            ).alias("out"),
-        ),
-    )["out"]
-
-    def resume(start: Column, end: Column, following: Column) -> Column:
-        if overlap <= 0:
-            return following
-        at = F.greatest(start, end - overlap)
-        tail = F.substring("whole", at + 1, end - at)
-        skip = F.when(F.substring("whole", at, F.lit(1)).rlike(f"[^{BLANK}]"), F.length(F.regexp_extract(tail, f"^[^{BLANK}]*[{BLANK}]*", 0))).otherwise(F.length(F.regexp_extract(tail, f"^[{BLANK}]*", 0)))
-        return F.when(at == start, at).when(at + skip < end, at + skip).otherwise(following)
-
-    def gather(a: Column, p: Column) -> Column:
-        full = (a["s"] >= 0) & (p["e"] - a["s"] > size)
-        return F.struct(
-            F.when(a["s"] < 0, p["s"]).when(full, resume(a["s"], a["e"], p["s"])).otherwise(a["s"]).alias("s"),
-            p["e"].alias("e"),
-            F.when(full, F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"))))).otherwise(a["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.expr("array()").cast(spans_type).alias("out"))
-    bounds = F.aggregate("paras", start, gather, lambda a: F.when(a["s"] >= 0, F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"))))).otherwise(a["out"]))
-    rows = corpus.select("doc_id", text.alias("whole")).withColumn("paras", paras)
-    rows = rows.select("doc_id", "whole", F.posexplode(bounds).alias("idx", "span"))
-    return rows.select("doc_id", "idx", F.col("span.s").alias("char_start"), F.col("span.e").alias("char_end"), F.substring("whole", F.col("span.s") + 1, F.col("span.e") - F.col("span.s")).alias("text"))
+    def of(text: str | None) -> list[tuple]:
+        text = _lines(text)
+        return [(i, s, e, text[s:e]) for i, (s, e) in enumerate(annotate.passages(text, size, overlap))]
+
+    return each(spread(corpus.select("doc_id", "text")), ["doc_id"], of, "idx int, char_start int, char_end int, text string")
 
 
 def spread(corpus: DataFrame) -> DataFrame:
-    """A corpus that lies in fewer partitions than would keep all cores busy is dealt out anew; others stay as they lie."""
+    """A corpus that is small by the optimiser's estimate is dealt out over the cores; others stay as they lie. Nothing is run."""
     cores = corpus.sparkSession.sparkContext.defaultParallelism
-    return corpus.repartition(4 * cores) if corpus.rdd.getNumPartitions() < 2 * cores else corpus
+    size = int(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return corpus.repartition(4 * cores) if size < SMALL * cores else corpus
 
 
 def annotate_notes(corpus: DataFrame, options: Options = Options()) -> DataFrame:
@@ -98,19 +59,10 @@ def annotate_notes(corpus: DataFrame, options: Options = Options()) -> DataFrame
     """
     when = F.col("date").cast("string") if "date" in corpus.columns else F.lit(None).cast("string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                docs, rows = [], []
-                for doc, text, day in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
-                    found = annotate.notes(text, day, options) if text else []
-                    docs += [doc] * len(found)
-                    rows += found
-                if rows:
-                    cols = [pa.array([r[c] for r in rows], kind) for c, kind in NOTE_FIELDS.items()]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *cols], ["doc_id", *NOTE_FIELDS])
-
-    return spread(corpus.select(F.col("doc_id").cast("long"), "text", when.alias("date"))).mapInArrow(run, NOTE_SCHEMA)
+    def of(text: str | None, day: str | None) -> list[tuple]:
+        return [tuple(n.values()) for n in annotate.notes(text, day, options)] if text else []
+
+    return each(spread(corpus.select(F.col("doc_id").cast("long"), "text", when.alias("date"))), ["doc_id"], of, NOTE_FIELDS)
 
 
 def entity_codes(notes: DataFrame) -> DataFrame:

@@ -1,81 +1,48 @@
-"""Topics as relational steps: token statistics, unigram scores, phrase scores, absorption and cap.
+"""Topics of passages (doc_id, idx, text and, if there, speakers): the scores of words and phrases, and the best of both.
 
-Each step is a table, for corpora whose passages are rows already. functions.annotate.topics gives the same for one text.
+Passes over the functions that notes are made with.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import lexicon as lex
-from ..functions.text import BLANK, LEFT, RIGHT
+from ..functions import annotate
+from .passes import each
 
 KEYS = ["doc_id", "idx"]
 
-#: Places of scores that decide the order, so that sums of different order don't.
-PLACES = 9
-
-
-def boost(shown: Column) -> Column:
-    hyphens = shown.contains("-") & F.forall(F.split(shown, "-"), lambda p: F.length(p) > 1)
-    return (
-        F.when(shown.rlike("^[A-Z]{2,}$"), 2.0)
-        .when(shown.rlike("^[A-Z][a-z]+(?:[A-Z][a-z]*)+$"), 2.5)
-        .when(hyphens, 1.8)
-        .when((F.length(shown) > 6) & shown.rlike(f"(?i)(?:{'|'.join(lex.TECH_ENDINGS)})$"), 1.3)
-        .otherwise(1.0)
-    )
-
-
-def token_stream(chunks: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, idx, n, pos, shown, low, content: each passage's tokens. Speakers (array, optional) are blanked."""
-    text = F.regexp_replace("text", r"\([^)]{3,60}\)", " ")
-    text = F.regexp_replace(text, f"(?m)^[A-Z][a-zA-Z]{{1,20}}:[{BLANK}]*", " ")
-    if "speakers" in chunks.columns:
-        names = F.concat(F.lit(f"(?i){LEFT}(?:"), F.array_join("speakers", "|"), F.lit(f"){RIGHT}"))
-        text = F.when(F.size("speakers") > 0, F.regexp_replace(text, names, F.lit(" "))).otherwise(text)
-    parts = chunks.select(*KEYS, F.split(text, f"[{BLANK}]+").alias("parts"))
-    rows = parts.select(*KEYS, F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "raw"))
-    shown = F.regexp_replace(F.regexp_replace("raw", "^[^A-Za-z0-9_-]+|[^A-Za-z0-9_-]+$", ""), r"""['".,!?;:()\[\]{}]""", "")
-    rows = rows.withColumn("shown", shown).withColumn("low", F.lower("shown"))
-    stops = [*lex.TOPIC_STOP, *(w.lower() for w in stop)]
-    return rows.withColumn("content", (F.length("low") > 2) & ~F.col("low").isin(stops)).drop("raw")
-
-
-def unigrams(stream: DataFrame, least: int = 1) -> DataFrame:
-    """doc_id, idx, low, freq, first, score."""
-    stats = stream.where("content").groupBy(*KEYS, "n", "low").agg(F.count("*").alias("freq"), F.stddev_pop("pos").alias("spread"), F.min_by("shown", "pos").alias("shown"), F.min("pos").alias("first"))
-    score = F.col("freq") / F.col("n") * (1 + F.col("spread") / F.col("n")) * boost(F.col("shown"))
-    return stats.where(F.col("freq") >= least).select(*KEYS, "low", "freq", "first", F.round(score, PLACES).alias("score"))
-
-
-def phrases(stream: DataFrame) -> DataFrame:
-    """doc_id, idx, phrase, parts, freq, first, score: two or three content words in a row; repeated ones count less."""
-    order = Window.partitionBy(*KEYS).orderBy("pos")
-    good = F.col("content") & (F.length(F.replace("low", F.lit("-"), F.lit(""))) > 3)
-    rows = stream.withColumn("good", good)
-    for k in (1, 2):
-        rows = rows.withColumn(f"low{k}", F.lead("low", k).over(order)).withColumn(f"good{k}", F.lead("good", k).over(order))
-    two = rows.where("good AND good1 AND low != low1").select(*KEYS, (2 * F.col("pos")).alias("at"), F.array("low", "low1").alias("parts"))
-    three = rows.where("good AND good1 AND good2 AND NOT (low = low1 AND low1 = low2)").select(*KEYS, (2 * F.col("pos") + 1).alias("at"), F.array("low", "low1", "low2").alias("parts"))
-    counted = two.unionAll(three).groupBy(*KEYS, "parts").agg(F.count("*").alias("freq"), F.min("at").alias("first"))
-    values = unigrams(stream).select(*KEYS, F.col("low").alias("part"), F.col("score").alias("value"))
-    each = counted.select(*KEYS, "parts", "freq", "first", F.posexplode("parts").alias("i", "part")).join(values, [*KEYS, "part"], "left")
-    value = F.array_sort(F.collect_list(F.struct("i", F.coalesce("value", F.lit(0.01)).alias("value"))))
-    scored = each.groupBy(*KEYS, "parts", "freq", "first").agg(F.aggregate(value, F.lit(1.0), lambda a, x: a * x["value"]).alias("product"))
-    score = F.col("product") / F.when(F.col("freq") > 1, F.col("freq") * F.col("freq") + 1).otherwise(1)
-    return scored.select(*KEYS, F.array_join("parts", " ").alias("phrase"), "parts", "freq", "first", F.round(score, PLACES).alias("score"))
-
-
-def top_topics(stream: DataFrame, least: int = 1, most: int = 8, root_order: bool = True) -> DataFrame:
-    """doc_id, idx, rank (from 1), topic, score: the best phrases, then words that they don't absorb, `most` together."""
-    first = Window.partitionBy(*KEYS).orderBy(F.desc("score"), "first")
-    best = phrases(stream).where("score > 0").withColumn("k", F.row_number().over(first)).where(F.col("k") <= -(-most // 2))
-    cover = best.select(*KEYS, F.explode(F.array_distinct("parts")).alias("low"), "score").groupBy(*KEYS, "low").agg((F.max("score") * 1.5).alias("over"))
-    single = unigrams(stream, least).join(cover, [*KEYS, "low"], "left").where("over IS NULL OR score > over")
-    used = best.groupBy(*KEYS).agg(F.count("*").alias("used"))
-    single = single.withColumn("k", F.row_number().over(first)).join(used, KEYS, "left").where(F.col("k") <= most - F.coalesce("used", F.lit(0)))
-    both = best.select(*KEYS, F.col("phrase").alias("topic"), "score").unionAll(single.select(*KEYS, F.col("low").alias("topic"), "score"))
-    name = F.collate("topic", "UNICODE") if root_order else F.col("topic")
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("score"), name))).where(F.col("rank") <= most)
+
+def _passages(chunks: DataFrame) -> DataFrame:
+    return chunks.select(*KEYS, "text", F.col("speakers") if "speakers" in chunks.columns else F.array().cast("array<string>").alias("speakers"))
+
+
+def word_scores(chunks: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, idx, word, freq, score, first (its place among the words, from 0)."""
+
+    def of(text: str, who: list[str]) -> list[tuple]:
+        words = annotate.word_scores(annotate.topic_tokens(text, stop, frozenset(who or ())))
+        return [(w, k, v, i) for i, (w, (k, v)) in enumerate(words.items())]
+
+    return each(_passages(chunks), KEYS, of, "word string, freq int, score double, first int")
+
+
+def phrase_scores(chunks: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, idx, phrase, freq, score, rank (from 1): phrases of two or three words."""
+
+    def of(text: str, who: list[str]) -> list[tuple]:
+        tokens = annotate.topic_tokens(text, stop, frozenset(who or ()))
+        found = annotate.phrase_scores(tokens, annotate.word_scores(tokens))
+        return [(" ".join(p), k, v, i + 1) for i, (p, k, v) in enumerate(found)]
+
+    return each(_passages(chunks), KEYS, of, "phrase string, freq int, score double, rank int")
+
+
+def top_topics(chunks: DataFrame, least: int = 1, stop: tuple[str, ...] = (), most: int = 8) -> DataFrame:
+    """doc_id, idx, topic, rank (from 1): the best phrases, then words that they don't absorb, `most` together."""
+
+    def of(text: str, who: list[str]) -> list[tuple]:
+        return [(t, i + 1) for i, t in enumerate(annotate.topics(text, least, stop, most, frozenset(who or ())))]
+
+    return each(_passages(chunks), KEYS, of, "topic string, rank int")

@@ -22,7 +22,7 @@ NOTE = ["doc_id", "seq", "id", "entities", "topics", "quote", "weight", "emotion
 
 @dataclass(frozen=True)
 class Memory:
-    """A corpus's memories as tables keyed by doc_id; all lazy.
+    """A corpus's memories as tables keyed by doc_id; all lazy. A context manager: close() lets go of rows that build holds.
 
     notes: NOTE; links: from_id, to_id, label, score; codes: name, code; meta: input_length, chunk_count, date, title,
     warnings, source; conflicts: earlier, later, shared_topic, signal, summary.
@@ -33,6 +33,17 @@ class Memory:
     codes: DataFrame
     meta: DataFrame
     conflicts: DataFrame | None = None
+    held: tuple[DataFrame, ...] = ()
+
+    def close(self) -> None:
+        for rows in self.held:
+            rows.unpersist()
+
+    def __enter__(self) -> Memory:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     @property
     def sources(self) -> DataFrame:
@@ -62,31 +73,34 @@ class Memory:
 def build(corpus: DataFrame, options: BuildOptions = BuildOptions(), hold: bool = True) -> Memory:
     """corpus: doc_id, text and, if there, date and title. One memory per document.
 
-    Notes come from one narrow pass; codes, links and weights are shuffled by doc_id. hold keeps the pass's rows, which
-    several tables read.
+    Notes come from one narrow pass; codes, links and weights are shuffled by doc_id. hold keeps the pass's rows, the links
+    and the notes, which several tables read, until the memory is closed.
     """
     for name in ("date", "title"):
         if name not in corpus.columns:
             corpus = corpus.withColumn(name, F.lit(None).cast("string"))
     raw = segment.with_ids(segment.annotate_notes(corpus, options.notes))
-    if hold:
-        raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    held: list[DataFrame] = []
+
+    def kept(rows: DataFrame) -> DataFrame:
+        if not hold:
+            return rows
+        held.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
+        return held[-1]
+
+    raw = kept(raw)
     codes = segment.entity_codes(raw)
     counts = raw.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
     if options.dedupe:
-        raw = dedupe.merge_duplicates(raw, options.dedupe_threshold)
-    tied = links.build_links(raw, codes, options.link_threshold, options.link_top_k, options.verbose_labels)
-    if hold:
-        tied = tied.persist(StorageLevel.MEMORY_AND_DISK)
-    notes = weights.normalize_weights(weights.blend_centrality(raw, tied, "raw_weight"), options.temperature).select(*NOTE)
-    if hold:
-        notes = notes.persist(StorageLevel.MEMORY_AND_DISK)
+        raw = dedupe.merge_duplicates(raw, options.dedupe_threshold, full=options.full)
+    tied = kept(links.build_links(raw, codes, options.link_threshold, options.link_top_k, options.verbose_labels, options.full))
+    notes = kept(weights.normalize_weights(weights.blend_centrality(raw, tied, "raw_weight"), options.temperature).select(*NOTE))
     short = F.length(trimmed("text"))
     warning = F.when((short < SHORT) & (F.coalesce("chunk_count", F.lit(0)) > 0), F.array(F.concat(F.lit("input is "), short, F.lit(" chars: too short for a meaningful memory"))))
     source = newlines("text") if options.keep_source else F.lit(None).cast("string")
     meta = corpus.join(counts, "doc_id", "left").select("doc_id", F.length("text").alias("input_length"), F.coalesce("chunk_count", F.lit(0)).cast("int").alias("chunk_count"), "date", "title", warning.alias("warnings"), source.alias("source"))
     found = conflict_ops.conflicts(notes, meta.where("source IS NOT NULL").select("doc_id", F.col("source").alias("text")) if options.keep_source else None)
-    return Memory(notes, tied, codes, meta, found)
+    return Memory(notes, tied, codes, meta, found, tuple(held))
 
 
 def merge(memory: Memory, groups: DataFrame) -> Memory:
@@ -116,7 +130,8 @@ def decode(texts: DataFrame, strict: bool = False) -> Memory:
     """Memories from their text form (doc_id, text)."""
     rows = codec.decode_rows(texts, strict)
     notes = rows.select("doc_id", F.inline("notes")).withColumn("resolved_date", F.lit(None).cast("string")).select(*NOTE)
-    tied = rows.select("doc_id", F.inline("links")).withColumn("score", F.lit(0.0))
+    # a text's links keep their order
+    tied = rows.select("doc_id", F.posexplode("links").alias("at", "tie")).select("doc_id", "tie.*", (-F.col("at")).cast("double").alias("score"))
     codes = rows.select("doc_id", F.inline("codes"))
     meta = rows.select("doc_id", "input_length", F.size("notes").alias("chunk_count"), "date", "title", F.when(F.size("warnings") > 0, F.col("warnings")).alias("warnings"), F.lit(None).cast("string").alias("source"))
     return Memory(notes, tied, codes, meta)

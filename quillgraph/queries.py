@@ -1,6 +1,7 @@
 """Registered queries of the engine and the SQL that checks them, where SQL can express them.
 
-The tables' texts are pseudo-words without signals, so some queries plant fixed sentences, chosen by the ids.
+The tables' texts are pseudo-words without signals, so some queries put fixed sentences into the whole texts, chosen and
+placed by the ids.
 """
 
 from __future__ import annotations
@@ -86,6 +87,14 @@ def turn_questions(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("doc_id"), "text")
 
 
+def spans_of(turns: DataFrame) -> DataFrame:
+    """doc_id, seq, start, end: where each turn's line (`role: text`) stands in its conversation's text."""
+    size = F.length(F.concat("role", F.lit(": "), "text"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(size + 2).over(before), F.lit(0)).cast("int")
+    return turns.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("seq"), start.alias("start"), (start + size).cast("int").alias("end"))
+
+
 # ---- sources and segments
 
 
@@ -154,58 +163,26 @@ def token_estimate(spark, sf):
 
 # ---- topics
 
-STREAM = rf"""parts AS (
-  SELECT conv_id AS doc_id, turn AS idx, regexp_split_to_array(regexp_replace(regexp_replace(text, '\([^)]{{3,60}}\)', ' ', 'g'), '(?m)^[A-Z][a-zA-Z]{{1,20}}:\s*', ' ', 'g'), '\s+') AS p FROM conversations),
-raw AS (SELECT doc_id, idx, len(p) AS n, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS w FROM parts),
-shown AS (SELECT doc_id, idx, n, pos, regexp_replace(regexp_replace(w, '^[^A-Za-z0-9_-]+|[^A-Za-z0-9_-]+$', '', 'g'), '[''".,!?;:()\[\]{{}}]', '', 'g') AS shown FROM raw),
-stream AS (SELECT *, lower(shown) AS low, length(shown) > 2 AND lower(shown) NOT IN ({sql.TOPIC_STOP}) AS content FROM shown),
-stats AS (SELECT doc_id, idx, n, low, count(*) AS freq, stddev_pop(pos) AS spread, arg_min(shown, pos) AS sh, min(pos) AS first FROM stream WHERE content GROUP BY ALL),
-unigrams AS (
-  SELECT doc_id, idx, low, freq, first, round(freq / n * (1 + spread / n) * CASE WHEN regexp_full_match(sh, '[A-Z]{{2,}}') THEN 2.0 WHEN regexp_full_match(sh, '[A-Z][a-z]+([A-Z][a-z]*)+') THEN 2.5
-    WHEN contains(sh, '-') AND len(list_filter(string_split(sh, '-'), lambda x: length(x) < 2)) = 0 THEN 1.8 WHEN length(sh) > 6 AND regexp_matches(sh, '(?i)({sql.TECH})$') THEN 1.3 ELSE 1.0 END, 9) AS score FROM stats)"""
-PHRASES = f"""{STREAM},
-near AS (
-  SELECT *, content AND length(replace(low, '-', '')) > 3 AS good FROM stream),
-ahead AS (SELECT *, lead(low, 1) OVER w AS low1, lead(good, 1) OVER w AS good1, lead(low, 2) OVER w AS low2, lead(good, 2) OVER w AS good2 FROM near WINDOW w AS (PARTITION BY doc_id, idx ORDER BY pos)),
-grams AS (
-  SELECT doc_id, idx, 2 * pos AS pl, [low, low1] AS parts FROM ahead WHERE good AND good1 AND low <> low1
-  UNION ALL SELECT doc_id, idx, 2 * pos + 1, [low, low1, low2] FROM ahead WHERE good AND good1 AND good2 AND NOT (low = low1 AND low1 = low2)),
-counted AS (SELECT doc_id, idx, parts, count(*) AS freq, min(pl) AS first FROM grams GROUP BY ALL),
-phrases AS (
-  SELECT c.doc_id, c.idx, array_to_string(parts, ' ') AS phrase, parts, c.freq, c.first,
-         round(coalesce(a.score, 0.01) * coalesce(b.score, 0.01) * CASE WHEN len(parts) = 3 THEN coalesce(d.score, 0.01) ELSE 1 END / CASE WHEN c.freq > 1 THEN c.freq * c.freq + 1 ELSE 1 END, 9) AS score
-  FROM counted c LEFT JOIN unigrams a ON a.doc_id = c.doc_id AND a.idx = c.idx AND a.low = parts[1] LEFT JOIN unigrams b ON b.doc_id = c.doc_id AND b.idx = c.idx AND b.low = parts[2]
-  LEFT JOIN unigrams d ON d.doc_id = c.doc_id AND d.idx = c.idx AND d.low = parts[3])"""
-
-
-def turn_stream(spark, sf):
-    t = read(spark, sf, "conversations")
-    return topics.token_stream(t.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text"))
+TURNS = r"turns AS (SELECT conv_id AS doc_id, turn AS idx, regexp_replace(regexp_replace(text, '\([^)]{3,60}\)', ' ', 'g'), '(?m)^[A-Z][a-zA-Z]{1,20}:\s*', ' ', 'g') AS text FROM conversations)"
+
+
+def turns(spark, sf):
+    return read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text")
 
 
-@query(f"WITH {STREAM} SELECT doc_id, idx, low, freq, round(score, 6) AS score FROM unigrams")
+@query(f"WITH {TURNS}, {sql.topic_words('turns')} SELECT doc_id, idx, low AS word, CAST(freq AS INT) AS freq, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY doc_id, idx ORDER BY first) - 1 AS INT) AS first FROM unigrams")
 def topic_unigrams(spark, sf):
-    return topics.unigrams(turn_stream(spark, sf)).select("doc_id", "idx", "low", "freq", rounded("score", "score"))
+    return topics.word_scores(turns(spark, sf)).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {PHRASES} SELECT doc_id, idx, phrase, freq, round(score, 6) AS score FROM phrases")
+@query(f"WITH {TURNS}, {sql.topic_words('turns')} SELECT doc_id, idx, phrase, CAST(freq AS INT) AS freq, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY doc_id, idx ORDER BY score DESC, first) AS INT) AS rank FROM phrases")
 def topic_phrases(spark, sf):
-    return topics.phrases(turn_stream(spark, sf)).select("doc_id", "idx", "phrase", "freq", rounded("score", "score"))
-
-
-@query(f"""WITH {PHRASES},
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, idx ORDER BY score DESC, first) AS k FROM phrases WHERE score > 0) WHERE k <= 4),
-cover AS (SELECT doc_id, idx, low, max(score) * 1.5 AS lim FROM (SELECT doc_id, idx, unnest(list_distinct(parts)) AS low, score FROM best) GROUP BY ALL),
-used AS (SELECT doc_id, idx, count(*) AS used FROM best GROUP BY ALL),
-singles AS (
-  SELECT u.doc_id, u.idx, u.low, u.score, row_number() OVER (PARTITION BY u.doc_id, u.idx ORDER BY u.score DESC, u.first) AS k
-  FROM unigrams u LEFT JOIN cover c ON c.doc_id = u.doc_id AND c.idx = u.idx AND c.low = u.low WHERE c.lim IS NULL OR u.score > c.lim),
-allt AS (
-  SELECT doc_id, idx, phrase AS topic, score FROM best
-  UNION ALL SELECT s.doc_id, s.idx, s.low, s.score FROM singles s LEFT JOIN used u ON u.doc_id = s.doc_id AND u.idx = s.idx WHERE k <= 8 - coalesce(used, 0))
-SELECT doc_id, idx, topic, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, idx ORDER BY score DESC, topic) AS INT) AS rank FROM allt) WHERE rank <= 8""")
+    return topics.phrase_scores(turns(spark, sf)).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {TURNS}, {sql.topic_words('turns')}, {sql.TOPICS} SELECT doc_id, idx, topic, rank FROM topics")
 def topics_top8(spark, sf):
-    return topics.top_topics(turn_stream(spark, sf), root_order=False).select("doc_id", "idx", "topic", "rank")
+    return topics.top_topics(turns(spark, sf))
 
 
 NAMED = "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Alice' WHEN 'assistant' THEN 'Bob' ELSE 'Carol' END || ': ' || text AS text FROM conversations"
@@ -220,63 +197,93 @@ def speaker_names(spark, sf):
     return segment.speaker_names(corpora.from_conversations(turns))
 
 
-# ---- signals and dates, planted
-
-SIGNALS = (
-    ("We decided to use Redis.", "DECISION", "conviction"),
-    ("We never decided on a queue.", "", ""),
-    ("This was a turning point and everyone was thrilled.", "PIVOT", "joy"),
-    ("Ann is worried about the database schema.", "TECHNICAL", "fear"),
-    ("The key principle led to a great outcome.", "CORE,GENESIS", ""),
-    ("It was founded there; no one was angry.", "ORIGIN", "loneliness"),
-    ("Nothing to report.", "", ""),
+# ---- notes of whole documents with planted sentences
+
+#: Two sentences for a document, by its id: signals, negations, dates of each form, relative dates, names, pronouns, speakers.
+SENTENCES = (
+    ("We decided to use Redis for the cache.", "We never decided on a queue."),
+    ("This was a turning point and everyone was thrilled.", "Ann is worried about the database schema."),
+    ("The key principle led to a great outcome.", "It was founded there; no one was angry."),
+    ("She failed to say what was decided.", "They are not, as one might have thought, really proud."),
+    ("We met Maria and Peter on 8 May 2023 in Oslo.", "Then she wrote yesterday that he was late."),
+    ("On March 7th, 2021 Laura came.", "They left last month with their things."),
+    ("The plan from June 2022 holds.", "It came 3 weeks ago by post."),
+    ("It has run since 2019 or so.", "It ships next friday at noon."),
+    ("The log of 2020-02-29 is lost.", "It was tomorrow that he chose."),
+    ("(1:56 pm on 8 May, 2023) Alice: we will do it.", "Bob: she said it was last week."),
+    ("In 2018 we began; by 4 June 2020 it was done.", "It will be ready in 2 months."),
+    ("Nothing is dated here.", "He left last year for good."),
+    ("Clara: yes. Clara: no. Clara: perhaps Clara knows.", "We saw Clara and the GraphStore module of the APIS team with real-time limiting."),
+    ("Running tests. Window panes shine, and the window opens.", "We like Tess's house and GraphQL."),
+    ("It was today that Sofia agreed to it.", "This month her team is relieved."),
+    ("That was in December 2019.", "So next month they meet."),
+    ("It is due on 31 January 2022.", "That was 14 months ago."),
+    ("We go on 1 March 2020.", "It was 1 day ago, or so he said."),
+    ("We met on 5 May 2020.", "It rained the sunday before."),
+    ("We met on 5 May 2020 again.", "It snowed the week after."),
+    ("See what came in 2021.", "And 5 days later we met."),
+    ("No one had said no more.", "I refuse to push back, and avoided what I love."),
+    ("It was last tuesday that Omar rested.", "So this friday he must go."),
+    ("Nothing to report.", "At last we are at peace with it; the basis is non-negotiable."),
 )
 
 
-def cases(values, key: str) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+def planted_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents, paragraphs parted by blank lines, with a pair of sentences as paragraphs of their own, and session dates; as oracle.planted."""
+    said = F.element_at(F.array(*[F.struct(F.lit(a).alias("one"), F.lit(b).alias("two")) for a, b in SENTENCES]), (F.col("doc_id") % len(SENTENCES) + 1).cast("int"))
+    rows = read(spark, sf, "documents").select(F.col("doc_id").cast("long"), F.split("text", "\n").alias("ls"), said.alias("said"))
+    n = F.size("ls")
+    rows = rows.withColumn("a", (F.col("doc_id") * 7 % (n + 1)).cast("int")).withColumn("b", (F.col("a") + F.col("doc_id") * 5 % (n - F.col("a") + 1)).cast("int"))
+    parts = F.concat(F.slice("ls", F.lit(1), F.col("a")), F.array("said.one"), F.slice("ls", F.col("a") + 1, F.col("b") - F.col("a")), F.array("said.two"), F.slice("ls", F.col("b") + 1, n - F.col("b")))
+    date = F.when(F.col("doc_id") % 3 == 0, "2023-03-31").when(F.col("doc_id") % 3 == 1, "8 May, 2023")
+    return rows.select("doc_id", F.array_join(parts, "\n\n").alias("text"), date.alias("date"))
 
 
-def picked(values, key: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (key + 1).cast("int"))
+def noted(*parts: str) -> str:
+    return f"WITH RECURSIVE {sql.note_parts(SENTENCES, SKIP, *parts)}"
 
 
-@query(f"""SELECT doc_id, {cases([s[1] for s in SIGNALS], 'doc_id % 7')} AS flags, {cases([s[2] for s in SIGNALS], 'doc_id % 7')} AS emotions,
-CAST(CASE doc_id % 7 WHEN 0 THEN 0.55 WHEN 1 THEN 0.08 WHEN 2 THEN 0.45 WHEN 3 THEN 0.1 WHEN 4 THEN 0.7 WHEN 5 THEN 0.45 ELSE 0 END AS DOUBLE) AS raw_weight FROM documents""")
-def signals_planted(spark, sf):
-    """Flags, emotions and raw weight of one planted sentence for each document."""
-    docs = read(spark, sf, "documents").select("doc_id", picked([s[0] for s in SIGNALS], F.col("doc_id") % 7).alias("text"))
-    notes = segment.annotate_notes(docs)
-    return notes.select("doc_id", F.array_join("flags", ",").alias("flags"), F.array_join("emotions", ",").alias("emotions"), "raw_weight")
-
-
-DATED = (
-    ("We met on 8 May 2023 in town.", "2023-05-08"),
-    ("The plan from June 2022 holds.", "2022-06"),
-    ("It has run since 2019 or so.", "2019"),
-    ("She wrote yesterday about it.", "2023-03-30"),
-    ("He left last month for good.", "2023-02-31"),
-    ("It ships next friday at noon.", "2023-04-07"),
-    ("It came 3 weeks ago by post.", "2023-03-10"),
-    ("Nothing is said of days here.", "2023-03-31"),
-)
+@query(f"{noted('signals')} SELECT doc_id, seq, array_to_string(flags, ',') AS flags, array_to_string(emotions, ',') AS emotions, raw_weight FROM signals")
+def note_signals(spark, sf):
+    """Flags, emotions and raw weight of every note."""
+    return segment.annotate_notes(planted_corpus(spark, sf)).select("doc_id", "seq", F.array_join("flags", ",").alias("flags"), F.array_join("emotions", ",").alias("emotions"), "raw_weight")
+
+
+@query(f"{noted('dates')} SELECT doc_id, seq, resolved_date FROM dated")
+def note_dates(spark, sf):
+    """The date of every note: its own best one, one told from the nearest date before it or the session's, or the session's."""
+    return segment.annotate_notes(planted_corpus(spark, sf)).select("doc_id", "seq", "resolved_date")
+
+
+@query(f"{noted('names')} SELECT doc_id, seq, array_to_string(entities, ',') AS names FROM entity")
+def note_names(spark, sf):
+    """Names of every note, those that its pronouns stand for included."""
+    return segment.annotate_notes(planted_corpus(spark, sf)).select("doc_id", "seq", F.array_join("entities", ",").alias("names"))
 
 
-@query(f"SELECT doc_id, {cases([d[1] for d in DATED], 'doc_id % 8')} AS resolved_date FROM documents")
-def dates_planted(spark, sf):
-    """Dates of each precision, relative ones and the session's own."""
-    docs = read(spark, sf, "documents").select("doc_id", picked([d[0] for d in DATED], F.col("doc_id") % 8).alias("text"), F.lit("2023-03-31").alias("date"))
-    return segment.annotate_notes(docs).select("doc_id", "resolved_date")
+@query(f"{noted('topics')} SELECT doc_id, CAST(idx AS INT) AS seq, string_agg(topic, ',' ORDER BY rank) AS topics FROM topics GROUP BY ALL")
+def note_topics(spark, sf):
+    """Topics of every note, without the document's speakers, in order."""
+    return segment.annotate_notes(planted_corpus(spark, sf)).where(F.size("topics") > 0).select("doc_id", "seq", F.array_join("topics", ",").alias("topics"))
 
 
 ASKED = ("What happened in March 2022?", "And in 2021 or 2019?", "Was it 2023, Jan or later?", "Nothing dated", "From May 2023 to june 2023 in 2020")
-ASKED_DATES = ("2022-03", "2021,2019", "2023-01", "", "2023-05,2023-06")
 
 
-@query(f"SELECT doc_id, {cases(ASKED_DATES, 'doc_id % 5')} AS dates FROM documents")
+@query(rf"""WITH own AS (SELECT doc_id, string_split(text, E'\n') AS ls FROM documents), q(k, said) AS (VALUES {", ".join(f"({i}, '{a}')" for i, a in enumerate(ASKED))}),
+questions AS (SELECT doc_id, doc_id AS query_id, array_to_string(list_concat(list_concat(ls[1:doc_id * 7 % (len(ls) + 1)], [said]), ls[doc_id * 7 % (len(ls) + 1) + 1:]), E'\n') AS text FROM own JOIN q ON k = doc_id % 5),
+notes AS (SELECT 0 AS doc_id, 0 AS seq, '' AS id, '' AS resolved_date WHERE false), scored AS (SELECT 0 AS query_id, 0 AS doc_id, 0 AS seq, 0.0 AS score WHERE false), {sql.recalled()}
+SELECT doc_id, array_to_string(list_distinct_in_order, ',') AS dates FROM (SELECT doc_id, list_filter(qs, lambda x, i: list_position(qs, x) = i) AS list_distinct_in_order FROM spoken2)""")
 def query_dates(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", picked(ASKED, F.col("doc_id") % 5).alias("text"))
-    return docs.select("doc_id", F.array_join(search.question_dates("text"), ",").alias("dates"))
+    """The dates that whole texts ask for, with a dated question put between their lines."""
+    docs = read(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("ls"), picked(ASKED, F.col("doc_id") % 5).alias("said"))
+    at = (F.col("doc_id") * 7 % (F.size("ls") + 1)).cast("int")
+    text_ = F.array_join(F.concat(F.slice("ls", F.lit(1), at), F.array("said"), F.slice("ls", at + 1, F.size("ls") - at)), "\n")
+    return docs.select("doc_id", text_.alias("text")).select("doc_id", F.array_join(search.question_dates("text"), ",").alias("dates"))
+
+
+def picked(values, key: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (key + 1).cast("int"))
 
 
 @query(f"""WITH {sql.NOTES}, asked AS (SELECT unnest(['2023-03', '2022', '2023-05-14']) AS q),
@@ -326,11 +333,26 @@ def link_candidates(spark, sf):
     return links.link_candidates(base_notes(spark, sf), 0.1).select("doc_id", "a", "b", rounded("score", "score"))
 
 
-@query()
+PHRASED = "notes AS (SELECT * REPLACE (CASE WHEN len(topics) > 1 THEN list_concat([topics[1] || ' ' || topics[2]], topics[3:]) ELSE topics END AS topics) FROM plain_notes)"
+
+
+def phrased_notes(spark, sf):
+    """Notes whose first two topics are one phrase; as PHRASED."""
+    first = F.array(F.concat_ws(" ", F.col("topics")[0], F.get("topics", F.lit(1))))
+    both = F.when(F.size("topics") > 1, F.concat(first, F.slice("topics", F.lit(3), F.size("topics")))).otherwise(F.col("topics"))
+    return base_notes(spark, sf).withColumn("topics", both)
+
+
+@query(f"""WITH RECURSIVE {sql.NOTES.replace('notes AS', 'plain_notes AS', 1)}, {PHRASED}, {CODES}, {sql.links('notes', 0.1)},
+ends AS (SELECT t.doc_id, t.a, t.b, t.score, x.id AS from_id, y.id AS to_id, list_filter(x.entities, lambda n: list_contains(y.entities, n)) AS names, list_filter(x.topics, lambda n: list_contains(y.topics, n)) AS phrases,
+  list_filter(list_distinct_words(x.topics), lambda n: list_contains(y.ws, n))[1:2] AS words FROM tied t JOIN sets x ON x.doc_id = t.doc_id AND x.seq = t.a JOIN sets y ON y.doc_id = t.doc_id AND y.seq = t.b),
+called AS (SELECT doc_id, a, b, string_agg(code, '+' ORDER BY i) AS called FROM (SELECT doc_id, a, b, unnest(names[1:3]) AS name, generate_subscripts(names[1:3], 1) AS i FROM ends) JOIN codes USING (doc_id, name) GROUP BY ALL)
+SELECT doc_id, from_id, to_id, round(score, 6) AS score, CASE WHEN len(names) >= 2 THEN called WHEN len(phrases) > 0 AND len(names) = 1 THEN names[1] || '_' || array_to_string(phrases[1:2], '_') WHEN len(phrases) > 0 THEN array_to_string(phrases[1:2], '_')
+  WHEN len(words) > 0 THEN array_to_string(words, '_') ELSE coalesce(names[1], '') END AS label FROM ends LEFT JOIN called USING (doc_id, a, b)""".replace("list_distinct_words(x.topics)", "list_filter(flatten(list_transform(x.topics, lambda t: string_split(t, ' '))), lambda w: length(w) >= 2)"))
 def note_links(spark, sf):
-    """Links with labels, three for a note at most: a greedy matching, tested against brute force."""
-    notes = base_notes(spark, sf)
-    return links.build_links(notes, segment.entity_codes(notes), threshold=0.1)
+    """Links with labels, three for a note at most."""
+    notes = phrased_notes(spark, sf)
+    return links.build_links(notes, segment.entity_codes(notes), threshold=0.1).withColumn("score", F.round("score", 6))
 
 
 BLEND = f"""{sql.NOTES}, {sql.LINKS},
@@ -361,71 +383,119 @@ def decay_rank(spark, sf):
 
 # ---- search
 
+SYNONYMS = ", ".join(f"('{a}', '{b}')" for a, b in search.synonym_pairs())
+CO_ROWS = f"""ws AS (SELECT doc_id, seq, {sql.tokens("concat_ws(' ', array_to_string(topics, ' '), array_to_string(entities, ' '))")} AS w FROM notes),
+rows AS (SELECT doc_id, seq, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM ws),
+co AS (SELECT x.doc_id, x.w AS a, y.w AS b, count(*) AS cnt FROM rows x JOIN rows y ON x.doc_id = y.doc_id AND x.seq = y.seq AND x.i <> y.i AND x.w <> y.w GROUP BY ALL)"""
+
+
+def wanted(expand: bool = False) -> str:
+    """`wanted` (query_id, doc_id, token, w, times): the words asked, their synonyms and, to expand, three companions of each."""
+    more = f"""{CO_ROWS}, beside AS (SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, a ORDER BY cnt DESC, b) AS k FROM co) WHERE k <= 3),
+more AS (SELECT DISTINCT o.query_id, o.doc_id, b AS token, 0.5::DOUBLE AS w FROM own o JOIN beside c ON c.doc_id = o.doc_id AND c.a = o.token WHERE NOT EXISTS (SELECT 1 FROM own p WHERE p.query_id = o.query_id AND p.token = b) AND NOT EXISTS (SELECT 1 FROM mates m WHERE m.query_id = o.query_id AND m.token = b)),"""
+    return f"""{sql.OWN}, dict AS (SELECT DISTINCT {sql.fold('x')} AS token, {sql.fold('y')} AS mate FROM (VALUES {SYNONYMS}) t(x, y)),
+mates AS (SELECT DISTINCT o.query_id, o.doc_id, mate AS token, 0.6::DOUBLE AS w FROM own o JOIN dict d ON d.token = o.token WHERE d.token <> mate AND NOT EXISTS (SELECT 1 FROM own p WHERE p.query_id = o.query_id AND p.token = mate)),
+{more if expand else ""} every_word AS (SELECT * FROM mates {"UNION ALL SELECT * FROM more" if expand else ""}),
+wanted AS (SELECT query_id, doc_id, token, 1.0::DOUBLE AS w, CASE WHEN query_id IN (SELECT query_id FROM every_word) THEN 1 ELSE times END AS times FROM own UNION ALL SELECT query_id, doc_id, token, w, 1 FROM every_word)"""
+
+
+def answered(notes: str, questions: str = sql.QUESTIONS, top: int = 5, hops: str = "", expand: bool = False) -> str:
+    """Down to `answers`, of `notes` and `questions`; hops: the links to walk."""
+    return f"WITH {notes}, {questions}, {wanted(expand)}, {sql.bm25('SELECT * FROM wanted')}, {hops + ',' if hops else ''}{sql.recalled(top, bool(hops))}"
 
-def asked_words(spark, sf):
-    rows = turn_questions(spark, sf).withColumn("ws", text.tokens("text"))
-    return text.exploded(rows, "query_id", "doc_id", of="ws", name="token").groupBy("query_id", "doc_id", "token").agg(F.count("*").alias("times"))
 
+ANSWERS = "SELECT query_id, doc_id, id, rank, round(score, 6) AS score FROM answers"
 
-TOP5 = """SELECT query_id, doc_id, seq, CAST(rank AS INT) AS rank, score FROM (
-  SELECT query_id, doc_id, seq, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score,
-         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seq) AS rank FROM scored) WHERE rank <= 5"""
+
+def hits(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "doc_id", "id", "rank", rounded("score", "score"))
 
 
-def best_five(scored: DataFrame) -> DataFrame:
-    whole = Window.partitionBy("query_id")
-    rank = F.row_number().over(whole.orderBy(F.desc(F.round("score", 9)), "seq"))
-    rows = scored.select("query_id", "doc_id", "seq", rounded(F.col("score") / F.max("score").over(whole), "score"), rank.alias("rank"))
-    return rows.where("rank <= 5")
+PLAIN = RecallOptions(hops=False)
 
 
-@query(f"WITH {sql.NOTES}, {sql.QUESTIONS}, {sql.OWN}, {sql.bm25('SELECT query_id, doc_id, token, 1.0 AS w, times FROM own')} {TOP5}")
+@query(f"{answered(sql.NOTES)} {ANSWERS}")
 def bm25_top5(spark, sf):
     """The flagship: each conversation's first turn asked of its turns, over an inverted index."""
-    notes = base_notes(spark, sf).withColumn("body", F.col("quote"))
-    words = asked_words(spark, sf)
-    return best_five(search.bm25(words.withColumn("weight", F.lit(1.0)), search.postings(notes)))
+    return hits(search.recall(base_notes(spark, sf), turn_questions(spark, sf), options=PLAIN))
 
 
-SYNONYMS = ", ".join(f"('{a}', '{b}')" for a, b in search.synonym_pairs())
+SAID = "CASE turn % 4 WHEN 0 THEN 'we moved house' WHEN 1 THEN 'she migrated data' WHEN 2 THEN 'a wedding' ELSE 'they married' END"
 
 
-@query(f"""WITH notes AS (SELECT conv_id AS doc_id, turn + 1 AS seq, text || ' ' || CASE turn % 4 WHEN 0 THEN 'we moved house' WHEN 1 THEN 'she migrated data' WHEN 2 THEN 'a wedding' ELSE 'they married' END AS quote, []::VARCHAR[] AS topics, []::VARCHAR[] AS entities FROM conversations),
-questions AS (SELECT DISTINCT conv_id AS query_id, conv_id AS doc_id, CASE WHEN conv_id % 2 = 0 THEN 'who will move or wed' ELSE 'was there a partner engaged engaged' END AS text FROM conversations),
-{sql.OWN}, dict AS (SELECT DISTINCT {sql.fold('x')} AS token, {sql.fold('y')} AS mate FROM (VALUES {SYNONYMS}) t(x, y)),
-extra AS (SELECT DISTINCT o.query_id, o.doc_id, mate AS token FROM own o JOIN dict d ON d.token = o.token WHERE d.token <> mate AND NOT EXISTS (SELECT 1 FROM own p WHERE p.query_id = o.query_id AND p.token = mate)),
-{sql.bm25('SELECT query_id, doc_id, token, 1.0 AS w, CASE WHEN query_id IN (SELECT query_id FROM extra) THEN 1 ELSE times END AS times FROM own UNION ALL SELECT query_id, doc_id, token, 0.6, 1 FROM extra')} {TOP5}""")
+@query(answered(
+    sql.NOTES.replace("text AS quote", f"text || ' ' || {SAID} AS quote"),
+    "questions AS (SELECT DISTINCT conv_id AS query_id, conv_id AS doc_id, CASE WHEN conv_id % 2 = 0 THEN 'who will move or wed' ELSE 'was there a partner engaged engaged' END AS text FROM conversations)",
+) + ANSWERS)
 def bm25_synonyms(spark, sf):
-    t = read(spark, sf, "conversations")
-    said = picked(("we moved house", "she migrated data", "a wedding", "they married"), F.col("turn") % 4)
-    notes = t.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("seq"), F.concat("text", F.lit(" "), said).alias("body"), texts_of().alias("topics"), texts_of().alias("entities"))
+    said = picked(("we moved house", "she migrated data", "a wedding", "they married"), (F.col("seq") - 1) % 4)
+    notes = base_notes(spark, sf).withColumn("quote", F.concat("quote", F.lit(" "), said))
     asked = F.when(F.col("conv_id") % 2 == 0, "who will move or wed").otherwise("was there a partner engaged engaged")
-    questions = t.select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("doc_id"), asked.alias("text")).distinct()
-    return best_five(search.bm25(search.question_words(questions), search.postings(notes)))
+    questions = read(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("doc_id"), asked.alias("text")).distinct()
+    return hits(search.recall(notes, questions, options=PLAIN))
+
+
+DATED_ASK = "questions AS (SELECT conv_id AS query_id, conv_id AS doc_id, text || CASE conv_id % 3 WHEN 0 THEN ' in March 2023' WHEN 1 THEN ' (2022, or 2023 dec)' ELSE '' END AS text FROM conversations WHERE turn = 0)"
+
+
+def dated_questions(spark, sf):
+    more = F.when(F.col("doc_id") % 3 == 0, " in March 2023").when(F.col("doc_id") % 3 == 1, " (2022, or 2023 dec)").otherwise("")
+    return turn_questions(spark, sf).withColumn("text", F.concat("text", more))
+
+
+@query(f"{answered(sql.NOTES, DATED_ASK)} {ANSWERS}")
+def recall_dates(spark, sf):
+    """Recall that asks for dates."""
+    return hits(search.recall(base_notes(spark, sf), dated_questions(spark, sf), options=PLAIN))
 
 
-@query(f"""WITH {sql.NOTES}, ws AS (SELECT doc_id, seq, {sql.tokens("concat_ws(' ', array_to_string(topics, ' '), array_to_string(entities, ' '))")} AS w FROM notes),
-rows AS (SELECT doc_id, seq, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM ws)
-SELECT x.doc_id, x.w AS a, y.w AS b, count(*) AS cnt FROM rows x JOIN rows y ON x.doc_id = y.doc_id AND x.seq = y.seq AND x.i <> y.i AND x.w <> y.w GROUP BY ALL""")
+IN_SOURCE = sql.NOTES.replace("text AS quote", "role || ': ' || text AS quote")
+
+
+@query(f"{answered(IN_SOURCE)} {ANSWERS}")
+def recall_sources(spark, sf):
+    """Recall over passages of the sources: quotes hold only the first characters."""
+    t = read(spark, sf, "conversations")
+    places = spans_of(t).select("doc_id", "seq", F.col("start").alias("source_start"), F.col("end").alias("source_end"))
+    notes = base_notes(spark, sf).withColumn("quote", F.substring("quote", 1, 12)).join(places, ["doc_id", "seq"])
+    return hits(search.recall(notes, turn_questions(spark, sf), options=PLAIN, sources=corpora.from_conversations(t)))
+
+
+@query(f"""{answered(IN_SOURCE, top=3)}, {sql.CONV}, place AS (
+  SELECT conv_id AS doc_id, lpad((turn + 1)::VARCHAR, 3, '0') AS id, turn, coalesce(sum(length(role) + 4 + length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(role) + 2 + length(text) AS n FROM conversations),
+hit AS (SELECT query_id, a.doc_id, s, s + n AS e, turn - row_number() OVER (PARTITION BY query_id ORDER BY turn) AS isle FROM answers a JOIN place p ON p.doc_id = a.doc_id AND p.id = a.id),
+span AS (SELECT query_id, doc_id, CAST(min(s) AS INT) AS s, CAST(max(e) AS INT) AS e FROM hit GROUP BY query_id, doc_id, isle)
+SELECT query_id, s.doc_id, string_agg(substring(text, s.s + 1, s.e - s.s), E'\n\n' ORDER BY s.s) AS text FROM span s JOIN conv c ON c.doc_id = s.doc_id GROUP BY ALL""")
+def recall_passages(spark, sf):
+    """The passages that the three best notes of each question stand for, united where they touch."""
+    t = read(spark, sf, "conversations")
+    sources = corpora.from_conversations(t)
+    places = spans_of(t).select("doc_id", "seq", F.col("start").alias("source_start"), F.col("end").alias("source_end"))
+    notes = base_notes(spark, sf).withColumn("quote", F.substring("quote", 1, 12)).join(places, ["doc_id", "seq"])
+    found = search.recall(notes, turn_questions(spark, sf), options=RecallOptions(top_k=3, hops=False), sources=sources)
+    return context.recall_context(found, notes, sources)
+
+
+@query(f"WITH {sql.NOTES}, {CO_ROWS} SELECT * FROM co")
 def co_occurrence(spark, sf):
     return search.co_occurrences(base_notes(spark, sf))
 
 
-@query()
+SECOND = "questions AS (SELECT conv_id AS query_id, conv_id AS doc_id, text || ' in March 2023' AS text FROM conversations WHERE turn = 1)"
+
+
+@query(f"{answered(sql.NOTES, SECOND, hops=sql.LINKS, expand=True)} {ANSWERS}")
 def recall_expanded(spark, sf):
-    """Recall with companions of the asked words, links and dates; checked by tests."""
+    """Recall with companions of the asked words, walks over the links, and dates."""
     notes = base_notes(spark, sf)
     asked = read(spark, sf, "conversations").where("turn = 1").select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("doc_id"), F.concat("text", F.lit(" in March 2023")).alias("text"))
-    found = search.recall(notes, asked, base_links(notes).withColumn("label", F.lit("")), RecallOptions(expand=True))
-    return found.select("query_id", "doc_id", "id", "rank", rounded("score", "score"))
+    return hits(search.recall(notes, asked, base_links(notes), RecallOptions(expand=True)))
 
 
-@query(f"WITH {sql.NOTES.replace('notes AS', 'every AS')}, notes AS (SELECT * FROM every WHERE left(resolved_date, 4) >= '2023'), {sql.QUESTIONS}, {sql.OWN}, {sql.bm25('SELECT query_id, doc_id, token, 1.0 AS w, times FROM own')} {TOP5}")
+@query(f"{answered(sql.NOTES.replace('notes AS', 'every_note AS', 1) + ", notes AS (SELECT * FROM every_note WHERE left(resolved_date, 7) >= '2023-02' AND left(resolved_date, 10) <= '2023-07-15')")} {ANSWERS}")
 def recall_date_filter(spark, sf):
     """The range goes before the statistics, so these are of the notes in it."""
-    notes = search.date_range(base_notes(spark, sf), after="2023").withColumn("body", F.col("quote"))
-    words = asked_words(spark, sf)
-    return best_five(search.bm25(words.withColumn("weight", F.lit(1.0)), search.postings(notes)))
+    return hits(search.recall(base_notes(spark, sf), turn_questions(spark, sf), options=RecallOptions(hops=False, after="2023-02", before="2023-07-15")))
 
 
 SPANS = """spans AS (SELECT conv_id AS doc_id, turn * 37 % 211 AS s, turn * 37 % 211 + 25 AS e FROM conversations),
@@ -473,17 +543,35 @@ def top_notes(spark, sf):
     return context.top_notes(base_notes(spark, sf), 4).select("doc_id", "id", "rank")
 
 
+def tied_notes(spark, sf):
+    """Notes with their codes and scored links, as TIED."""
+    notes = phrased_notes(spark, sf)
+    codes = segment.entity_codes(notes)
+    return notes, links.build_links(notes, codes, threshold=0.1).withColumn("label", F.lit("x")), codes
+
+
 @query()
 def inject_budget(spark, sf):
-    """Text blocks of at most 400 tokens, guaranteed flags first; greedy, tested against the rules."""
-    notes = base_notes(spark, sf)
-    return context.inject(notes, base_links(notes).withColumn("label", F.lit("x")), segment.entity_codes(notes), options=InjectOptions(max_tokens=400, guarantee_flags=("ORIGIN",)))
+    """Text blocks of at most 400 tokens, guaranteed flags first; greedy, the rules are tested against brute force."""
+    return context.inject(*tied_notes(spark, sf), options=InjectOptions(max_tokens=400, guarantee_flags=("ORIGIN",)))
+
+
+@query()
+def inject_json(spark, sf):
+    """JSON of at most 900 tokens; greedy, the rules are tested against brute force."""
+    return context.inject(*tied_notes(spark, sf), options=InjectOptions(format="json", max_tokens=900))
 
 
 @query()
 def mmr_select(spark, sf):
-    notes = base_notes(spark, sf)
-    return context.inject(notes, base_links(notes).withColumn("label", F.lit("x")), segment.entity_codes(notes), options=InjectOptions(max_notes=3, selection="mmr", format="markdown"))
+    """Markdown of three notes, relevant and unlike each other; greedy, the rules are tested against brute force."""
+    return context.inject(*tied_notes(spark, sf), options=InjectOptions(max_notes=3, selection="mmr", format="markdown"))
+
+
+@query("SELECT DISTINCT conv_id AS doc_id, 'FILE:000||||v2' AS text FROM conversations")
+def inject_nothing(spark, sf):
+    """Filters that leave no note leave the header."""
+    return context.inject(*tied_notes(spark, sf), options=InjectOptions(min_weight=2.0))
 
 
 @query(f"""WITH {sql.NOTES}, {CODES}, coded AS (SELECT n.doc_id, n.seq, string_agg(c.code, '+' ORDER BY c.name) AS codes FROM (SELECT doc_id, seq, unnest(entities) AS name FROM notes) n JOIN codes c USING (doc_id, name) GROUP BY ALL)
@@ -495,6 +583,25 @@ def note_lines(spark, sf):
     return rows.select("doc_id", "seq", codec.note_line(rows).alias("line"))
 
 
+LINES = """coded AS (SELECT n.doc_id, n.seq, string_agg(c.code, '+' ORDER BY c.name) AS codes FROM (SELECT doc_id, seq, unnest(entities) AS name FROM notes) n JOIN codes c USING (doc_id, name) GROUP BY ALL),
+lines AS (SELECT n.doc_id, n.seq, n.id || ':' || coalesce(codes, '') || '|' || array_to_string(list_transform(topics, lambda t: replace(t, ' ', '\\_')), ',') || '|"' || replace(replace(replace(replace(quote, '\\', '\\\\'), '"', '\\"'), E'\\r', '\\r'), E'\\n', '\\n') || '"|' || printf('%.2f', weight) || '||' || array_to_string(flags, '+') AS line
+FROM notes n LEFT JOIN coded USING (doc_id, seq))"""
+
+
+@query(f"""WITH RECURSIVE {sql.NOTES.replace('notes AS', 'plain_notes AS', 1)}, {PHRASED}, {CODES}, {sql.links('notes', 0.1)}, {LINES},
+met AS (SELECT doc_id, code, min(seq * 100 + i) AS first FROM (SELECT doc_id, seq, unnest(entities) AS name, generate_subscripts(entities, 1) AS i FROM notes) JOIN codes USING (doc_id, name) GROUP BY ALL),
+tops AS (SELECT doc_id, string_agg(code, '+' ORDER BY first) AS tops FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS k FROM met) WHERE k <= 3 GROUP BY doc_id),
+parts AS (
+  SELECT doc_id, 0 AS part, 0::DOUBLE AS x, 0::DOUBLE AS y, 0 AS z, 'FILE:' || lpad(count(*)::VARCHAR, 3, '0') || '|' || coalesce(any_value(tops), '') || '|||v2' AS line FROM notes LEFT JOIN tops USING (doc_id) GROUP BY doc_id
+  UNION ALL SELECT doc_id, 1, 0, 0, 0, 'E:' || string_agg(code || '=' || name, ';' ORDER BY code) FROM codes GROUP BY doc_id
+  UNION ALL SELECT doc_id, 2, seq, 0, 0, line FROM lines
+  UNION ALL SELECT doc_id, 3, a, -score, b, 'T:' || lpad(a::VARCHAR, 3, '0') || '<->' || lpad(b::VARCHAR, 3, '0') || '|x' FROM tied)
+SELECT doc_id, string_agg(line, E'\\n' ORDER BY part, x, y, z) AS text FROM parts GROUP BY doc_id""")
+def text_form(spark, sf):
+    """Memories as text: header, names, notes, links by where they start and how strong they are."""
+    return codec.encode(*tied_notes(spark, sf))
+
+
 @query()
 def codec_roundtrip(spark, sf):
     """Memories to text and back; the columns say whether both are equal."""
@@ -510,21 +617,48 @@ def codec_roundtrip(spark, sf):
 # ---- conflicts and duplicates
 
 DECISIONS = (
-    ("We decided to use Redis here.", "We decided against Redis here."),
-    ("We will ship it on friday then.", "We will ship it on monday then."),
-    ("They agreed to approve the plan.", "They agreed to reject the plan."),
-    ("We will use Redis for caching.", "We will use Redis for caching."),
-)
-
-
-@query(f"""SELECT DISTINCT conv_id AS doc_id, '001' AS earlier, '002' AS later, 'Redis' AS shared_topic,
-CASE conv_id % 4 WHEN 0 THEN 'negation-flip' WHEN 1 THEN 'value-change' ELSE 'antonym' END AS signal FROM conversations WHERE conv_id % 4 < 3""")
+    "We decided to use Redis here.", "We decided against Redis here.", "We will ship it on friday then, or so.", "We will ship it on monday then.", "They agreed to approve the plan.",
+    "They agreed to reject the plan.", "We chose Rust, but never saw why.", "Yes.",
+)
+SENTENCE = "list_extract([" + ", ".join(f"'{d}'" for d in DECISIONS) + "], CAST((conv_id * 3 + turn * 5) % 8 + 1 AS INT))"
+TURN_TEXT = f"CASE WHEN turn % 7 = 6 THEN {SENTENCE} ELSE text || ' ' || {SENTENCE} END"
+CUES = " OR ".join(f"(contains(low, {sql.quoted(c)}) AND NOT regexp_matches(substring(low, CAST(strpos(low, {sql.quoted(c)}) AS INT), 60), '\\b({'|'.join(lex.NEGATION_ENDS)})\\b'))" for c in dict.fromkeys(lex.NEGATION_CUES))
+OPPOSED = " OR ".join(f"(list_contains(x.ws, {sql.quoted(a)}) AND list_contains(y.ws, {sql.quoted(b)}))" for p in lex.ANTONYMS for a, b in (p, p[::-1]))
+
+
+@query(f"""WITH {sql.NOTES.replace('text AS quote', f"{TURN_TEXT} AS quote")},
+line AS (SELECT conv_id AS doc_id, turn + 1 AS seq, {TURN_TEXT} AS t FROM conversations),
+place AS (SELECT *, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM line),
+text AS (SELECT doc_id, string_agg(t, E'\\n\\n' ORDER BY seq) AS whole FROM line GROUP BY doc_id),
+tail AS (SELECT p.doc_id, p.seq, trim(substring(whole, CAST(coalesce(b.s + length(b.t), 0) + 1 AS INT), CAST(p.s + length(p.t) - coalesce(b.s + length(b.t), 0) AS INT)), E' \\n') AS tail,
+  trim(substring(whole, CAST(greatest(p.s - 15, 0) + 1 AS INT), CAST(p.s + length(p.t) - greatest(p.s - 15, 0) AS INT)), E' \\n') AS full_text FROM place p JOIN text USING (doc_id) LEFT JOIN place b ON b.doc_id = p.doc_id AND b.seq = p.seq - 1),
+said AS (SELECT n.* REPLACE (CASE WHEN n.seq % 3 = 0 THEN list_concat(entities, ['Redis']) ELSE entities END AS entities, list_concat(topics, CASE WHEN (n.doc_id + n.seq) % 2 = 0 THEN ['app', 'the plan'] ELSE ['app'] END) AS topics), CASE WHEN length(tail) >= 20 THEN tail ELSE full_text END AS said FROM notes n JOIN tail USING (doc_id, seq) WHERE (n.doc_id + n.seq) % 3 < 2),
+told AS (SELECT *, lower(said) AS low, trim(regexp_extract(said, '(?is)\\b(?:{'|'.join(lex.VALUE_VERBS)})\\b(.*)$', 1), E' \\n') AS after FROM said),
+judged AS (SELECT *, ({CUES}) AS no, left(lower(trim(regexp_extract(after, '(?s)^(.*?)(?:[,;.!?\\n]|\\b(?:and|or|but|because|so|if)\\b|$)', 1), E' \\n')), 60) AS value, list_filter(regexp_split_to_array(low, '[^a-z0-9_]+'), lambda w: w <> '') AS ws FROM told),
+pair AS (SELECT x.doc_id, x.id AS earlier, y.id AS later, coalesce(list_filter(x.entities, lambda e: list_contains(y.entities, e))[1], list_filter(x.topics, lambda e: list_contains(y.topics, e) AND length(e) > 3)[1]) AS shared_topic,
+  x.said AS said_x, y.said AS said_y, x.resolved_date AS day_x, y.resolved_date AS day_y,
+  CASE WHEN x.no <> y.no THEN 'negation-flip'
+    WHEN x.value <> '' AND y.value <> '' AND x.value <> y.value AND len(list_intersect(string_split(x.value, ' '), string_split(y.value, ' '))) / len(list_distinct(list_concat(string_split(x.value, ' '), string_split(y.value, ' ')))) < 0.8 THEN 'value-change'
+    WHEN {OPPOSED} THEN 'antonym' END AS signal FROM judged x JOIN judged y ON x.doc_id = y.doc_id AND x.seq < y.seq)
+SELECT doc_id, earlier, later, shared_topic, signal, '[' || shared_topic || '] "' || regexp_replace(left(said_x, 60), '\\s+', ' ', 'g') || '"' || coalesce(' (' || day_x || ')', '') || ' → "' || regexp_replace(left(said_y, 60), '\\s+', ' ', 'g') || '"' || coalesce(' (' || day_y || ')', '') || ' (' || signal || ')' AS summary
+FROM pair WHERE shared_topic IS NOT NULL AND signal IS NOT NULL""")
 def decision_conflicts(spark, sf):
-    c = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
-    pair = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in DECISIONS])
-    rows = c.select("doc_id", F.posexplode(F.element_at(pair, (F.col("doc_id") % 4 + 1).cast("int"))).alias("i", "quote"))
-    notes = rows.select("doc_id", (F.col("i") + 1).alias("seq"), text.note_id(F.col("i") + 1).alias("id"), texts_of("Redis").alias("entities"), texts_of().alias("topics"), texts_of("DECISION").alias("flags"), "quote", F.lit(None).cast("string").alias("resolved_date"), F.lit(None).cast("int").alias("source_end"))
-    return conflicts.conflicts(notes).drop("summary")
+    """Decisions put behind the turns of conversations, told from each other by the text that is their own."""
+    t = read(spark, sf, "conversations")
+    said = picked(DECISIONS, (F.col("conv_id") * 3 + F.col("turn") * 5) % 8)
+    line = F.when(F.col("turn") % 7 == 6, said).otherwise(F.concat("text", F.lit(" "), said))
+    rows = t.withColumn("line", line)
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("line") + 2).over(before), F.lit(0)).cast("int")
+    places = rows.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("seq"), "line", F.greatest(start - 15, F.lit(0)).alias("source_start"), (start + F.length("line")).alias("source_end"))
+    lines = F.array_sort(F.collect_list(F.struct("seq", "line")))
+    sources = places.groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("text"))
+    flags = F.when((F.col("doc_id") + F.col("seq")) % 3 < 2, texts_of("DECISION")).otherwise(texts_of())
+    notes = base_notes(spark, sf).drop("quote").join(places.withColumnRenamed("line", "quote"), ["doc_id", "seq"]).withColumn("flags", flags)
+    named = F.when(F.col("seq") % 3 == 0, F.concat("entities", texts_of("Redis"))).otherwise(F.col("entities"))
+    on = F.concat("topics", F.when((F.col("doc_id") + F.col("seq")) % 2 == 0, texts_of("app", "the plan")).otherwise(texts_of("app")))
+    notes = notes.withColumns({"entities": named, "topics": on})
+    return conflicts.conflicts(notes, sources)
 
 
 TOKENS = "list_distinct(list_concat(list_filter(regexp_split_to_array(lower(quote), '[^a-z0-9_]+'), lambda w: length(w) >= 2), list_concat(topics, list_transform(entities, lambda e: lower(e)))))"
@@ -546,16 +680,24 @@ def dup_components(spark, sf):
 
 
 HASH = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(regexp_split_to_array(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: xor(h, c) * 16777619 % 4294967296)"
-SLOTS = "[" + ", ".join(f"list_min(list_transform(hs, lambda h: CAST(({a}::HUGEINT * h + {b}) % 4294967296 AS BIGINT)))" for a, b in hashing.CONSTANTS) + "]"
-MINHASH = f"""{sql.NOTES}, hashed AS (SELECT doc_id, seq, list_transform(list_filter(topics, lambda w: w <> ''), lambda w: {HASH}) AS hs FROM notes WHERE len(topics) > 0),
-sig AS (SELECT doc_id, seq, {SLOTS} AS sig FROM hashed)"""
+#: The constants of the hashes by the generator's own steps (32-bit numbers).
+DRAWN = """state AS (SELECT i, (930589345 + (i + 1) * 1831565813::HUGEINT) % 4294967296 AS s FROM range(64) t(i)),
+turn1 AS (SELECT i, CAST((xor(s::BIGINT, s::BIGINT >> 15)::HUGEINT * (s::BIGINT | 1)) % 4294967296 AS BIGINT) AS t FROM state),
+turn2 AS (SELECT i, xor(t, CAST((t + (xor(t, t >> 7)::HUGEINT * (t | 61)) % 4294967296) % 4294967296 AS BIGINT)) AS t FROM turn1),
+drawn AS (SELECT i, CAST(floor(xor(t, t >> 14) / 4294967296 * 4294967295) AS BIGINT) AS v FROM turn2),
+constants AS (SELECT a.i // 2 AS j, a.v | 1 AS a, b.v AS b FROM drawn a JOIN drawn b ON b.i = a.i + 1 WHERE a.i % 2 = 0)"""
+MINHASH = f"""{DRAWN}, {sql.NOTES}, hashed AS (SELECT doc_id, seq, unnest(list_transform(list_filter(topics, lambda w: w <> ''), lambda w: {HASH})) AS h FROM notes WHERE len(topics) > 0),
+least AS (SELECT doc_id, seq, j, min(CAST((a::HUGEINT * h + b) % 4294967296 AS BIGINT)) AS v FROM hashed, constants GROUP BY ALL),
+sig AS (SELECT doc_id, seq, list(v ORDER BY j) AS sig FROM least GROUP BY ALL)"""
+
+
+def topic_sets(spark, sf):
+    return base_notes(spark, sf).where(F.size("topics") > 0)
 
 
 @query(f"WITH {MINHASH} SELECT doc_id, seq, array_to_string(sig, ',') AS signature FROM sig")
 def minhash_signature(spark, sf):
-    notes = base_notes(spark, sf).where(F.size("topics") > 0)
-    sig = hashing.signature(F.transform("topics", hashing.fnv1a))
-    return notes.select("doc_id", "seq", F.array_join(sig.cast("array<string>"), ",").alias("signature"))
+    return links.signatures(topic_sets(spark, sf), "topics").select("doc_id", "seq", F.array_join(F.col("sig").cast("array<string>"), ",").alias("signature"))
 
 
 BANDS = "[" + ", ".join(f"'{b}:' || sig[{2 * b + 1}] || ':' || sig[{2 * b + 2}]" for b in range(hashing.BANDS)) + "]"
@@ -565,15 +707,33 @@ BANDS = "[" + ", ".join(f"'{b}:' || sig[{2 * b + 1}] || ':' || sig[{2 * b + 2}]"
 first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY seq) AS n FROM keys) WHERE n <= 64)
 SELECT DISTINCT x.doc_id, x.seq AS a, y.seq AS b FROM first x JOIN first y ON x.doc_id = y.doc_id AND x.k = y.k AND x.seq < y.seq""")
 def lsh_pairs(spark, sf):
-    notes = base_notes(spark, sf).where(F.size("topics") > 0)
-    return links.band_pairs(notes, "topics")
+    return links.band_pairs(topic_sets(spark, sf), "topics")
+
 
+GROUPED = "notes AS (SELECT doc_id % 10 AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id % 10 ORDER BY -doc_id, seq) AS INT) AS seq, * EXCLUDE (doc_id, seq) FROM plain_notes)"
 
-@query(f"""WITH {sql.NOTES} SELECT doc_id % 10 AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id, seq) AS INT) AS seq, md5(quote) AS digest FROM notes""")
+
+@query(f"""WITH RECURSIVE {sql.NOTES.replace('notes AS', 'plain_notes AS', 1)}, {GROUPED}, {sql.links('notes')}, {sql.weighted('notes', 'weight')},
+tie AS (SELECT doc_id, a AS seq, count(*) AS n FROM tied GROUP BY ALL)
+SELECT doc_id, lpad(seq::VARCHAR, CAST(greatest(3, length(seq::VARCHAR)) AS INT), '0') AS id, md5(quote) AS digest, f.weight, NULL::INT AS source_start, n.resolved_date, coalesce(tie.n, 0) AS n_links FROM notes n JOIN final f USING (doc_id, seq) LEFT JOIN tie USING (doc_id, seq)""")
 def merge_renumber(spark, sf):
+    """Memories united by tens, the last conversation first: numbers, links and weights made anew, places dropped."""
+    notes = base_notes(spark, sf).withColumn("source_start", F.lit(1)).withColumn("source_end", F.lit(2))
+    meta = notes.groupBy("doc_id").agg(F.count("*").alias("input_length"))
+    groups = meta.select("doc_id", (F.col("doc_id") % 10).alias("group_id"), (-F.col("doc_id")).alias("position"))
+    m = memory.merge(memory.Memory(notes, base_links(notes), segment.entity_codes(notes), meta), groups)
+    ties = m.links.groupBy("doc_id", F.col("from_id").alias("id")).agg(F.count("*").alias("n_links"))
+    rows = m.notes.join(ties, ["doc_id", "id"], "left")
+    return rows.select("doc_id", "id", F.md5(F.col("quote").cast("binary")).alias("digest"), "weight", "source_start", "resolved_date", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+@query(f"WITH {sql.NOTES}, {CODES.replace('FROM notes', 'FROM (SELECT * REPLACE (doc_id % 10 AS doc_id) FROM notes)', 1)} SELECT * FROM codes")
+def merge_codes(spark, sf):
+    """Names of united memories are coded anew."""
     notes = base_notes(spark, sf)
-    seq = F.row_number().over(Window.partitionBy(F.col("doc_id") % 10).orderBy("doc_id", "seq"))
-    return notes.select((F.col("doc_id") % 10).alias("doc_id"), seq.alias("seq"), F.md5(F.col("quote").cast("binary")).alias("digest"))
+    meta = notes.groupBy("doc_id").agg(F.count("*").alias("input_length"))
+    groups = meta.select("doc_id", (F.col("doc_id") % 10).alias("group_id"), F.col("doc_id").alias("position"))
+    return memory.merge(memory.Memory(notes, base_links(notes), segment.entity_codes(notes), meta), groups).codes
 
 
 # ---- measures and vectors
@@ -593,13 +753,12 @@ def token_f1(spark, sf):
     return evaluate.token_f1(pairs).select("pair_id", rounded("f1", "f1"), "held")
 
 
-@query(f"""WITH {sql.NOTES}, {sql.QUESTIONS}, {sql.OWN}, {sql.bm25('SELECT query_id, doc_id, token, 1.0 AS w, times FROM own')}, top AS ({TOP5}),
-best AS (SELECT q.query_id, min(rank) AS rank FROM questions q LEFT JOIN top t ON t.query_id = q.query_id AND t.seq = 1 + q.query_id % 3 GROUP BY ALL)
+@query(f"""{answered(sql.NOTES)},
+best AS (SELECT q.query_id, min(rank) AS rank FROM questions q LEFT JOIN answers t ON t.query_id = q.query_id AND t.id = lpad((1 + q.query_id % 3)::VARCHAR, 3, '0') GROUP BY ALL)
 SELECT round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS found_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS found_at_5, count(*) AS n FROM best""")
 def mean_reciprocal_rank(spark, sf):
-    hits = bm25_top5(spark, sf).withColumn("id", F.col("seq"))
-    expected = turn_questions(spark, sf).select("query_id", (1 + F.col("query_id") % 3).cast("int").alias("id"))
-    out = evaluate.reciprocal_ranks(hits, expected)
+    expected = turn_questions(spark, sf).select("query_id", text.note_id(1 + F.col("query_id") % 3).alias("id"))
+    out = evaluate.reciprocal_ranks(bm25_top5(spark, sf), expected)
     return out.select(rounded("mrr", "mrr"), rounded("found_at_1", "found_at_1"), rounded("found_at_5", "found_at_5"), "n")
 
 
@@ -622,7 +781,7 @@ SELECT vec_id, round(0.7 * CASE WHEN max(bm25) OVER w > 0 THEN bm25 / max(bm25)
 def embedding_blend(spark, sf):
     e = read(spark, sf, "embeddings")
     means = evaluate.mean_vector(e, "label", "embedding", 64)
-    rows = e.join(F.broadcast(means), "label").select("vec_id", F.col("label").alias("query_id"), (F.col("vec_id") * 13 % 97 / 10.0).alias("bm25"), evaluate.cosine("embedding", "mean").alias("cosine"))
+    rows = e.join(means, "label").select("vec_id", F.col("label").alias("query_id"), (F.col("vec_id") * 13 % 97 / 10.0).alias("bm25"), evaluate.cosine("embedding", "mean").alias("cosine"))
     return evaluate.blend(rows, 0.3).select("vec_id", F.round("blended", 5).alias("blended"))
 
 
@@ -647,10 +806,23 @@ def highlight(spark, sf):
 # ---- whole memories
 
 
-@query()
+@query(f"""{noted('signals', 'names', 'dates', 'topics')}, words AS (SELECT doc_id, idx AS seq, list(topic ORDER BY rank) AS topics FROM topics GROUP BY ALL),
+notes AS MATERIALIZED (SELECT c.doc_id, c.seq, c.s, c.e, lpad(c.seq::VARCHAR, 3, '0') AS id, entities, coalesce(topics, []) AS topics, raw_weight, flags, emotions, resolved_date
+  FROM chunk c JOIN entity USING (doc_id, seq) JOIN signals USING (doc_id, seq) JOIN dated USING (doc_id, seq) LEFT JOIN words USING (doc_id, seq)),
+{sql.links('notes')}, {sql.weighted('notes', 'raw_weight')}
+SELECT doc_id, n.id, n.s AS source_start, n.e AS source_end, array_to_string(entities, ',') AS entities, array_to_string(topics, ',') AS topics, array_to_string(flags, ',') AS flags, array_to_string(emotions, ',') AS emotions, f.weight, resolved_date FROM notes n JOIN final f USING (doc_id, seq)""")
 def build_memory(spark, sf):
-    """All notes of the documents, with weights."""
-    return memory.build(doc_corpus(spark, sf)).notes.drop("quote", "topics", "entities")
+    """All notes of whole documents with planted sentences, weighted by their links; everything but their quotes."""
+    notes = memory.build(planted_corpus(spark, sf)).notes
+    return notes.select("doc_id", "id", "source_start", "source_end", *[F.array_join(c, ",").alias(c) for c in ("entities", "topics", "flags", "emotions")], "weight", "resolved_date")
+
+
+@query(f"""{noted('names', 'topics')}, words AS (SELECT doc_id, idx AS seq, list(topic ORDER BY rank) AS topics FROM topics GROUP BY ALL),
+notes AS MATERIALIZED (SELECT c.doc_id, c.seq, lpad(c.seq::VARCHAR, 3, '0') AS id, entities, coalesce(topics, []) AS topics FROM chunk c JOIN entity USING (doc_id, seq) LEFT JOIN words USING (doc_id, seq)), {sql.links('notes')}
+SELECT doc_id, lpad(a::VARCHAR, 3, '0') AS from_id, lpad(b::VARCHAR, 3, '0') AS to_id, round(score, 6) AS score FROM tied""")
+def build_memory_links(spark, sf):
+    """The links of the same memories."""
+    return memory.build(planted_corpus(spark, sf)).links.select("doc_id", "from_id", "to_id", rounded("score", "score"))
 
 
 @query()
@@ -676,22 +848,6 @@ def stream_replay(spark, sf):
 
 # ---- more of the parts
 
-PEOPLE = (
-    ("We met Maria in Oslo today.\n\nThen she went home early.\n\nPeter saw that he was late.", ("Maria,Oslo", "Maria", "Peter")),
-    ("We met Laura and Tom there.\n\nNow they left on foot.\n\nThere he slept all day.", ("Laura,Tom", "Laura,Tom", "Tom")),
-    ("Nobody came on that evening.\n\nThen she called us by phone.\n\nRunning is what they like.", ("", "", "")),
-)
-NAMED_ROWS = ", ".join(f"({k}, {i + 1}, '{n}')" for k, (_, names) in enumerate(PEOPLE) for i, n in enumerate(names))
-
-
-@query(f"SELECT d.doc_id, CAST(seq AS INT) AS seq, names FROM documents d JOIN (VALUES {NAMED_ROWS}) t(k, seq, names) ON d.doc_id % 3 = k")
-def pronoun_resolution(spark, sf):
-    """Names that passages have or that their pronouns stand for, on planted texts."""
-    docs = read(spark, sf, "documents").select("doc_id", picked([p[0] for p in PEOPLE], F.col("doc_id") % 3).alias("text"))
-    notes = segment.annotate_notes(docs, BuildOptions(chunk_size=30, chunk_overlap=0).notes)
-    return notes.select("doc_id", "seq", F.array_join(F.filter("entities", lambda e: e != "Nobody"), ",").alias("names"))
-
-
 @query(f"WITH {sql.NOTES}, {sql.LINKS} SELECT doc_id, 'T:' || from_id || '<->' || to_id || '|x' AS line FROM links")
 def link_lines(spark, sf):
     return base_links(base_notes(spark, sf)).withColumn("label", F.lit("x")).select("doc_id", codec.link_line().alias("line"))
@@ -700,7 +856,7 @@ def link_lines(spark, sf):
 @query(f"""WITH {MINHASH} SELECT a.doc_id, a.seq, round(list_sum(list_transform(list_zip(a.sig, b.sig), lambda p: CASE WHEN p[1] = p[2] THEN 1 ELSE 0 END)) / 32, 6) AS estimate
 FROM sig a JOIN sig b ON a.doc_id = b.doc_id AND b.seq = a.seq + 1""")
 def jaccard_estimate(spark, sf):
-    notes = base_notes(spark, sf).where(F.size("topics") > 0).select("doc_id", "seq", hashing.signature(F.transform("topics", hashing.fnv1a)).alias("sig"))
+    notes = links.signatures(topic_sets(spark, sf), "topics")
     after = notes.select("doc_id", (F.col("seq") - 1).alias("seq"), F.col("sig").alias("next"))
     return notes.join(after, ["doc_id", "seq"]).select("doc_id", "seq", F.round(hashing.estimate("sig", "next"), 6).alias("estimate"))
 

@@ -16,6 +16,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lex
 from ..functions.annotate import BLANKS, EDGES, collation, half_up
 from ..functions.text import escape_field, escape_name, escape_quote, escape_topic
+from ..operators.links import in_order
 
 # ---- out, as expressions
 
@@ -55,31 +57,41 @@ def with_book(notes: DataFrame, codes: DataFrame) -> DataFrame:
     return notes.join(books, "doc_id", "left").withColumn("book", F.coalesce("book", empty))
 
 
+def header(n: Column, tops: Column) -> Column:
+    """The first line, from the number of notes and the first codes; `date` and `title` are columns."""
+    n = n.cast("string")
+    said = [escape_field(F.coalesce(c, F.lit(""))) for c in ("date", "title")]
+    return F.concat(F.lit("FILE:"), F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0")), F.lit("|"), tops, F.lit("|"), said[0], F.lit("|"), said[1], F.lit("|v2"))
+
+
+def heads_of(notes: DataFrame, meta: DataFrame | None) -> DataFrame:
+    """doc_id, date, title: one row for each memory, those without notes included if meta tells of them."""
+    if meta is not None:
+        return meta.select("doc_id", "date", "title")
+    none = F.lit(None).cast("string")
+    return notes.select("doc_id").distinct().select("doc_id", none.alias("date"), none.alias("title"))
+
+
 def encode(notes: DataFrame, links: DataFrame, codes: DataFrame, meta: DataFrame | None = None) -> DataFrame:
-    """doc_id, text for each document with notes. Notes go by `rank` if they have it, else by seq; meta: doc_id, date, title."""
+    """doc_id, text for each document. Notes go by `rank` if they have it, else by seq; meta: doc_id, date, title.
+
+    With meta, documents without notes have a header alone; without, they are unknown.
+    """
     order = "rank" if "rank" in notes.columns else "seq"
     rows = with_book(notes, codes)
-    head = rows.select("doc_id", F.col(order).alias("at"), F.posexplode("entities").alias("pos", "name"), "book")
-    first = head.groupBy("doc_id", "name").agg(F.min(F.struct("at", "pos")).alias("seen"), F.first("book").alias("book"))
+    named_in = rows.select("doc_id", F.col(order).alias("at"), F.posexplode("entities").alias("pos", "name"), "book")
+    first = named_in.groupBy("doc_id", "name").agg(F.min(F.struct("at", "pos")).alias("seen"), F.first("book").alias("book"))
     first = first.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("seen"))).where("k <= 3")
     first = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", coded(F.array("name"), "book")[0].alias("code")))).alias("tops"))
-    heads = rows.groupBy("doc_id").agg(F.count("*").alias("n")).join(first, "doc_id", "left")
-    if meta is not None:
-        heads = heads.join(meta.select("doc_id", "date", "title"), "doc_id", "left")
-    else:
-        heads = heads.withColumn("date", F.lit(None).cast("string")).withColumn("title", F.lit(None).cast("string"))
-    n = F.col("n").cast("string")
+    heads = heads_of(notes, meta).join(rows.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").join(first, "doc_id", "left")
     tops = F.array_join(F.transform(F.coalesce("tops", F.array().cast("array<struct<k:int,code:string>>")), lambda x: x["code"]), "+")
-    header = F.concat(F.lit("FILE:"), F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0")), F.lit("|"), tops, F.lit("|"), escape_field(F.coalesce("date", F.lit(""))), F.lit("|"), escape_field(F.coalesce("title", F.lit(""))), F.lit("|v2"))
     zero = F.lit(0).cast("long")
-    lines = heads.select("doc_id", F.lit(0).alias("part"), zero.alias("at"), header.alias("line"))
+    lines = heads.select("doc_id", F.lit(0).alias("part"), zero.alias("at"), header(F.coalesce("n", zero), tops).alias("line"))
     entries = F.array_sort(F.collect_list(F.struct("code", F.concat("code", F.lit("="), escape_name("name")).alias("entry"))))
     named = codes.join(heads.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(entries.alias("e"))
     lines = lines.unionByName(named.select("doc_id", F.lit(1).alias("part"), zero.alias("at"), F.concat(F.lit("E:"), F.array_join(F.transform("e", lambda x: x["entry"]), ";")).alias("line")))
     lines = lines.unionByName(rows.select("doc_id", F.lit(2).alias("part"), F.col(order).cast("long").alias("at"), note_line(rows).alias("line")))
-    score = F.desc("score") if "score" in links.columns else F.col("to_id")
-    tied = links.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.collate("from_id", "UNICODE"), score, "to_id")))
-    lines = lines.unionByName(tied.select("doc_id", F.lit(3).alias("part"), F.col("at").cast("long"), link_line().alias("line")))
+    lines = lines.unionByName(in_order(links).select("doc_id", F.lit(3).alias("part"), F.col("at").cast("long"), link_line().alias("line")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "at", "line"))), lambda x: x["line"]), "\n")
     return lines.groupBy("doc_id").agg(text.alias("text"))
 
@@ -97,8 +109,24 @@ def escaped(s: str, marks: str) -> str:
     return s.replace("\r", "\\r").replace("\n", "\\n")
 
 
+# Names of what JSON shows, and what they stand for here.
+JSON_NOTE = {
+    "id": "id", "entities": "entities", "topics": "topics", "quote": "quote", "weight": "weight", "emotions": "emotions", "flags": "flags",
+    "sourceStart": "source_start", "sourceEnd": "source_end", "resolvedDate": "resolved_date",
+}
+JSON_LINK = {"from": "from_id", "to": "to_id", "label": "label"}
+JSON_WHOLE = ("zettels", "tunnels")
+
+
+def two_places(x: float) -> str:
+    """Halves go up, by the double's exact value."""
+    return str(Decimal(x).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+
 @dataclass
 class Plain:
+    """One document's memory. Links are in the order in which they are shown."""
+
     notes: list[dict]
     links: list[dict]
     codes: dict[str, str]
@@ -115,12 +143,13 @@ class Plain:
         place = f"|{z['source_start']}-{z['source_end']}" if z.get("source_start") is not None and z.get("source_end") is not None else ""
         named = "+".join(self.codes.get(n, n[:3].upper()) for n in z["entities"])
         said = ",".join(escaped(t, ",| ") for t in z["topics"])
-        return f'{z["id"]}:{named}|{said}|"{escaped(z["quote"], chr(34))}"|{z["weight"]:.2f}|{"+".join(z["emotions"])}|{"+".join(z["flags"])}{place}'
+        return f'{z["id"]}:{named}|{said}|"{escaped(z["quote"], chr(34))}"|{two_places(z["weight"])}|{"+".join(z["emotions"])}|{"+".join(z["flags"])}{place}'
 
     @staticmethod
     def shown(z: dict) -> dict:
-        keys = ("id", "entities", "topics", "quote", "weight", "emotions", "flags", "source_start", "source_end", "resolved_date")
-        return {k: z[k] for k in keys if z.get(k) is not None}
+        out = {k: z[c] for k, c in JSON_NOTE.items() if z.get(c) is not None}
+        weight = out["weight"]
+        return out | {"weight": int(weight) if weight == int(weight) else weight}
 
     def render(self, chosen: list[dict], format: str = "text") -> str:
         if format == "markdown":
@@ -128,7 +157,8 @@ class Plain:
         ids = {z["id"] for z in chosen}
         ties = [t for t in self.links if {t["from_id"], t["to_id"]} <= ids]
         if format == "json":
-            return json.dumps({"notes": list(map(self.shown, chosen)), "links": [{k: t[k] for k in ("from_id", "to_id", "label")} for t in ties]}, indent=2, ensure_ascii=False)
+            told = (list(map(self.shown, chosen)), [{k: t[c] for k, c in JSON_LINK.items()} for t in ties])
+            return json.dumps(dict(zip(JSON_WHOLE, told, strict=True)), indent=2, ensure_ascii=False)
         names = list(dict.fromkeys(n for z in chosen for n in z["entities"]))
         used = {self.codes[n]: n for n in names if n in self.codes}
         tops = "+".join(self.codes.get(n, n[:3].upper()) for n in names[:3])

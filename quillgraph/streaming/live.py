@@ -8,16 +8,17 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import StreamOptions
+from ..config import RecallOptions, StreamOptions
 from ..functions import annotate
 from ..functions.annotate import collation
 from ..operators import links, weights
@@ -203,7 +204,7 @@ def snapshot(states: DataFrame, options: StreamOptions = StreamOptions(), log: D
     rows = rows.withColumn("weight", weight).withColumn("resolved_date", F.lit(None).cast("string"))
     codes = states.select(F.col("conv_id").alias("doc_id"), F.inline("codes"))
     build = options.build
-    tied = links.build_links(rows, codes, build.link_threshold, build.link_top_k, build.verbose_labels)
+    tied = links.build_links(rows, codes, build.link_threshold, build.link_top_k, build.verbose_labels, build.full)
     notes = weights.normalize_weights(weights.blend_centrality(rows, tied), build.temperature).select(*NOTE)
     lit = F.lit
     kept = states.withColumn("source", lit(None).cast("string"))
@@ -213,6 +214,29 @@ def snapshot(states: DataFrame, options: StreamOptions = StreamOptions(), log: D
     return Memory(notes, tied, codes, meta)
 
 
+def live_recall(
+    messages: DataFrame, questions: DataFrame, answer: Callable[[DataFrame, int], None], options: StreamOptions = StreamOptions(),
+    recall: RecallOptions = RecallOptions(), log: Callable[[], DataFrame] | None = None, max_tokens: int | None = None, context: bool = False,
+) -> DataStreamWriter:
+    """A stream that, after each micro-batch, asks the memories which it touched and hands the answers to `answer`.
+
+    questions: query_id, doc_id (the conversation), text. Answers are hits, or passages with `context`. log reads the
+    messages (conv_id, turn, text) that have come so far; notes' places index it, so more of them do no harm.
+    Options of the writer (checkpoint, trigger) are the caller's; start() starts it.
+    """
+
+    def step(states: DataFrame, batch: int) -> None:
+        states = states.persist()
+        try:
+            with snapshot(states, options, source_log(log()) if log else None) as memory:
+                asked = questions.join(states.select(F.col("conv_id").alias("doc_id")), "doc_id", "left_semi")
+                answer(memory.recall_context(asked, recall, max_tokens) if context else memory.recall(asked, recall), batch)
+        finally:
+            states.unpersist()
+
+    return live(messages, options).writeStream.outputMode("update").foreachBatch(step)
+
+
 def source_log(messages: DataFrame) -> DataFrame:
     """doc_id, text: what places in notes of a stream index: messages that aren't blank, in turn order, parted by blank lines."""
     text = F.regexp_replace("text", r"\r\n?", "\n")
@@ -221,4 +245,4 @@ def source_log(messages: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n\n").alias("text"))
 
 
-__all__ = ["Live", "live", "replay", "snapshot", "source_log"]
+__all__ = ["Live", "live", "live_recall", "replay", "snapshot", "source_log"]

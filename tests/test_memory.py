@@ -128,8 +128,8 @@ def test_prompts(built):
     shown = {r.doc_id: r.text for r in built.inject(InjectOptions(format="markdown", max_notes=1)).collect()}
     assert shown[1].startswith("**[004]** *(DECISION, TECHNICAL)* ")
     full = json.loads(built.inject(InjectOptions(format="json")).where("doc_id = 1").first().text)
-    assert [n["id"] for n in full["notes"]] == ["001", "002", "003", "004"]
-    assert full["links"] == [{"from_id": "001", "to_id": "004", "label": "ALC+RDS"}]
+    assert [n["id"] for n in full["zettels"]] == ["001", "002", "003", "004"]
+    assert full["tunnels"] == [{"from": "001", "to": "004", "label": "ALC+RDS"}]
     held = built.inject(InjectOptions(format="markdown", max_notes=1, guarantee_flags=("ORIGIN",))).where("doc_id = 1").first().text
     assert "[003]" in held
     assert built.inject(InjectOptions(max_notes=2)).where("doc_id = 1").first().text.split("\n")[2].startswith("004:")
@@ -137,6 +137,129 @@ def test_prompts(built):
     assert len(counted) <= 200
 
 
+def test_empty_selections(built):
+    whole = {1, 2, 3, 4, 5}
+    for options in (InjectOptions(min_weight=2.0), InjectOptions(flags=("GENESIS",)), InjectOptions(min_weight=2.0, max_tokens=100), InjectOptions(min_weight=2.0, max_notes=2, selection="mmr")):
+        got = {r.doc_id: r.text for r in built.inject(options).collect()}
+        assert got == {d: "FILE:000|||A\\|title|v2" if d == 1 else "FILE:000||||v2" for d in whole}
+    for max_tokens in (None, 50):
+        assert {r.doc_id: r.text for r in built.inject(InjectOptions(min_weight=2.0, format="markdown", max_tokens=max_tokens)).collect()} == dict.fromkeys(whole, "")
+        shown = {r.doc_id: r.text for r in built.inject(InjectOptions(min_weight=2.0, format="json", max_tokens=max_tokens)).collect()}
+        assert shown == dict.fromkeys(whole, '{\n  "zettels": [],\n  "tunnels": []\n}')
+    assert {r.doc_id for r in built.encode().collect()} == whole
+
+
+# ---- prompts against brute force
+
+
+def memories(draw):
+    """Notes, scored links and codes of a few memories, with ties in weights and links."""
+    flags = ["DECISION", "ORIGIN", "CORE", "PIVOT", "TECHNICAL"]
+    notes, ties, codes = [], [], []
+    for d in range(6):
+        n = draw.randint(1, 14)
+        names = [f"Name{x}" for x in "ABCDE"]
+        codes += [(d, x, f"N{i}X") for i, x in enumerate(names)]
+        for i in range(1, n + 1):
+            words = [" ".join(draw.choices(["alpha", "beta", "gamma"], k=draw.randint(1, 2))) for _ in range(draw.randint(0, 3))]
+            notes.append((d, i, f"{i:03d}", sorted(draw.sample(names, draw.randint(0, 2))), words, "said " * draw.randint(1, 30) + '"x"', draw.choice([0.0, 0.25, 0.5, 0.5, 1.0]), draw.sample(["joy", "fear"], draw.randint(0, 2)), draw.sample(flags, draw.randint(0, 2)), i * 10, i * 10 + 9, draw.choice([None, "2020-05"])))
+        for _ in range(draw.randint(0, 12)):
+            a, b = sorted((draw.randint(1, n), draw.randint(1, n)))
+            if a != b and (d, f"{a:03d}", f"{b:03d}") not in {t[:3] for t in ties}:
+                ties.append((d, f"{a:03d}", f"{b:03d}", f"l{a}_{b}", draw.choice([0.3, 0.5, 0.5, 0.9])))
+    return notes, ties, codes
+
+
+FIELDS = ("doc_id", "seq", "id", "entities", "topics", "quote", "weight", "emotions", "flags", "source_start", "source_end", "resolved_date")
+
+
+def shown_plainly(notes, ties, codes, format):
+    """A prompt by the rules, with nothing of the library."""
+    ids = [z["id"] for z in notes]
+    ties = sorted((t for t in ties if t[1] in ids and t[2] in ids), key=lambda t: (t[1], -t[4], t[2]))
+    if format == "markdown":
+        out = []
+        for z in notes:
+            head = " · ".join(x for x in (z["resolved_date"], ", ".join(z["flags"])) if x)
+            out.append(f"**[{z['id']}]** " + (f"*({head})* " if head else "") + z["quote"])
+        return "\n\n".join(out)
+    if format == "json":
+        keys = dict(zip(FIELDS[2:], ("id", "entities", "topics", "quote", "weight", "emotions", "flags", "sourceStart", "sourceEnd", "resolvedDate"), strict=True))
+        rows = [{k: int(z[c]) if c == "weight" and z[c] in (0, 1) else z[c] for c, k in keys.items() if z[c] is not None} for z in notes]
+        return json.dumps({"zettels": rows, "tunnels": [{"from": t[1], "to": t[2], "label": t[3]} for t in ties]}, indent=2)
+    book = {n: c for _, n, c in codes}
+    seen = []
+    for z in notes:
+        seen += [n for n in z["entities"] if n not in seen]
+    lines = [f"FILE:{len(notes):03d}|{'+'.join(book[n] for n in seen[:3])}|||v2"]
+    if seen:
+        lines.append("E:" + ";".join(f"{book[n]}={n}" for n in sorted(seen, key=book.get)))
+    for z in notes:
+        quote = z["quote"].replace('"', '\\"')
+        lines.append(f"{z['id']}:{'+'.join(book[n] for n in z['entities'])}|{','.join(t.replace(' ', chr(92) + '_') for t in z['topics'])}|\"{quote}\"|{z['weight']:.2f}|{'+'.join(z['emotions'])}|{'+'.join(z['flags'])}|{z['source_start']}-{z['source_end']}")
+    return "\n".join([*lines, *(f"T:{t[1]}<->{t[2]}|{t[3]}" for t in ties)])
+
+
+def chosen_plainly(notes, ties, codes, options):
+    def score(z):
+        return 0.7 * z["weight"] + (0.3 if {"DECISION", "ORIGIN", "CORE"} & set(z["flags"]) else 0)
+
+    def like(x, y):
+        a, b = ({*z["topics"], *z["entities"]} for z in (x, y))
+        return len(a & b) / len(a | b) if a and b else 0
+
+    out = [z for z in notes if options.min_weight is None or z["weight"] >= options.min_weight]
+    if options.max_notes is not None:
+        pool, out = sorted(out, key=lambda z: (-score(z), z["id"])), []
+        if options.selection != "mmr" or len(pool) <= options.max_notes:
+            out = pool[: options.max_notes]
+        while pool and len(out) < options.max_notes:
+            values = [0.7 * score(z) - 0.3 * max((like(z, s) for s in out), default=0) for z in pool]
+            out.append(pool.pop(values.index(max(values))))
+    for flag in options.guarantee_flags:
+        if any(flag in z["flags"] for z in out):
+            continue
+        spare = sorted((z for z in notes if flag in z["flags"] and z not in out), key=lambda z: (-z["weight"], z["id"]))
+        if spare:
+            free = [i for i, z in enumerate(out) if not set(options.guarantee_flags) & set(z["flags"])]
+            if free:
+                out[min(free, key=lambda i: score(out[i]))] = spare[0]
+            else:
+                out.append(spare[0])
+    if options.max_tokens is not None:
+        def size(some):
+            text = shown_plainly(some, ties, codes, options.format)
+            return -(-max(len(text.split()) * 13 * 100, len(text) * 250) // 1000)
+
+        fit = []
+        for z in sorted(out, key=lambda z: (-score(z), z["id"])):
+            if size([*fit, z]) <= options.max_tokens:
+                fit.append(z)
+        out = fit
+    return out
+
+
+@pytest.mark.parametrize("format", ["text", "json", "markdown"])
+def test_prompts_are_those_of_the_rules(spark, format):
+    draw = random.Random(40)
+    notes, ties, codes = memories(draw)
+    n = spark.createDataFrame(notes, "doc_id long, seq int, id string, entities array<string>, topics array<string>, quote string, weight double, emotions array<string>, flags array<string>, source_start int, source_end int, resolved_date string")
+    c = spark.createDataFrame(codes, "doc_id long, name string, code string")
+    cases = [
+        InjectOptions(format=format), InjectOptions(format=format, max_notes=3), InjectOptions(format=format, min_weight=0.4, max_notes=4, selection="mmr"), InjectOptions(format=format, max_tokens=120),
+        InjectOptions(format=format, max_notes=2, guarantee_flags=("ORIGIN", "PIVOT")), InjectOptions(format=format, max_tokens=300, guarantee_flags=("CORE",), max_notes=6, selection="mmr"),
+    ]
+    for options in cases:
+        want = {}
+        for d in range(6):
+            own = [dict(zip(FIELDS, z, strict=True)) for z in notes if z[0] == d]
+            tied, book = [t for t in ties if t[0] == d], [x for x in codes if x[0] == d]
+            want[d] = shown_plainly(chosen_plainly(own, tied, book, options), tied, book, format)
+        for parts, order in ((1, ties), (5, ties[::-1])):  # links in any order and place
+            t = spark.createDataFrame(order, "doc_id long, from_id string, to_id string, label string, score double").repartition(parts, "label")
+            assert {r.doc_id: r.text for r in context.inject(n, t, c, options=options).collect()} == want
+
+
 def test_relevance_against_repetition():
     notes = [{"seq": i, "in_": True, "id": f"{i:03d}", "weight": w, "flags": [], "topics": t, "entities": []} for i, (w, t) in enumerate([(1.0, ["a"]), (0.9, ["a"]), (0.8, ["b"])])]
     plain = codec.Plain(notes, [], {})
@@ -167,27 +290,22 @@ def test_dedupe(spark):
 # ---- expressions agree with plain functions
 
 
-def test_chunks_agree(spark):
+def test_chunks_and_topics_are_those_of_notes(spark):
     draw = random.Random(2)
-    texts = ["\n\n".join(" ".join("word" * draw.randint(1, 3) for _ in range(draw.randint(0, 30))) for _ in range(draw.randint(0, 12))) for _ in range(40)]
-    texts += ["", " \n\n ", "\n\n\nabc\n\n", "x\r\n\r\ny", "é\u00a0\n\n\u2003z"]
+    words = "cache pool GraphStore rate-limit the of and limiting APIS session tokens rotation schedule review maria Anna:".split()
+    texts = ["\n\n".join(" ".join(draw.choice(words) for _ in range(draw.randint(0, 30))) for _ in range(draw.randint(0, 12))) for _ in range(30)]
+    texts += ["", " \n\n ", "\n\n\nabc\n\n", "x\r\n\r\ny", "é\u00a0\n\n\u2003z", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for size, overlap in ((60, 0), (60, 25), (200, 500)):
-        got = [(r.doc_id, r.char_start, r.char_end) for r in rows(segment.chunks(df, size, overlap), "doc_id", "idx")]
-        want = [(i, s, e) for i, t in enumerate(texts) for s, e in annotate.passages(t.replace("\r\n", "\n"), size, overlap)]
-        assert got == want
-
-
-def test_topics_agree(spark):
-    draw = random.Random(4)
-    vocabulary = "cache pool GraphStore rate-limit the of and limiting APIS session tokens rotation schedule review maria".split()
-    texts = [" ".join(draw.choice(vocabulary) + draw.choice(["", "", ",", "."]) for _ in range(draw.randint(1, 40))) for _ in range(30)]
-    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, idx int, text string")
-    got = {i: [] for i in range(len(texts))}
-    for r in rows(topics.top_topics(topics.token_stream(df)), "doc_id", "rank"):
-        got[r.doc_id].append(r.topic)
-    want = {i: annotate.topics(t, who=frozenset()) for i, t in enumerate(texts)}
-    assert sum(set(got[i]) == set(want[i]) for i in got) >= 28
+    for size, overlap in ((60, 0), (200, 500)):
+        notes = rows(segment.annotate_notes(df, BuildOptions(chunk_size=size, chunk_overlap=overlap).notes), "doc_id", "seq")
+        cut = segment.chunks(df, size, overlap)
+        assert [(r.doc_id, r.idx + 1, r.char_start, r.char_end, r.text) for r in rows(cut, "doc_id", "idx")] == [(r.doc_id, r.seq, r.source_start, r.source_end, r.body) for r in notes]
+        who = segment.speaker_names(df.where("text IS NOT NULL")).groupBy("doc_id").agg(F.collect_list("name").alias("speakers"))
+        told = topics.top_topics(cut.join(who, "doc_id", "left"))
+        got = {}
+        for r in rows(told, "doc_id", "idx", "rank"):
+            got.setdefault((r.doc_id, r.idx + 1), []).append(r.topic)
+        assert got == {(r.doc_id, r.seq): r.topics for r in notes if r.topics}
 
 
 def test_codes_agree(spark):
@@ -246,12 +364,42 @@ def test_long_documents_miss_no_pair(spark):
     assert {(r.a, r.b) for r in links.link_candidates(notes, 0.3, full=500).collect()} < linked
 
 
+def test_the_size_switch_reaches_builds(spark):
+    text_ = "\n\n".join(f"We met Maria{i % 40} about the shared budget review number{i % 30} of thing{i}." for i in range(60))
+    df = spark.createDataFrame([(1, text_)], "doc_id long, text string")
+    whole, banded = (memory.build(df, BuildOptions(chunk_size=60, chunk_overlap=0, full=full)) for full in (None, 10))
+    assert banded.links.count() <= whole.links.count()
+    pairs = links.link_candidates(banded.notes, full=10)
+    ends = {(f"{r.a:03d}", f"{r.b:03d}") for r in pairs.collect()}
+    assert {(r.from_id, r.to_id) for r in banded.links.collect()} <= ends
+    assert pairs.count() < links.link_candidates(whole.notes).count()
+    for m in (whole, banded):
+        m.close()
+
+
+def test_closed_memories_hold_nothing(spark):
+    df = spark.createDataFrame([(1, TALK)], "doc_id long, text string")
+    with memory.build(df, SMALL) as m:
+        m.notes.count()
+        assert all(x.storageLevel.useMemory for x in m.held)
+    assert not any(x.storageLevel.useMemory or x.storageLevel.useDisk for x in m.held)
+
+
 def test_bands_find_equal_sets(spark):
     df = spark.createDataFrame([(1, i, [f"t{i // 2 * 10 + k}" for k in range(8)]) for i in range(20)], "doc_id long, seq int, tokens array<string>")
     got = {(r.a, r.b) for r in links.band_pairs(df).collect()}
     assert {(i, i + 1) for i in range(0, 20, 2)} <= got
-    sig = df.select(F.transform("tokens", hashing.fnv1a).alias("h")).select(hashing.signature("h").alias("s")).first().s
+    sig = links.signatures(df).first().sig
     assert len(sig) == 32 and all(0 <= x < 2**32 for x in sig)
+    for words in (["a", "bc", "é😀"], ["x"]):
+        h = []
+        for w in words:
+            x = 2166136261
+            for unit in (int.from_bytes(w.encode("utf-16-le")[i : i + 2], "little") for i in range(0, len(w.encode("utf-16-le")), 2)):
+                x = (x ^ unit) * 16777619 % 2**32
+            h.append(x)
+        assert hashing.signature(words) == [min((a * x + b) % 2**32 for x in h) for a, b in hashing.CONSTANTS]
+    assert hashing.signature([]) == [2**32 - 1] * 32
 
 
 def test_folding(spark):
@@ -354,3 +502,96 @@ def test_snapshots_recall_words_outside_quotes(spark):
     assert "zebra" in str(m.recall_context(asked).collect())
     assert live.snapshot(states, StreamOptions(BuildOptions(keep_source=False)), live.source_log(table)).sources.count() == 0
     assert live.snapshot(states).recall(asked).collect() == []
+
+
+def brute_recall(notes, ties, asked, top, hops):
+    """Recall by plain loops over one document: notes (id, words, date), links (a, b), asked words and dates."""
+    import math
+
+    n, mean = len(notes), sum(len(w) for _, w, _ in notes) / len(notes) or 1
+    words, dates = asked
+    df = {t: sum(t in w for _, w, _ in notes) for t in words}
+    bm = [sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in words if t in w) for _, w, _ in notes]
+    if max(bm) <= 0:
+        return []
+    score = []
+    for (_, _, day), b in zip(notes, bm, strict=True):
+        bonus = next((0.25 if day.startswith(q) or q.startswith(day) else 0.1 for q in dates if day and (day.startswith(q) or q.startswith(day) or len(q) == 7 <= len(day) and abs((int(day[:4]) - int(q[:4])) * 12 + int(day[5:7]) - int(q[5:7])) == 1)), 0) if day else 0
+        score.append(b / max(bm) + bonus)
+    if hops and ties:
+        ids = [i for i, _, _ in notes]
+        near = {i: [b for a, b in ties if a == i] + [a for a, b in ties if b == i] for i in ids}
+        start = [s / sum(score) for s in score]
+        rank = dict(zip(ids, start, strict=True))
+        for _ in range(20):
+            new = {i: 0.15 * p for i, p in zip(ids, start, strict=True)}
+            for i in ids:
+                for j, p in zip(ids, start, strict=True):
+                    new[j] += 0.85 * rank[i] * p if not near[i] else 0
+                for j in near[i]:
+                    new[j] += 0.85 * rank[i] / len(near[i])
+            rank = new
+        score = [0.6 * s + 0.4 * rank[i] / max(rank.values()) for i, s in zip(ids, score, strict=True)]
+    best = sorted(((-round(s, 9), i) for (i, _, _), s in zip(notes, score, strict=True) if s > 0))[:top]
+    return [(i, -s) for s, i in best]
+
+
+@pytest.mark.parametrize("hops", [True, False])
+def test_recall_is_that_of_plain_loops(spark, hops):
+    draw = random.Random(41)
+    vocabulary = "apple brick cloud drum eagle flute grape house igloo".split()
+    notes, ties, questions, want = [], [], [], {}
+    for d in range(5):
+        n = draw.randint(2, 12)
+        own = [(f"{i:03d}", draw.choices(vocabulary, k=draw.randint(0, 6)), draw.choice([None, "2023-03-05", "2023-04", "2022", "2024-12-30"])) for i in range(1, n + 1)]
+        tied = {tuple(sorted(draw.sample([x[0] for x in own], 2))) for _ in range(draw.randint(0, 8))} if d else set()
+        notes += [(d, int(i), i, [], [], " ".join(w), day) for i, w, day in own]
+        ties += [(d, a, b) for a, b in tied]
+        for k in range(70 if d == 1 else 4):
+            words = draw.choices([*vocabulary, "zzz"], k=draw.randint(1, 4))
+            dates, said = draw.choice([([], ""), (["2023-03"], " in March 2023"), (["2022", "2024"], " in 2022 or 2024"), (["2025-01"], " January 2025")])
+            questions.append((d * 1000 + k, d, " ".join(words) + said))
+            from quillgraph.operators import search
+
+            folded = [text_fold(w) for w in words] + [text_fold(w) for w in said.lower().split() if w not in ("in", "or")]
+            assert not {a for a, _ in search.synonym_pairs()} & set(folded)
+            want[d * 1000 + k] = brute_recall([(i, [text_fold(w) for w in ws], day) for i, ws, day in own], tied, (folded, dates), 4, hops)
+    n = spark.createDataFrame(notes, "doc_id long, seq int, id string, entities array<string>, topics array<string>, quote string, resolved_date string")
+    t = spark.createDataFrame(ties, "doc_id long, from_id string, to_id string")
+    q = spark.createDataFrame(questions, "query_id long, doc_id long, text string")
+    got = {k: [] for k in want}
+    from quillgraph.operators import search
+
+    for r in rows(search.recall(n, q, t, RecallOptions(top_k=4, hops=hops)), "query_id", "rank"):
+        got[r.query_id].append((r.id, pytest.approx(r.score, abs=1e-8)))
+    assert want == got
+
+
+def text_fold(w):
+    """The endings that these words have."""
+    return {"apple": "appl", "eagle": "eagl", "flute": "flut", "grape": "grap", "house": "hous", "igloo": "igloo", "march": "march", "january": "january"}.get(w, w)
+
+
+def test_live_recall_is_that_of_replays(spark, tmp_path):
+    said = ["Maria joined the team and we decided on Rust.", "The zebra stood by the fence while Maria wrote the parser in Rust.", "Peter asked about the schedule of the release.", "The zebra left."]
+    table = spark.createDataFrame([(c, t, f"{p} Part {c}.") for c in range(3) for t, p in enumerate(said)], "conv_id long, turn long, text string")
+    asked = spark.createDataFrame([(c * 10, c, "zebra parser") for c in range(3)], "query_id long, doc_id long, text string")
+    options = StreamOptions(half_life_turns=10)
+    folder = str(tmp_path / "in")
+    for part in (table.where("turn < 2"), table.where("turn >= 2")):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    for context_ in (False, True):
+        answers = {}
+
+        def keep(found, batch, answers=answers):
+            answers[batch] = found.collect()
+
+        writer = live.live_recall(stream, asked, keep, options, RecallOptions(top_k=2), log=lambda: spark.read.parquet(folder), context=context_)
+        writer.option("checkpointLocation", str(tmp_path / f"ck{context_}")).trigger(availableNow=True).start().awaitTermination(200)
+        for batch, upto in ((0, 2), (1, 4)):
+            some = table.where(f"turn < {upto}")
+            m = live.snapshot(live.replay(some, options), options, live.source_log(some))
+            want = m.recall_context(asked, RecallOptions(top_k=2)) if context_ else m.recall(asked, RecallOptions(top_k=2))
+            assert sorted(map(tuple, answers[batch])) == sorted(map(tuple, want.collect()))
+            assert answers[batch]
