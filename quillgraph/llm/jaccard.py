@@ -34,8 +34,8 @@ SKETCH, SLICES = 1 << 20, 64
 #: Bits of a set's parity map: two sets differ in at least as many n-grams as their maps in bits.
 BITS = 512
 
-#: Rows of a list that are compared in one cell; longer lists are cut into 16 blocks, of LIST / 2 to 8 * LIST rows each.
-LIST = 512
+#: Rows of a list that are compared in one cell; longer lists are cut into 8 blocks, of LIST / 2 to 8 * LIST rows each.
+LIST = 1_024
 
 #: Candidates of each group in the first round.
 FIRST = 2
@@ -220,12 +220,14 @@ def blocked(rows: DataFrame, long: DataFrame) -> DataFrame:
     """
     if long.isEmpty():
         return rows.withColumns({"cell": F.lit(0).cast("long"), "across": F.lit(0), "own": F.lit(0), "main": F.lit(False)})
-    sized = F.broadcast(long) if long.count() <= BROADCAST_IDS else long
+    few = long.count() <= BROADCAST_IDS
+    sized = F.broadcast(long) if few else long
     held = rows.where("low = high").join(sized, "token").groupBy("token", "low").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("low", "k").alias("top"), F.max("k").alias("k"))
-    tagged = rows.join(sized.join(held, "token", "left"), "token", "left")
+    told = long.join(held, "token", "left")  # a row for each long list
+    tagged = rows.join(F.broadcast(told) if few else told, "token", "left")
     main = F.coalesce((F.col("low") == F.col("high")) & (F.col("low") == F.col("top")), F.lit(False))
     top = F.coalesce("k", F.lit(0))
-    block = F.greatest(F.lit(LIST // 2), F.least(F.lit(8 * LIST), F.ceil(F.col("rows") / 16)))
+    block = F.greatest(F.lit(LIST // 2), F.least(F.lit(8 * LIST), F.ceil(F.col("rows") / 8)))
     tagged = tagged.withColumns({"main": main, "down": F.ceil(top / block).cast("long"), "across": F.coalesce(F.ceil((F.col("rows") - top) / block).cast("long"), F.lit(0).cast("long"))})
     # a long list that is one component makes no pairs
     tagged = tagged.where("rows IS NULL OR across > 0")
