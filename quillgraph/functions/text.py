@@ -57,6 +57,25 @@ def fold(c: Column | str) -> Column:
     return _rest(s, cut, has)
 
 
+def folded(word: str) -> str:
+    """The same of one word, plainly."""
+    s = word
+    if len(s) > 4 and s.endswith("ies"):
+        s = s[:-3] + "y"
+    elif len(s) > 4 and s.endswith(("ches", "shes", "sses", "xes", "zes")):
+        s = s[:-2]
+    elif len(s) > 3 and s.endswith("s") and not s.endswith(("ss", "us")):
+        s = s[:-1]
+    for least, ends, n in ((5, ("ing",), 3), (4, ("ed",), 2)):
+        if len(s) > least and s.endswith(ends):
+            s = s[:-n]
+            break
+    for least, ends, n in ((5, ("tion", "sion"), 3), (5, ("ly",), 2), (4, ("e",), 1)):
+        if len(s) > least and s.endswith(ends):
+            s = s[:-n]
+    return s[:-1] if len(s) > 3 and s[-1] == s[-2] and s[-1] not in "aeiou" else s
+
+
 def _rest(s: Column, cut, has) -> Column:
     # a one-element array binds the intermediate value once, so that expressions don't double at each rule
     steps = [

@@ -147,7 +147,7 @@ def in_order(links: DataFrame) -> DataFrame:
 
 def links_among(links: DataFrame, chosen: DataFrame) -> DataFrame:
     """Links with both ends among the chosen notes (doc_id, id)."""
-    ids = chosen.select("doc_id", "id").distinct()
+    ids = chosen.select("doc_id", "id")
     for end in ("from_id", "to_id"):
         links = links.join(ids.withColumnRenamed("id", end), ["doc_id", end], "left_semi")
     return links

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import RecallOptions
 from ..functions import lexicon as lex
-from ..functions.text import BLANK, LEFT, RIGHT, exploded, fold, tokens
-from .links import links_among
+from ..functions.text import BLANK, LEFT, RIGHT, exploded, folded, tokens
 from .passes import each
 
 # Names of months in questions, and the constants of BM25.
@@ -49,42 +48,44 @@ def note_words() -> Column:
 
 
 def postings(notes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """doc_id, seq, token, tf, idf, norm: what BM25 needs of each note and token. Notes have `body`.
+    """doc_id, seq, id, token, tf, idf, norm: what BM25 needs of each note and token. Notes have `body`.
 
     idf and norm come from the notes given, so filters that should change them go before. asked: doc_id, token; only these
     tokens' postings are made.
     """
-    rows = notes.select("doc_id", "seq", note_words().alias("words")).withColumn("len", F.size("words"))
+    rows = notes.select("doc_id", "seq", "id", note_words().alias("words")).withColumn("len", F.size("words"))
     whole = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    held = exploded(rows, "doc_id", "seq", "len", of="words", name="token")
+    held = exploded(rows, "doc_id", "seq", "id", "len", of="words", name="token")
     if asked is not None:
-        held = held.join(asked.select("doc_id", "token").distinct(), ["doc_id", "token"], "left_semi")
-    tf = held.groupBy("doc_id", "seq", "len", "token").agg(F.count("*").alias("tf"))
+        held = held.join(asked.select("doc_id", "token"), ["doc_id", "token"], "left_semi")
+    tf = held.groupBy("doc_id", "token", "seq", "id", "len").agg(F.count("*").alias("tf"))
     df = F.count("*").over(Window.partitionBy("doc_id", "token"))
     both = tf.withColumn("df", df).join(whole, "doc_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = K1 * ((1 - B) + B * F.col("len") / F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0))
-    return both.select("doc_id", "seq", "token", "tf", idf.alias("idf"), norm.alias("norm"))
+    return both.select("doc_id", "seq", "id", "token", "tf", idf.alias("idf"), norm.alias("norm"))
 
 
 def synonym_pairs() -> list[tuple[str, str]]:
-    """(token, its mates): clusters after the same folding that texts get."""
+    """(token, its mates): words of one cluster."""
     return [(a, b) for group in lex.SYNONYMS for a in group for b in group if a != b]
 
 
-def synonyms(spark) -> DataFrame:
-    """token, mate: a dictionary of fixed size."""
-    pairs = spark.createDataFrame(synonym_pairs(), "token string, mate string")
-    return pairs.select(fold("token").alias("token"), fold("mate").alias("mate")).where("token != mate").distinct()
+def synonyms() -> Column:
+    """A map from tokens to their mates, after the same folding that texts get: a dictionary of fixed size."""
+    mates: dict[str, list[str]] = {}
+    for a, b in synonym_pairs():
+        a, b = folded(a), folded(b)
+        if a != b and b not in mates.setdefault(a, []):
+            mates[a].append(b)
+    return F.create_map(*[x for a, bs in mates.items() for x in (F.lit(a), F.array(*map(F.lit, bs)))])
 
 
 def co_occurrences(notes: DataFrame) -> DataFrame:
     """doc_id, a, b, cnt: how often two folded words of topics and names stand in one note, with repeats."""
-    words = tokens(F.concat_ws(" ", F.array_join("topics", " "), F.array_join("entities", " ")))
-    rows = notes.select("doc_id", "seq", F.posexplode(words).alias("at", "w"))
-    x = rows.select("doc_id", "seq", F.col("at").alias("i"), F.col("w").alias("a"))
-    y = rows.select("doc_id", "seq", F.col("at").alias("j"), F.col("w").alias("b"))
-    return x.join(y, ["doc_id", "seq"]).where("i != j AND a != b").groupBy("doc_id", "a", "b").agg(F.count("*").alias("cnt"))
+    rows = notes.select("doc_id", tokens(F.concat_ws(" ", F.array_join("topics", " "), F.array_join("entities", " "))).alias("ws"))
+    pairs = F.flatten(F.transform("ws", lambda a: F.transform(F.filter("ws", lambda b: a != b), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return rows.select("doc_id", F.inline(pairs)).groupBy("doc_id", "a", "b").agg(F.count("*").alias("cnt"))
 
 
 def question_words(questions: DataFrame, notes: DataFrame | None = None, expand: bool = False) -> DataFrame:
@@ -92,24 +93,29 @@ def question_words(questions: DataFrame, notes: DataFrame | None = None, expand:
 
     With any such word, tokens count once; without, as often as they are asked.
     """
-    rows = questions.select("query_id", "doc_id", tokens("text").alias("words"))
-    own = exploded(rows, "query_id", "doc_id", "words", of="words", name="token").groupBy("query_id", "doc_id", "words", "token").agg(F.count("*").alias("times"))
-    mates = own.join(F.broadcast(synonyms(questions.sparkSession)), "token").where(~F.array_contains("words", F.col("mate")))
-    extra = mates.select("query_id", "doc_id", F.col("mate").alias("token"), F.lit(0.6).alias("weight")).distinct()
+    none = F.array().cast("array<string>")
+    rows = questions.select("query_id", "doc_id", tokens("text").alias("words")).withColumn("own", F.array_distinct("words"))
+    mates = F.flatten(F.transform("own", lambda w: F.coalesce(F.try_element_at(synonyms(), w), none)))
+    rows = rows.withColumn("mates", F.array_except(mates, F.col("own"))).withColumn("more", none)
     if expand and notes is not None:
+        asked = rows.select("query_id", "doc_id", F.explode("own").alias("a"))
         order = Window.partitionBy("doc_id", "a").orderBy(F.desc("cnt"), "b")
-        near = co_occurrences(notes).withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("doc_id", F.col("a").alias("token"), F.col("b").alias("mate"))
-        more = own.join(near, ["doc_id", "token"]).where(~F.array_contains("words", F.col("mate"))).select("query_id", "doc_id", F.col("mate").alias("token"), F.lit(0.5).alias("weight")).distinct()
-        extra = extra.unionByName(more.join(extra.select("query_id", "doc_id", "token"), ["query_id", "doc_id", "token"], "left_anti"))
-    has = extra.select("query_id", "doc_id", F.lit(True).alias("has")).distinct()
-    plain = own.join(has, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "token", F.lit(1.0).alias("weight"), F.when(F.col("has"), 1).otherwise(F.col("times")).alias("times"))
-    return plain.unionByName(extra.withColumn("times", F.lit(1)))
+        near = co_occurrences(notes).join(asked.select("doc_id", "a"), ["doc_id", "a"], "left_semi").withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+        told = asked.join(near, ["doc_id", "a"]).groupBy("query_id", "doc_id").agg(F.collect_set("b").alias("found"))
+        rows = rows.join(told, ["query_id", "doc_id"], "left").withColumn("more", F.array_except(F.array_except(F.coalesce("found", none), "own"), "mates"))
+    alone = F.size("mates") + F.size("more") == 0
+
+    def said(words: str, weight: float) -> Column:
+        times = F.lit(1) if weight < 1 else None
+        return F.transform(words, lambda w: F.struct(w.alias("token"), F.lit(weight).alias("weight"), (times if times is not None else F.when(alone, F.size(F.filter("words", lambda x: x == w))).otherwise(1)).alias("times")))
+
+    return rows.select("query_id", "doc_id", F.inline(F.concat(said("own", 1.0), said("mates", 0.6), said("more", 0.5))))
 
 
 def bm25(words: DataFrame, index: DataFrame) -> DataFrame:
-    """query_id, doc_id, seq, score: Okapi BM25 over an inverted index."""
+    """query_id, doc_id, seq, id, score: Okapi BM25 over an inverted index, one row for each word that a note holds."""
     part = F.col("weight") * F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))
-    return words.join(index, ["doc_id", "token"]).groupBy("query_id", "doc_id", "seq").agg(F.sum(part).alias("score"))
+    return words.join(index, ["doc_id", "token"]).select("query_id", "doc_id", "seq", "id", part.alias("score"))
 
 
 def question_dates(text: Column | str = "text") -> Column:
@@ -142,13 +148,16 @@ def date_bonus(day: Column | str, asked: Column | str) -> Column:
 
 
 def date_hits(notes: DataFrame, questions: DataFrame) -> DataFrame:
-    """query_id, doc_id, seq, bonus: dated notes that a question's dates speak for. They meet on years."""
+    """query_id, doc_id, seq, id, bonus: dated notes that a question's dates speak for. They meet on years."""
     dates = questions.select("query_id", "doc_id", question_dates().alias("asked")).where(F.size("asked") > 0)
-    year = lambda q: F.substring(q, 1, 4).cast("int")
-    near = lambda q: F.array(year(q), F.when(q.endswith("-01"), year(q) - 1).when(q.endswith("-12"), year(q) + 1).otherwise(year(q)))
-    dates = dates.withColumn("year", F.explode(F.array_distinct(F.flatten(F.transform("asked", near)))))
-    dated = notes.where("resolved_date IS NOT NULL").select("doc_id", "seq", "resolved_date", F.substring("resolved_date", 1, 4).try_cast("int").alias("year"))
-    rows = dates.join(dated, ["doc_id", "year"]).select("query_id", "doc_id", "seq", date_bonus("resolved_date", "asked").alias("bonus"))
+
+    def years(q: Column) -> Column:
+        year = F.substring(q, 1, 4).cast("int")
+        return F.array(year, F.when(q.endswith("-01"), year - 1).when(q.endswith("-12"), year + 1).otherwise(year))
+
+    dates = dates.withColumn("year", F.explode(F.array_distinct(F.flatten(F.transform("asked", years)))))
+    dated = notes.where("resolved_date IS NOT NULL").select("doc_id", "seq", "id", "resolved_date", F.substring("resolved_date", 1, 4).try_cast("int").alias("year"))
+    rows = dates.join(dated, ["doc_id", "year"]).select("query_id", "doc_id", "seq", "id", date_bonus("resolved_date", "asked").alias("bonus"))
     return rows.where("bonus > 0")
 
 
@@ -156,63 +165,60 @@ def date_hits(notes: DataFrame, questions: DataFrame) -> DataFrame:
 WALKS = 64
 
 
-def page_rank(scored: DataFrame, links: DataFrame, notes: DataFrame, steps: int = 20, alpha: float = 0.85) -> DataFrame:
-    """query_id, doc_id, id, walk: walks over the links that start and restart at notes by their score; the largest is 1.
+def walked(scored: DataFrame, links: DataFrame, notes: DataFrame, steps: int = 20, alpha: float = 0.85) -> DataFrame:
+    """query_id, doc_id, seq, id, score: scores blended with walks over the links that start and restart at notes by their score.
 
-    scored: query_id, doc_id, id, score (> 0). Notes that no walk reaches have no row, nor have documents without links.
-    Links to others than `notes` (doc_id, id) are not walked. A document's links go once to each WALKS of its questions.
+    scored: query_id, doc_id, id, score (> 0). Each question gets 0.6 of its notes' scores and 0.4 of their share in the
+    walks, the largest being 1; notes that have neither have no row. Documents without links keep their scores. Links to
+    others than `notes` are not walked. A document's notes and links go once to each WALKS of its questions.
     """
-    linked = links.select("doc_id").distinct()
-    edges = links_among(links, notes).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("from_id", "to_id"))).alias("edges"))
-    asked = scored.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "score"))).alias("seeds")).join(linked, "doc_id", "left_semi")
-    parts = asked.groupBy("doc_id").agg(F.ceil(F.count("*") / WALKS).cast("int").alias("parts"))
-    dealt = asked.join(parts, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part"))
-    rows = dealt.agg(F.array_sort(F.collect_list(F.struct("query_id", "seeds"))).alias("asked")).join(edges, "doc_id", "left").select("doc_id", "asked", "edges")
-
-    def of(asked: list[dict], edges: list[dict] | None) -> list[tuple]:
-        ids = sorted({e[k] for e in edges or [] for k in ("from_id", "to_id")} | {x["id"] for q in asked for x in q["seeds"]})
-        at = {n: i for i, n in enumerate(ids)}
-        a = np.array([at[e[k]] for e in edges or [] for k in ("from_id", "to_id")], np.int64)
-        b = np.array([at[e[k]] for e in edges or [] for k in ("to_id", "from_id")], np.int64)
-        degree = np.bincount(a, minlength=len(ids))
+    asked = scored.groupBy("query_id", "doc_id").agg(F.collect_list(F.struct("id", "score")).alias("seeds"))
+    parts = F.ceil(F.count("*").over(Window.partitionBy("doc_id")) / WALKS)
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), parts)).groupBy("doc_id", "part").agg(F.collect_list(F.struct("query_id", "seeds")).alias("asked"))
+    edges = links.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("from_id", "to_id"))).alias("edges"))
+    held = notes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "seq"))).alias("notes"))
+    rows = dealt.join(held, "doc_id").join(edges, "doc_id", "left").select("doc_id", "asked", "notes", "edges")
+
+    def of(asked: list[dict], notes: list[dict], edges: list[dict] | None) -> list[tuple]:
+        at = {x["id"]: i for i, x in enumerate(notes)}
+        ends = [(at[e["from_id"]], at[e["to_id"]]) for e in edges or [] if e["from_id"] in at and e["to_id"] in at]
+        a = np.array([x for e in ends for x in e], np.int64)
+        b = np.array([x for e in ends for x in e[::-1]], np.int64)
+        degree = np.bincount(a, minlength=len(at))
+        idle = degree == 0
         out = []
         for q in asked:
-            start = np.zeros(len(ids))
-            for x in q["seeds"]:
-                start[at[x["id"]]] = x["score"]
-            start /= start.sum()
-            rank = start
-            for _ in range(steps):
-                share = alpha * rank / np.maximum(degree, 1)
-                rank = (1 - alpha + alpha * rank[degree == 0].sum()) * start + np.bincount(b, share[a], len(ids))
-            rank /= rank.max()
-            out += [(q["query_id"], ids[i], float(rank[i])) for i in np.flatnonzero(rank).tolist()]
+            own = np.zeros(len(at))
+            for x in sorted(q["seeds"], key=lambda x: x["id"]):
+                own[at[x["id"]]] = x["score"]
+            if edges:
+                start = rank = own / own.sum()
+                for _ in range(steps):
+                    rank = (1 - alpha + alpha * rank[idle].sum()) * start + np.bincount(b, (alpha * rank / np.maximum(degree, 1))[a], len(at))
+                own = 0.6 * own + 0.4 * rank / rank.max()
+            out += [(q["query_id"], notes[i]["seq"], notes[i]["id"], float(own[i])) for i in np.flatnonzero(own).tolist()]
         return out
 
     kind = scored.schema["query_id"].dataType.simpleString()
-    return each(rows, ["doc_id"], of, f"query_id {kind}, id string, walk double")
+    return each(rows, ["doc_id"], of, f"query_id {kind}, seq int, id string, score double")
 
 
 def recall(notes: DataFrame, questions: DataFrame, links: DataFrame | None = None, options: RecallOptions = RecallOptions(), sources: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, id, seq, score, rank (from 1): the notes that answer each question best.
 
     Without words to ask, notes, or a match, a question has no answer. Scores that differ by less than PLACES are equal;
-    ties go by id, by the root collation.
+    ties go by id, by the root collation. Rows are made only of notes that hold an asked word or have an asked date, and
+    texts take part only in making the postings of asked words.
     """
-    keys = ["query_id", "doc_id"]
+    keys, note = ["query_id", "doc_id"], ["seq", "id"]
+    whole = Window.partitionBy(*keys)
     found = date_range(notes, options.after, options.before)
     words = question_words(questions, notes, options.expand)
-    scored = bm25(words, postings(note_text(found, sources), words)).where("score > 0")
-    most = F.max("score").over(Window.partitionBy(*keys))
-    scored = scored.withColumn("score", F.col("score") / most)
-    hits = date_hits(found, questions).join(scored.select(*keys).distinct(), keys, "left_semi")
-    rows = scored.join(hits, [*keys, "seq"], "full").select(*keys, "seq", (F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))).alias("score"))
-    rows = rows.join(found.select("doc_id", "seq", "id"), ["doc_id", "seq"])
+    parts = bm25(words, postings(note_text(found, sources), words)).withColumn("bonus", F.lit(0.0))
+    both = parts.unionByName(date_hits(found, questions).withColumn("score", F.lit(0.0)))
+    rows = both.groupBy(*keys, *note).agg(F.sum("score").alias("score"), F.max("bonus").alias("bonus")).withColumn("most", F.max("score").over(whole)).where("most > 0")
+    rows = rows.select(*keys, *note, (F.col("score") / F.col("most") + F.col("bonus")).alias("score")).where("score > 0")
     if options.hops and links is not None:
-        walks = page_rank(rows.select(*keys, "id", "score"), links, found)
-        rows = rows.select(*keys, "id", "score").join(walks, [*keys, "id"], "full")
-        # documents without links have no walks: their scores stay
-        rows = rows.withColumn("score", F.when(F.col("walk").isNull(), F.col("score")).otherwise(0.6 * F.coalesce("score", F.lit(0.0)) + 0.4 * F.col("walk")))
-    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", PLACES)), F.collate("id", "UNICODE"))
-    best = rows.select(*keys, "id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.top_k)
-    return best.join(found.select("doc_id", "id", "seq"), ["doc_id", "id"]).select(*keys, "id", "seq", "score", "rank")
+        rows = walked(rows, links, found)
+    order = whole.orderBy(F.desc(F.round("score", PLACES)), F.collate("id", "UNICODE"))
+    return rows.select(*keys, "id", "seq", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.top_k)

@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillgraph.config import BuildOptions, InjectOptions, RecallOptions, StreamOptions
-from quillgraph.functions import annotate, hashing, text
+from quillgraph.functions import hashing, text
+from quillgraph.functions import lexicon as lex
 from quillgraph.operators import context, dedupe, evaluate, links, segment, topics
 from quillgraph.plans import memory
 from quillgraph.sources import codec, corpora
@@ -141,7 +142,7 @@ def test_empty_selections(built):
     whole = {1, 2, 3, 4, 5}
     for options in (InjectOptions(min_weight=2.0), InjectOptions(flags=("GENESIS",)), InjectOptions(min_weight=2.0, max_tokens=100), InjectOptions(min_weight=2.0, max_notes=2, selection="mmr")):
         got = {r.doc_id: r.text for r in built.inject(options).collect()}
-        assert got == {d: "FILE:000|||A\\|title|v2" if d == 1 else "FILE:000||||v2" for d in whole}
+        assert got == dict.fromkeys(whole, "FILE:000||||v2") | {1: "FILE:000|||A\\|title|v2", 5: "FILE:000||2020-01||v2"}
     for max_tokens in (None, 50):
         assert {r.doc_id: r.text for r in built.inject(InjectOptions(min_weight=2.0, format="markdown", max_tokens=max_tokens)).collect()} == dict.fromkeys(whole, "")
         shown = {r.doc_id: r.text for r in built.inject(InjectOptions(min_weight=2.0, format="json", max_tokens=max_tokens)).collect()}
@@ -404,7 +405,9 @@ def test_bands_find_equal_sets(spark):
 
 def test_folding(spark):
     words = {"rotation": "rotat", "rotate": "rotat", "rotating": "rotat", "capping": "cap", "cities": "city", "wedding": "wed", "boxes": "box", "glass": "glas", "bus": "bus", "quickly": "quick", "ies": "ies"}
-    df = spark.createDataFrame(list(words.items()), "w string, f string")
+    assert {w: text.folded(w) for w in words} == words
+    more = [a + b for a in "a pass run stress box bush quiz study bottle hop press".split() for b in "s es ies ing ed tion sions ly ely e ess y er".split()] + [w for group in lex.SYNONYMS for w in group]
+    df = spark.createDataFrame([*words.items(), *((w, text.folded(w)) for w in more)], "w string, f string")
     assert df.where(text.fold("w") != F.col("f")).collect() == []
 
 
