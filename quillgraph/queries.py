@@ -602,7 +602,7 @@ def text_form(spark, sf):
     return codec.encode(*tied_notes(spark, sf))
 
 
-@query()
+@query(f"WITH {sql.NOTES} SELECT doc_id, id, true AS same_quote, true AS same_entities, true AS same_topics, true AS same_flags, true AS same_weight FROM notes")
 def codec_roundtrip(spark, sf):
     """Memories to text and back; the columns say whether both are equal."""
     notes = base_notes(spark, sf)
@@ -614,6 +614,27 @@ def codec_roundtrip(spark, sf):
     return rows.select("doc_id", "id", *same, (F.abs(F.col("weight") - F.col("weight_2")) < 0.006).alias("same_weight"))
 
 
+OLD_NAMES = "list_transform(entities, lambda e: upper(left(e, 3)))"
+
+
+def old_texts(spark, sf):
+    """Memories in the older text form: no escapes, topics by _, names as codes; a wrong count, a line of no kind, an unknown flag."""
+    notes = base_notes(spark, sf)
+    names = F.array_join(F.transform("entities", lambda e: F.upper(F.substring(e, 1, 3))), "+")
+    line = F.concat("id", F.lit(":"), names, F.lit("|"), F.array_join("topics", "_"), F.lit('|"'), F.replace("quote", F.lit("\n"), F.lit(" ")), F.lit('"|'), F.format_string("%.2f", "weight"), F.lit("||"), F.array_join(F.concat("flags", texts_of("ODD")), "+"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), "\n")
+    return notes.groupBy("doc_id").agg(F.concat(F.lit("FILE:000|||old\nno note at all\n"), lines).alias("text"))
+
+
+@query(f"""WITH {sql.NOTES} SELECT doc_id, seq, id, array_to_string({OLD_NAMES}, '+') AS entities, array_to_string(topics, ',') AS topics, md5(replace(quote, E'\\n', ' ')) AS digest, weight, array_to_string(flags, ',') AS flags,
+CAST(count(*) OVER (PARTITION BY doc_id) + 2 AS INT) AS warnings FROM notes""")
+def decode_old(spark, sf):
+    """Memories from the older text form, with what was amiss in them counted."""
+    m = memory.decode(old_texts(spark, sf))
+    rows = m.notes.join(m.meta.select("doc_id", F.size("warnings").alias("warnings")), "doc_id")
+    return rows.select("doc_id", "seq", "id", F.array_join("entities", "+").alias("entities"), F.array_join("topics", ",").alias("topics"), F.md5(F.col("quote").cast("binary")).alias("digest"), "weight", F.array_join("flags", ",").alias("flags"), "warnings")
+
+
 # ---- conflicts and duplicates
 
 DECISIONS = (
