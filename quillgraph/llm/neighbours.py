@@ -58,6 +58,7 @@ class Space:
 
     def __init__(self, width: int, unit: float, longest: float, dims: int, seed: int = 11) -> None:
         self.unit, self.longest = unit, longest
+        self.wild = unit > 1e150  # products may leave the range of doubles
         self.axes = np.random.default_rng(seed).standard_normal((width + 1, dims))
 
     def points(self, x: np.ndarray) -> np.ndarray:
@@ -72,14 +73,22 @@ class Space:
         size = self.longest / math.sqrt(float((q * q).sum()))
         return q * size, size / own / self.unit if own * self.unit else math.inf
 
-    def query(self, q: np.ndarray) -> np.ndarray:
-        return self.scaled(q)[0] @ self.axes[:-1]
+    def query(self, q: np.ndarray) -> tuple[np.ndarray, float]:
+        """The query's projection, and its factor for inner products."""
+        q, factor = self.scaled(q)
+        return q @ self.axes[:-1], factor
 
-    def squared(self, q: np.ndarray, score: float) -> float:
+    def squared(self, factor: float, score: float) -> float:
         """Squared distance from the scaled query of a vector with this inner product, with room for rounding; infinite if unknown."""
+        far = 2 * self.longest**2 - 2 * factor * score
+        return max(far, 0.0) + 1e-9 * self.longest**2 if math.isfinite(far) else math.inf
+
+    def products(self, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if not self.wild:
+            return (x * q).sum(1)
         with np.errstate(all="ignore"):
-            far = 2 * self.longest**2 - 2 * np.float64(self.scaled(q)[1]) * score
-        return max(float(far), 0.0) + 1e-9 * self.longest**2 if math.isfinite(far) else math.inf
+            got = (x * q).sum(1)
+        return np.where(np.isnan(got), -math.inf, got)
 
 
 def splits(p: np.ndarray, depth: int) -> list[tuple[int, float]]:
@@ -126,12 +135,12 @@ class Tree:
 
     def search(self, space: Space, q: np.ndarray, own: int, k: int, factor: float, kth: float) -> tuple[np.ndarray, np.ndarray]:
         """The k best (scores, ids), only such as score `kth` or more; `own` takes no part."""
-        at = space.query(q)
+        at, to = space.query(q)
         gap = np.maximum(np.maximum(self.low - at, at - self.high), 0)
         gap = (gap * gap).sum(1)
         order = np.argsort(gap, kind="stable")
         scores, ids = np.zeros(0), np.zeros(0, np.int64)
-        bound = factor * space.squared(q, kth) if kth > -math.inf else math.inf
+        bound = factor * space.squared(to, kth) if kth > -math.inf else math.inf
         for i in range(0, len(order), STRIDE):
             if gap[order[i]] > bound:
                 break
@@ -139,8 +148,7 @@ class Tree:
             if bound < math.inf:
                 off = self.p[part] - at
                 part = part[(off * off).sum(1) <= bound]
-            with np.errstate(all="ignore"):
-                got = np.nan_to_num((self.x[part] * q).sum(1), nan=-math.inf, posinf=math.inf, neginf=-math.inf)
+            got = space.products(self.x[part], q)
             fits = (got >= kth) & (self.ids[part] != own)
             if fits.any():
                 scores, ids = np.concatenate([scores, got[fits]]), np.concatenate([ids, self.ids[part][fits]])
@@ -149,7 +157,7 @@ class Tree:
                     scores, ids = scores[best], ids[best]
                 if len(ids) >= k and scores.min() > kth:
                     kth = float(scores.min())
-                    bound = factor * space.squared(q, kth)
+                    bound = factor * space.squared(to, kth)
         return scores, ids
 
 
@@ -228,7 +236,7 @@ def nearest(table: DataFrame, queries: Column, k: int = 20, dims: int = 16, trus
                 x = vectors(batch[1], width)
                 p = space.points(x)
                 cell = cell_of(p, cuts, depth)
-                home = cell_of(np.array([space.query(q) for q in x]), cuts, depth)
+                home = cell_of(np.array([space.query(q)[0] for q in x]), cuts, depth)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, flat, pa.array(cell), pa.array(home)], ["vec_id", "x", "is_query", "p", "cell", "home"])
 
@@ -262,9 +270,9 @@ def nearest(table: DataFrame, queries: Column, k: int = 20, dims: int = 16, trus
                 continue
             take, cell = [], []
             for i, (q, home, kth) in enumerate(zip(vectors(batch[1], width), batch[2].to_pylist(), batch[3].to_pylist(), strict=True)):
-                at = space.query(q)
+                at, to = space.query(q)
                 gap = np.maximum(np.maximum(low - at, at - high), 0)
-                near = (gap * gap).sum(1) <= (math.inf if kth is None else factor * space.squared(q, kth))
+                near = (gap * gap).sum(1) <= (math.inf if kth is None else factor * space.squared(to, kth))
                 found = ids[near & (ids != home)]
                 take += [i] * len(found)
                 cell += found.tolist()
