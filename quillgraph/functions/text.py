@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,6 +117,17 @@ def name_code(c: Column | str) -> Column:
     )
 
 
+def plain_code(name: str) -> str:
+    """The same of one name, plainly."""
+    letters = re.sub("[^a-zA-Z]", "", name).upper()
+    if not letters:
+        return "UNK"
+    rest = re.sub("[AEIOU]", "", letters[1:])
+    if len(rest) > 1:
+        return letters[0] + rest[:2]
+    return letters[0] + rest + letters[-1] if rest else letters[:3].ljust(3, "X")
+
+
 def note_id(seq: Column | str) -> Column:
     """A number from 1 on as text of three digits or more."""
     s = col(seq).cast("string")
@@ -166,8 +179,6 @@ def chunk_size_for(c: Column | str) -> Column:
 
 def highlight(c: Column | str, question: str, before: str = "<mark>", after: str = "</mark>") -> Column:
     """The text as HTML; words that begin with one of the question's words of three characters or more are marked."""
-    import re
-
     safe = literal_replace(col(c), [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")])
     terms = sorted({t for t in re.split("[^a-z0-9]+", question.lower()) if len(t) > 2})
     return F.regexp_replace(safe, f"(?i){LEFT}(?:{'|'.join(terms)})[a-z]*", f"{before}$0{after}") if terms else safe

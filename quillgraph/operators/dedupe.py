@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +18,12 @@ def note_tokens() -> Column:
     return F.array_distinct(F.concat(words, F.transform("topics", F.lower), F.transform("entities", F.lower)))
 
 
+def plain_tokens(note: dict) -> frozenset[str]:
+    """The same of one note, plainly."""
+    words = {w for w in re.split("[^a-z0-9_]+", note["quote"].lower()) if len(w) > 1}
+    return frozenset(words | {t.lower() for t in note["topics"]} | {e.lower() for e in note["entities"]})
+
+
 def similar_notes(notes: DataFrame, threshold: float = 0.9, full: int | None = None) -> DataFrame:
     """doc_id, a, b, score: pairs of notes whose tokens have a Jaccard similarity of `threshold` or more.
 

@@ -21,16 +21,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..config import RecallOptions, StreamOptions
 from ..functions import annotate
 from ..functions.annotate import collation
+from ..functions.text import plain_code, round2
 from ..operators import links, weights
-from ..functions.text import round2
+from ..operators.dedupe import plain_tokens
 from ..operators.weights import decayed
 
 
-def words_of(note: dict) -> frozenset[str]:
-    words = {w for w in re.split("[^a-z0-9_]+", note["quote"].lower()) if len(w) > 1}
-    return frozenset(words | {t.lower() for t in note["topics"]} | {e.lower() for e in note["entities"]})
-
-
 @dataclass
 class Live:
     """One conversation's state. The log of what was pushed isn't kept here: it is the table the messages come from."""
@@ -43,6 +39,9 @@ class Live:
     codes: dict[str, str] = field(default_factory=dict)
     recent: list[str] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        self.known: dict[int, frozenset[str]] = {}  # tokens of notes, no part of the state
+
     @classmethod
     def load(cls, text: str) -> Live:
         return cls(**json.loads(text))
@@ -90,7 +89,7 @@ class Live:
         """Codes for new names; none that is given changes."""
         used = set(self.codes.values())
         for n in sorted(names - self.codes.keys()):
-            code = base = code_of(n)
+            code = base = plain_code(n)
             k = 0
             while code in used:
                 k += 1
@@ -100,15 +99,18 @@ class Live:
 
     def absorb(self, note: dict, threshold: float) -> bool:
         """Into the first note that is near enough; that one is then as recent as this turn."""
-        own = words_of(note)
+        own = plain_tokens(note)
         for old in self.notes:
-            theirs = words_of(old)
+            theirs = self.known.get(old["seq"])
+            if theirs is None:
+                theirs = self.known[old["seq"]] = plain_tokens(old)
             if own and theirs and len(own & theirs) / len(own | theirs) >= threshold:
                 old["turn"] = self.turn
                 old["raw_weight"] = max(old["raw_weight"], note["raw_weight"])
                 old["entities"] = sorted({*old["entities"], *note["entities"]})
                 for k in ("topics", "emotions", "flags"):
                     old[k] = list(dict.fromkeys([*old[k], *note[k]]))
+                del self.known[old["seq"]]
                 return True
         return False
 
@@ -120,16 +122,8 @@ class Live:
             ranked = sorted(self.notes, key=lambda z: (self.weight(z, options.half_life_turns), z["turn"], collation(z["id"])))
             gone = {z["seq"] for z in ranked[: len(self.notes) - options.max_notes]}
             self.notes = [z for z in self.notes if z["seq"] not in gone]
-
-
-def code_of(name: str) -> str:
-    letters = re.sub("[^A-Z]", "", re.sub("[^a-zA-Z]", "", name).upper())
-    if not letters:
-        return "UNK"
-    rest = re.sub("[AEIOU]", "", letters[1:])
-    if len(rest) > 1:
-        return letters[0] + rest[:2]
-    return letters[0] + rest + letters[-1] if rest else letters[:3].ljust(3, "X")
+            for seq in gone:
+                self.known.pop(seq, None)
 
 
 STATE = (

@@ -213,7 +213,7 @@ def chosen_plainly(notes, ties, codes, options):
     if options.max_notes is not None:
         pool, out = sorted(out, key=lambda z: (-score(z), z["id"])), []
         if options.selection != "mmr" or len(pool) <= options.max_notes:
-            out = pool[: options.max_notes]
+            out, pool = pool[: options.max_notes], []
         while pool and len(out) < options.max_notes:
             values = [0.7 * score(z) - 0.3 * max((like(z, s) for s in out), default=0) for z in pool]
             out.append(pool.pop(values.index(max(values))))
