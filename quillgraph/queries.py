@@ -521,7 +521,7 @@ def inject_top(spark, sf):
 
 
 @query(f"""WITH {sql.NOTES}, lines AS (SELECT doc_id, seq, '**[' || id || ']** ' || CASE WHEN resolved_date IS NULL AND len(flags) = 0 THEN '' ELSE '*(' || concat_ws(' · ', resolved_date, CASE WHEN len(flags) > 0 THEN array_to_string(flags, ', ') END) || ')* ' END || quote AS line
-FROM notes WHERE list_has_any(flags, ['DECISION', 'CORE'])) SELECT doc_id, string_agg(line, E'\\n\\n' ORDER BY seq) AS text FROM lines GROUP BY doc_id""")
+FROM notes WHERE list_has_any(flags, ['DECISION', 'CORE'])) SELECT n.doc_id, coalesce(string_agg(line, E'\\n\\n' ORDER BY n.seq), '') AS text FROM notes n LEFT JOIN lines l ON l.doc_id = n.doc_id AND l.seq = n.seq GROUP BY n.doc_id""")
 def inject_markdown(spark, sf):
     notes = base_notes(spark, sf)
     return context.inject(notes, base_links(notes), segment.entity_codes(notes), options=InjectOptions(format="markdown", flags=("DECISION", "CORE")))
