@@ -27,7 +27,7 @@ from .common import read, stored
 SAMPLE, CELL_ROWS = 20_000, 8_192
 
 #: Points of a leaf of a cell's own tree; leaves that are verified together.
-LEAF, STRIDE = 64, 4
+LEAF, STRIDE = 128, 2
 
 
 def chi_square(freedom: int, p: float) -> float:
@@ -116,7 +116,7 @@ def cell_of(p: np.ndarray, cuts: list[tuple[int, float]], depth: int) -> np.ndar
 
 
 class Tree:
-    """A cell block's own kd-tree: points in leaf order and the leaves' bounds."""
+    """A cell block's own kd-tree: vectors in the order of its leaves, and the leaves' bounds in the projections."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, p: np.ndarray) -> None:
         leaves, todo = [], [np.arange(len(ids))]
@@ -128,26 +128,40 @@ class Tree:
             axis = int(np.argmax(np.ptp(p[part], axis=0)))
             part = part[np.argpartition(p[part, axis], len(part) // 2)]
             todo += [part[: len(part) // 2], part[len(part) // 2 :]]
-        self.ids, self.x, self.p = ids, x, p
-        self.leaves = leaves
+        order = np.concatenate(leaves)
+        self.ids, self.x = ids[order], np.ascontiguousarray(x[order])
+        ends = np.cumsum([len(v) for v in leaves]).tolist()
+        self.leaves = list(zip([0, *ends[:-1]], ends, strict=True))
         self.low = np.array([p[v].min(0) for v in leaves])
         self.high = np.array([p[v].max(0) for v in leaves])
 
     def search(self, space: Space, q: np.ndarray, own: int, k: int, factor: float, kth: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (scores, ids), only such as score `kth` or more; `own` takes no part."""
+        """The k best (scores, ids), only such as score `kth` or more; `own` takes no part.
+
+        Leaves come by projected distance and are verified whole: a quick product leaves out what can't be among the k
+        best, the others are scored exactly.
+        """
         at, to = space.query(q)
         gap = np.maximum(np.maximum(self.low - at, at - self.high), 0)
         gap = (gap * gap).sum(1)
-        order = np.argsort(gap, kind="stable")
+        order = np.argsort(gap, kind="stable").tolist()
+        gaps = gap[order].tolist()
+        room = 1e-12 * space.longest * space.unit * float(np.abs(q).sum())  # rounding of a product stays below this
         scores, ids = np.zeros(0), np.zeros(0, np.int64)
         bound = factor * space.squared(to, kth) if kth > -math.inf else math.inf
         for i in range(0, len(order), STRIDE):
-            if gap[order[i]] > bound:
+            if gaps[i] > bound:
                 break
-            part = np.concatenate([self.leaves[v] for v in order[i : i + STRIDE]])
-            if bound < math.inf:
-                off = self.p[part] - at
-                part = part[(off * off).sum(1) <= bound]
+            near = []
+            for v in order[i : i + STRIDE]:
+                start, end = self.leaves[v]
+                if space.wild or kth == -math.inf:
+                    near.append(np.arange(start, end))
+                else:
+                    near.append(np.flatnonzero(self.x[start:end] @ q >= kth - room) + start)
+            part = np.concatenate(near)
+            if not len(part):
+                continue
             got = space.products(self.x[part], q)
             fits = (got >= kth) & (self.ids[part] != own)
             if fits.any():
