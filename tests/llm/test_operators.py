@@ -574,6 +574,47 @@ def test_quality_scores_are_those_of_the_formula(spark):
     assert quality.features(text) == pytest.approx(want)
 
 
+def test_quality_learns_from_all_rows_and_pairs(spark):
+    """More labelled rows than any bound there was: mean, scale, weights and cut against sums over all rows and pairs."""
+    draw = random.Random(20)
+    rows, labels = [], []
+    for d in range(13_000):
+        good = d % 2
+        words = [w.upper() if draw.random() < (0.2 if good else 0.4) else w for w in sentence(draw, draw.randint(3, 20))]
+        rows.append((d, " ".join(words) + "!" * draw.randint(0, 3 - good)))
+        labels.append((d, good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rank = quality.fit_ranking(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    x, y = np.array([quality.features(t) for _, t in rows]), np.array([q for _, q in labels])
+    assert np.allclose(rank.mean, x.mean(0), atol=1e-8)
+    assert np.allclose(rank.scale, np.maximum(x.std(0), 1e-6), atol=1e-8)
+    z = rank.wide(x)
+    good, bad, w = z[y == 1], z[y == 0], rank.weights
+    slope = 1e-3 * w
+    for at in range(0, len(good), 500):
+        some = good[at : at + 500]
+        wrong = 1 / (1 + np.exp((some @ w)[:, None] - bad @ w))
+        slope = slope - (wrong.sum(1) @ some - wrong.sum(0) @ bad) / (len(good) * len(bad))
+    assert np.abs(slope).max() < 1e-6
+    s = z @ w
+    low, high = np.quantile(s[y == 0], 0.97), np.quantile(s[y == 1], 0.01)
+    assert rank.cut == pytest.approx((low + high) / 2 if low < high else np.quantile(s, 0.5), abs=1e-9)
+    assert rank.slope == pytest.approx(4 / (np.median(s[y == 1]) - np.median(s[y == 0])), rel=1e-9)
+    alone = {r.doc_id: r.score for r in quality.score_quality(docs.where("doc_id < 3"), rank).collect()}
+    both = {r.doc_id: r.score for r in quality.score_shapes(quality.shapes(docs), rank).where("doc_id < 3").collect()}
+    assert alone == both
+
+
+def test_values_at_ranks(spark):
+    draw = random.Random(21)
+    values = [draw.choice([0.0, -1e-300, 1e9, draw.gauss(0, 1), 1 + draw.randint(0, 9) * 2**-52, 3.5]) for _ in range(5_000)]
+    s = spark.createDataFrame([(v,) for v in values], "s double").repartition(3)
+    ranks = [0, 1, 17, 999, 2_500, 2_501, 4_998, 4_999]
+    assert quality.at_ranks(s, ranks) == [sorted(values)[k] for k in ranks]
+    assert quality.quantiles(s, len(values), [0, 0.01, 0.5, 0.97, 1]) == pytest.approx(list(np.quantile(values, [0, 0.01, 0.5, 0.97, 1])))
+    assert quality.at_ranks(spark.createDataFrame([(2.0,)] * 3, "s double"), [0, 2]) == [2.0, 2.0]
+
+
 def test_out_of_place_distances(spark):
     """Predictions against ranks and distances worked out with dictionaries; a tie goes to the first language."""
 
