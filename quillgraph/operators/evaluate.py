@@ -71,11 +71,18 @@ def blend(rows: DataFrame, share: float, words: str = "bm25", vectors: str = "co
     return rows.withColumn("blended", (1 - share) * part(words) + share * part(vectors))
 
 
+#: Rows of facts that may be broadcast.
+FACTS = 10_000
+
+
 def plant(texts: DataFrame, facts: DataFrame, every: int) -> DataFrame:
     """doc_id, fact_id, text: a fact's sentence put as a paragraph of its own, at a place that the ids decide.
 
-    facts: fact_id, sentence; document d gets fact (d mod every), if there is one.
+    facts: fact_id, sentence; document d gets fact (d mod every), if there is one. Up to FACTS of them go out whole, as a
+    join by number would bring all texts of a fact into one task.
     """
+    if facts.limit(FACTS + 1).count() <= FACTS:
+        facts = F.broadcast(facts)
     rows = texts.withColumn("fact_id", F.pmod("doc_id", F.lit(every)).cast("int")).join(facts, "fact_id")
     paras = F.split("text", "\n\n")
     at = F.pmod(F.col("doc_id") * 7 + F.col("fact_id") * 3, F.size("p") + 1).cast("int")

@@ -598,3 +598,12 @@ def test_live_recall_is_that_of_replays(spark, tmp_path):
             want = m.recall_context(asked, RecallOptions(top_k=2)) if context_ else m.recall(asked, RecallOptions(top_k=2))
             assert sorted(map(tuple, answers[batch])) == sorted(map(tuple, want.collect()))
             assert answers[batch]
+
+
+def test_texts_are_not_dealt_by_fact(spark):
+    texts = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("one\n\ntwo").alias("text"))
+    facts = spark.createDataFrame([(0, "zero"), (1, "first")], "fact_id int, sentence string")
+    rows = evaluate.plant(texts, facts, 4)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert {(r.doc_id % 4, r.fact_id) for r in rows.collect()} == {(0, 0), (1, 1)} and rows.count() == 20
