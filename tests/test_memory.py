@@ -607,3 +607,12 @@ def test_texts_are_not_dealt_by_fact(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
     assert {(r.doc_id % 4, r.fact_id) for r in rows.collect()} == {(0, 0), (1, 1)} and rows.count() == 20
+
+
+def test_pairs_are_judged_without_a_shuffle_of_their_own(spark):
+    import re
+
+    notes = spark.createDataFrame([(1, s, ["Ann"], [f"w{s % 9}", "same"]) for s in range(100)], "doc_id long, seq int, entities array<string>, topics array<string>")
+    found = links.link_candidates(notes, 0.3)
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L?, a#\d+, b#\d+", found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == found.select("a", "b").distinct().count() == 100 * 99 // 2
